@@ -1,7 +1,7 @@
 """Registry of named queries: a Spark builder plus its DuckDB oracle SQL.
 
 Output normalisation lives here (wrappers only, never inside operators):
-non-integer outputs are written ``round(x + 1e-7, 4)`` on both sides and
+non-integer outputs are written ``round(x + 1.234567e-7, 4)`` (a bias with no short decimal form, so engine-specific half rounding never decides) on both sides and
 integer outputs are cast to BIGINT, so the two engines hash equal.
 """
 
@@ -32,7 +32,7 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        reps = [f"round({c} + 1e-7, 4) AS {c}" for c in self.floats]
+        reps = [f"round({c} + 1.234567e-7, 4) AS {c}" for c in self.floats]
         reps += [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints]
         if not reps:
             return self.sql
@@ -56,7 +56,7 @@ def normalise(df: DataFrame, floats=(), ints=()) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name in fl:
-            c = F.round(c.cast("double") + F.lit(1e-7), 4)
+            c = F.round(c.cast("double") + F.lit(1.234567e-7), 4)
         elif f.name in it or isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.FloatType, T.DecimalType)):

@@ -83,10 +83,10 @@ HUBS_SQL = """hubs AS (
 
 
 @register("j07_hub_connections", sql=with_views("""SELECT a.Flight_ID AS src, d.Flight_ID AS dst, a.Destination AS hub,
-  date_diff('microsecond', a.Scheduled_Time, d.Scheduled_Time) / 60000000.0::DOUBLE AS time_buffer
+  (epoch_us(d.Scheduled_Time) - epoch_us(a.Scheduled_Time)) / 60000000.0::DOUBLE AS time_buffer
 FROM flights a JOIN flights d ON a.Destination = d.Origin
 WHERE a.Destination IN (SELECT hub FROM hubs)
-  AND date_diff('microsecond', a.Scheduled_Time, d.Scheduled_Time) BETWEEN 2700000000 AND 14400000000""", HUBS_SQL),
+  AND (epoch_us(d.Scheduled_Time) - epoch_us(a.Scheduled_Time)) BETWEEN 2700000000 AND 14400000000""", HUBS_SQL),
           floats=("time_buffer",))
 def j07(spark, sf):
     return J.hub_connections(flights(spark, sf))
@@ -94,11 +94,11 @@ def j07(spark, sf):
 
 @register("j08_slot_pairs", sql=with_views("""SELECT a.Flight_ID AS src, b.Flight_ID AS dst, a.Runway,
   make_timestamp(CAST(floor(epoch_us(a.Scheduled_Time) / 1800000000) * 1800000000 AS BIGINT)) AS slot,
-  date_diff('microsecond', a.Scheduled_Time, b.Scheduled_Time) / 60000000.0::DOUBLE AS time_buffer
+  (epoch_us(b.Scheduled_Time) - epoch_us(a.Scheduled_Time)) / 60000000.0::DOUBLE AS time_buffer
 FROM flights a JOIN flights b ON a.Runway = b.Runway
   AND floor(epoch_us(a.Scheduled_Time) / 1800000000) = floor(epoch_us(b.Scheduled_Time) / 1800000000)
 WHERE (a.Scheduled_Time < b.Scheduled_Time OR (a.Scheduled_Time = b.Scheduled_Time AND a.Flight_ID < b.Flight_ID))
-  AND date_diff('microsecond', a.Scheduled_Time, b.Scheduled_Time) <= 30 * 60000000"""), floats=("time_buffer",))
+  AND (epoch_us(b.Scheduled_Time) - epoch_us(a.Scheduled_Time)) <= 30 * 60000000"""), floats=("time_buffer",))
 def j08(spark, sf):
     return J.slot_pairs(flights(spark, sf))
 
