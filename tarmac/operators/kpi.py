@@ -35,3 +35,453 @@ def hour_dow_stats(flights: DataFrame) -> DataFrame:
         "Congestion_Score",
         F.col("Flight_Count") * 0.4 + F.col("Avg_Delay") * 0.3 + F.col("Flights_per_Runway") * 0.3,
     )
+
+
+def _cnt() -> Column:
+    return F.count(F.lit(1))
+
+
+# A02
+def hourly_basic(flights: DataFrame) -> DataFrame:
+    """Hour x weekday basic stats with the simple score count * 0.1."""
+    return flights.groupBy("Hour", "Day_of_Week").agg(
+        F.count("Flight_ID").alias("Flight_Count"),
+        F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.stddev_samp("Delay_Minutes").alias("Delay_Std"),
+        F.max("Delay_Minutes").alias("Max_Delay"),
+        F.sum("Capacity").alias("Total_Passengers"),
+        F.countDistinct("Runway").alias("Active_Runways"),
+    ).withColumn("Congestion_Score", F.col("Flight_Count") * 0.1)
+
+
+def hourly(flights: DataFrame) -> DataFrame:
+    """Shared per-hour base: count, mean/std/min/max delay, seats, runways."""
+    return flights.groupBy("Hour").agg(
+        F.count("Flight_ID").alias("Flight_Count"),
+        F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.stddev_samp("Delay_Minutes").alias("Delay_Std"),
+        F.min("Delay_Minutes").alias("Min_Delay"),
+        F.max("Delay_Minutes").alias("Max_Delay"),
+        F.sum("Delay_Minutes").alias("Total_Delay"),
+        F.sum("Capacity").alias("Total_Capacity"),
+        F.avg("Capacity").alias("Avg_Capacity"),
+        F.countDistinct("Runway").alias("Active_Runways"),
+    )
+
+
+def _over_all(df: DataFrame, **aggs: Column) -> DataFrame:
+    """Attach whole-table aggregates of a small agg result (one-row broadcast)."""
+    one = df.agg(*[v.alias(k) for k, v in aggs.items()])
+    return df.crossJoin(F.broadcast(one))
+
+
+# A03
+def peak_hours(flights: DataFrame, factor: float = 1.2) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("Flight_Count"))
+    h = _over_all(h, __mean=F.avg("Flight_Count"))
+    return h.where(F.col("Flight_Count") > F.col("__mean") * factor).select("Hour", "Flight_Count")
+
+
+# A04
+def delay_summary(flights: DataFrame) -> DataFrame:
+    d = F.col("Delay_Minutes")
+    return flights.agg(
+        _cnt().alias("total_flights"),
+        F.count_if(d > 0).alias("delayed_flights"),
+        (F.count_if(d > 0) / _cnt() * 100).alias("delay_rate"),
+        F.avg(d).alias("avg_delay"),
+        F.max(d).alias("max_delay"),
+        F.percentile(d, 0.5).alias("median_delay"),
+        F.count_if(d > 30).alias("over_30"),
+        F.count_if(d > 60).alias("over_60"),
+    )
+
+
+# A05
+def runway_utilization(flights: DataFrame) -> DataFrame:
+    r = flights.groupBy("Runway").agg(
+        F.count("Flight_ID").alias("Flight_Count"),
+        F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.sum("Capacity").alias("Total_Passengers"),
+    )
+    r = _over_all(r, __max=F.max("Flight_Count"))
+    return r.withColumn("Utilization_Score", _div(F.col("Flight_Count"), F.col("__max")) * 100).drop("__max")
+
+
+# A06
+def congestion_breakdown(flights: DataFrame) -> DataFrame:
+    g = flights.groupBy("Peak_Category").agg(
+        _cnt().alias("Flights"),
+        F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.sum("Delay_Minutes").alias("Total_Delay"),
+        F.avg("Congestion_Factor").alias("Avg_Congestion"),
+        F.avg("Runway_Efficiency").alias("Avg_Efficiency"),
+    )
+    g = _over_all(g, __n=F.sum("Flights"))
+    return g.withColumn("Share_Pct", F.col("Flights") / F.col("__n") * 100).drop("__n")
+
+
+# A07
+def by_hour(flights: DataFrame) -> DataFrame:
+    h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"), _cnt().alias("Flight_Count"))
+    one = h.agg(F.max_by("Hour", F.struct("Flight_Count", -F.col("Hour"))).alias("Peak_Hour"),
+                F.max_by("Hour", F.struct("Avg_Delay", -F.col("Hour"))).alias("Worst_Delay_Hour"))
+    return h.crossJoin(F.broadcast(one))
+
+
+# A08
+def day_hour_heatmap(flights: DataFrame) -> DataFrame:
+    """Weekday x hour mean-delay matrix (explicit pivot values: 24 hours)."""
+    return (
+        flights.groupBy("Day_of_Week", F.date_format("Scheduled_Time", "EEEE").alias("Day"))
+        .pivot("Hour", list(range(24)))
+        .agg(F.avg("Delay_Minutes"))
+    )
+
+
+# A09
+def hourly_capacity(flights: DataFrame) -> DataFrame:
+    h = flights.groupBy("Hour").agg(
+        _cnt().alias("Operations"), F.countDistinct("Runway").alias("Runways"), F.sum("Capacity").alias("Passengers"))
+    h = h.withColumn("Ops_per_Runway", _div(F.col("Operations"), F.col("Runways")))
+    one = h.agg(F.max_by("Hour", F.struct("Operations", -F.col("Hour"))).alias("Peak_Hour"))
+    return h.crossJoin(F.broadcast(one))
+
+
+# A10
+BUSINESS_HOURS = [7, 8, 9, 18, 19, 20]
+
+
+def slot_revenue(flights: DataFrame) -> DataFrame:
+    h = F.col("Hour")
+    bus = h.isin(BUSINESS_HOURS)
+    lei = h.between(10, 17)
+    return flights.agg(
+        F.count_if(bus).alias("Business_Flights"),
+        (F.count_if(bus) * F.avg(F.when(bus, F.col("Capacity"))) * 1.5).alias("Business_Revenue_Index"),
+        F.count_if(lei).alias("Leisure_Flights"),
+        (F.count_if(lei) * F.avg(F.when(lei, F.col("Capacity"))) * 1.0).alias("Leisure_Revenue_Index"),
+    )
+
+
+# A11
+def best_times(flights: DataFrame) -> DataFrame:
+    h = hourly(flights)
+    h = _over_all(h, __max=F.max("Flight_Count"))
+    return h.withColumn(
+        "Efficiency_Score", (1.0 / (F.col("Avg_Delay") + 1)) * _div(F.col("Flight_Count"), F.col("__max"))
+    ).drop("__max").select("Hour", "Flight_Count", "Avg_Delay", "Delay_Std", "Min_Delay", "Max_Delay", "Efficiency_Score")
+
+
+# A12
+def optimal_hours(flights: DataFrame, q: float = 0.3, min_count: int = 5) -> DataFrame:
+    h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"), _cnt().alias("Flight_Count"))
+    h = _over_all(h, __q=F.percentile("Avg_Delay", q))
+    return h.where((F.col("Avg_Delay") < F.col("__q")) & (F.col("Flight_Count") >= min_count)).drop("__q")
+
+
+# A13
+def busiest_congestion(flights: DataFrame) -> DataFrame:
+    h = hourly(flights)
+    return h.select(
+        "Hour", "Flight_Count", "Avg_Delay", "Total_Capacity", "Active_Runways",
+        (F.col("Flight_Count") * F.col("Avg_Delay") * F.col("Total_Capacity") / 10000).alias("Congestion_Score"),
+        _div(F.col("Flight_Count"), F.col("Active_Runways")).alias("Density"),
+    )
+
+
+# A14
+def peaks_to_avoid(flights: DataFrame, q: float = 0.7) -> DataFrame:
+    h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"), _cnt().alias("Flight_Count"))
+    h = h.withColumn("Score", F.col("Flight_Count") * F.col("Avg_Delay") / 100)
+    h = _over_all(h, __q=F.percentile("Score", q))
+    return h.where(F.col("Score") >= F.col("__q")).drop("__q")
+
+
+# A16
+def schedule_tuning(flights: DataFrame, high: float = 20.0, good: float = 15.0) -> DataFrame:
+    """Hours with mean delay > high get the first hour whose mean delay < good; move min(n // 3, 10)."""
+    h = flights.groupBy("Hour").agg(_cnt().alias("Current_Flights"), F.avg("Delay_Minutes").alias("Current_Delay"))
+    best = h.where(F.col("Current_Delay") < good).agg(F.min("Hour").alias("Recommended_Hour"))
+    out = h.where(F.col("Current_Delay") > high).crossJoin(F.broadcast(best)).where(F.col("Recommended_Hour").isNotNull())
+    out = out.select(
+        F.col("Hour").alias("Original_Hour"), "Recommended_Hour",
+        F.least(F.floor(F.col("Current_Flights") / 3), F.lit(10)).alias("Flights_to_Move"),
+        "Current_Delay", (F.col("Current_Delay") * 0.7).alias("Projected_Delay"),
+        (F.col("Current_Delay") * 0.3).alias("Delay_Reduction"),
+    )
+    return out.withColumn("Impact_Score", F.col("Flights_to_Move") * F.col("Delay_Reduction"))
+
+
+# A17
+def net_revenue(flights: DataFrame) -> DataFrame:
+    h = F.col("Hour")
+    mult = F.when(h.isin(7, 8, 19, 20), 1.4).when(h.isin(6, 9, 18, 21), 1.2).otherwise(1.0)
+    base = F.coalesce(F.col("Capacity"), F.lit(150)) * 200
+    return flights.select(
+        "Flight_ID", "Hour", base.alias("Base_Revenue"), mult.alias("Revenue_Multiplier"),
+        (F.col("Delay_Minutes") * 50).alias("Delay_Cost"),
+        (base * mult - F.col("Delay_Minutes") * 50).alias("Projected_Revenue"),
+    )
+
+
+def net_revenue_summary(flights: DataFrame) -> DataFrame:
+    r = net_revenue(flights)
+    return r.agg(
+        F.sum("Projected_Revenue").alias("Total_Revenue"),
+        F.avg("Projected_Revenue").alias("Avg_Revenue"),
+        F.sum("Delay_Cost").alias("Total_Delay_Cost"),
+        F.count_if(F.col("Delay_Cost") > 1000).alias("High_Cost_Flights"),
+    )
+
+
+# A18
+def runway_analysis(flights: DataFrame) -> DataFrame:
+    r = flights.groupBy("Runway").agg(
+        F.count("Flight_ID").alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.sum("Delay_Minutes").alias("Total_Delay"), F.sum("Capacity").alias("Total_Capacity"),
+        F.countDistinct("Hour").alias("Active_Hours"),
+    )
+    return r.withColumn("Flights_per_Hour", _div(F.col("Flight_Count"), F.col("Active_Hours"))).withColumn(
+        "Efficiency", F.col("Flight_Count") / (F.col("Avg_Delay") + 1))
+
+
+# A19
+def runway_delay_table(flights: DataFrame) -> DataFrame:
+    return flights.groupBy("Runway").agg(
+        F.avg("Delay_Minutes").alias("Avg_Delay"), F.sum("Delay_Minutes").alias("Total_Delay"), F.count("Flight_ID").alias("Flight_Count"))
+
+
+# A20
+def airline_analysis(flights: DataFrame) -> DataFrame:
+    a = flights.groupBy("Airline").agg(
+        F.count("Flight_ID").alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"),
+        F.sum("Delay_Minutes").alias("Total_Delay"), F.stddev_samp("Delay_Minutes").alias("Delay_Std"),
+        F.sum("Capacity").alias("Total_Capacity"), F.avg("Capacity").alias("Avg_Capacity"),
+    )
+    return a.withColumn("On_Time_Performance", 85 - F.col("Avg_Delay")).withColumn(
+        "Efficiency_Score", F.col("Flight_Count") / (F.col("Avg_Delay") + 1))
+
+
+# A21
+def airline_comparison(flights: DataFrame) -> DataFrame:
+    a = flights.groupBy("Airline").agg(F.count("Flight_ID").alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"))
+    a = _over_all(a, __max=F.max("Flight_Count"))
+    a = a.withColumn("Performance_Score", (1.0 / (F.col("Avg_Delay") + 1)) * _div(F.col("Flight_Count"), F.col("__max")) * 100).drop("__max")
+    one = a.agg(
+        F.max_by("Airline", F.struct("Performance_Score", F.col("Airline"))).alias("Best_Airline"),
+        F.min_by("Airline", F.struct("Performance_Score", F.col("Airline"))).alias("Worst_Airline"),
+        (F.max("Performance_Score") - F.min("Performance_Score")).alias("Performance_Gap"),
+    )
+    return a.crossJoin(F.broadcast(one))
+
+
+# A22
+def airline_delay_rate(flights: DataFrame, threshold: float = 15.0) -> DataFrame:
+    a = flights.groupBy("Airline").agg(_cnt().alias("Total"), F.count_if(F.col("Delay_Minutes") > threshold).alias("Delayed"))
+    return a.withColumn("Delay_Rate", F.col("Delayed") / F.col("Total") * 100)
+
+
+# A23
+def hourly_forecast(flights: DataFrame) -> DataFrame:
+    from tarmac.operators.joins import hour_spine
+
+    h = flights.groupBy("Hour").agg(
+        F.avg("Delay_Minutes").alias("Predicted_Delay"), F.stddev_samp("Delay_Minutes").alias("Variance"), _cnt().alias("Sample_Size"))
+    h = h.withColumn("Confidence", F.least(F.lit(95), F.col("Sample_Size") * 5).cast("long"))
+    h = h.withColumn("Risk_Level", F.when(F.col("Predicted_Delay") > 25, "High").when(F.col("Predicted_Delay") > 15, "Medium").otherwise("Low"))
+    full = hour_spine(h.drop("Sample_Size"), {"Predicted_Delay": 10.0, "Confidence": 50, "Risk_Level": "Low", "Variance": 5.0})
+    one = full.agg(F.avg("Predicted_Delay").alias("Daily_Predicted_Delay"), F.count_if(F.col("Risk_Level") == "High").alias("High_Risk_Hours"))
+    return full.crossJoin(F.broadcast(one))
+
+
+# A24
+def risk_forecast(flights: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """7-day x hours 6-22 risk table from the hourly history (confidence noise dropped, Q15)."""
+    spark = flights.sparkSession
+    h = flights.where(F.col("Hour").between(6, 22)).groupBy("Hour").agg(
+        F.avg("Delay_Minutes").alias("Expected_Avg_Delay"), _cnt().alias("Expected_Flights"))
+    dates = spark.range(days).select(F.date_add(F.lit(as_of), F.col("id").cast("int")).alias("Date"))
+    g = dates.crossJoin(F.broadcast(h))
+    day = F.date_format("Date", "EEEE")
+    base = F.least(F.col("Expected_Avg_Delay") * 0.8 + F.col("Expected_Flights") * 0.3, F.lit(100.0))
+    base = base * F.when(day.isin("Monday", "Friday"), 1.2).when(day.isin("Saturday", "Sunday"), 0.8).otherwise(1.0)
+    base = base * F.when(F.col("Hour").isin(7, 8, 19, 20), 1.4).when(F.col("Hour").isin(11, 12, 13, 14), 1.1).otherwise(1.0)
+    g = g.withColumn("Day", day).withColumn("Delay_Risk", base)
+    lvl = F.when(F.col("Delay_Risk") >= 70, "Critical").when(F.col("Delay_Risk") >= 50, "High").when(F.col("Delay_Risk") >= 30, "Medium").otherwise("Low")
+    return g.withColumn("Risk_Level", lvl).withColumn("Time_Slot", F.format_string("%02d:00-%02d:00", F.col("Hour"), F.col("Hour") + 1))
+
+
+# A25
+def cost_estimates(flights: DataFrame) -> DataFrame:
+    d = F.sum("Delay_Minutes")
+    return flights.agg(
+        (d * 1000).alias("Delay_Cost_1000"), (d * 50).alias("Fuel_Cost"), (d * 200).alias("Crew_Cost"),
+        (d * 100).alias("Delay_Cost_100"), (d * 500).alias("Delay_Cost_500"))
+
+
+# A26
+def general_optimisation(flights: DataFrame) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"), F.sum("Delay_Minutes").alias("Total_Delay"))
+    w_worst = Window.orderBy(F.desc("Avg_Delay"), "Hour")
+    w_best = Window.orderBy(F.asc("Avg_Delay"), "Hour")
+    # the per-hour table has at most 24 rows: an unpartitioned window over it is bounded
+    r = h.withColumn("worst_rank", F.row_number().over(w_worst)).withColumn("best_rank", F.row_number().over(w_best))
+    return r.agg(
+        F.avg(F.when(F.col("worst_rank") <= 3, F.col("Avg_Delay"))).alias("Worst_Avg"),
+        F.avg(F.when(F.col("best_rank") <= 3, F.col("Avg_Delay"))).alias("Best_Avg"),
+        F.sum(F.when(F.col("worst_rank") <= 3, F.col("Flight_Count"))).alias("Worst_Flights"),
+    ).withColumn("Potential_Savings", (F.col("Worst_Avg") - F.col("Best_Avg")) * F.col("Worst_Flights"))
+
+
+# A27
+def evening_reschedule(flights: DataFrame, hour: int = 21, q: float = 0.8) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"))
+    h = _over_all(h, __q=F.percentile("Flight_Count", q))
+    return h.withColumn("Is_Busy", F.col("Flight_Count") > F.col("__q")).withColumn("Is_Target", F.col("Hour") == hour).drop("__q")
+
+
+# A29
+def runway_rebalancing(flights: DataFrame) -> DataFrame:
+    r = runway_utilization(flights)
+    r = r.withColumn("Status", F.when(F.col("Utilization_Score") > 80, "over").when(F.col("Utilization_Score") < 50, "under").otherwise("balanced"))
+    one = r.agg(
+        F.sum(F.when(F.col("Status") == "over", F.col("Flight_Count"))).alias("__o"),
+        F.sum(F.when(F.col("Status") == "under", F.col("Flight_Count"))).alias("__u"),
+        F.stddev_samp("Flight_Count").alias("Redistribute_Std"),
+    ).withColumn("Movable", F.least(F.col("__o") * 0.2, F.col("__u") * 0.5)).drop("__o", "__u")
+    return r.crossJoin(F.broadcast(one))
+
+
+def peak_offpeak_move(flights: DataFrame) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("n"))
+    # <= 24 rows: global ordering is bounded
+    top = h.orderBy(F.desc("n"), "Hour").limit(3).agg(F.avg("n").alias("peak_mean"))
+    low = h.orderBy(F.asc("n"), "Hour").limit(3).agg(F.avg("n").alias("offpeak_mean"))
+    return top.crossJoin(low).withColumn("Flights_to_Move", (F.col("peak_mean") - F.col("offpeak_mean")) * 0.15)
+
+
+# A30
+def severity_split(flights: DataFrame) -> DataFrame:
+    d = F.col("Delay_Minutes")
+    s = flights.agg(
+        _cnt().alias("Total"),
+        F.count_if((d > 0) & (d <= 15)).alias("Minor"),
+        F.count_if((d > 15) & (d <= 30)).alias("Moderate"),
+        F.count_if(d > 30).alias("Major"),
+    )
+    h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("a"))
+    hh = h.agg(F.max_by("Hour", F.struct("a", -F.col("Hour"))).alias("Worst_Hour"), F.min_by("Hour", F.struct("a", F.col("Hour"))).alias("Best_Hour"))
+    s = s.crossJoin(hh)
+    for c in ("Minor", "Moderate", "Major"):
+        s = s.withColumn(f"{c}_Pct", F.col(c) / F.col("Total") * 100)
+    return s
+
+
+# A31
+def overview(flights: DataFrame) -> DataFrame:
+    d = F.col("Delay_Minutes")
+    base = flights.agg(
+        _cnt().alias("Total_Flights"),
+        F.countDistinct("Airline").alias("Airlines"),
+        F.countDistinct("Runway").alias("Runways"),
+        (F.count_if(d > 15) / _cnt() * 100).alias("Delay_Rate"),
+        F.avg(d).alias("Avg_Delay"),
+        (F.datediff(F.max("Date"), F.min("Date")) + 1).alias("Day_Span"),
+    ).withColumn("Ops_per_Runway", _div(F.col("Total_Flights"), F.col("Runways")))
+
+    def modal(col):
+        g = flights.groupBy(col).agg(_cnt().alias("n"))
+        w = Window.orderBy(F.desc("n"), F.asc(col))
+        # a per-key count table (runways / airlines / 24 hours) is bounded by the dimension
+        return g.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col(col).alias(f"Busiest_{col}"))
+
+    out = base
+    for c in ("Runway", "Airline", "Hour"):
+        out = out.crossJoin(modal(c))
+    return out
+
+
+# A32
+def fleet_utilisation(flights: DataFrame) -> DataFrame:
+    a = flights.groupBy("Aircraft_Type").agg(
+        _cnt().alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"), F.avg("Capacity").alias("Avg_Capacity"))
+    return a.withColumn("Utilization_Score", F.col("Flight_Count") * F.col("Avg_Capacity") / (F.col("Avg_Delay") + 1))
+
+
+# A33
+def route_impact(flights: DataFrame, key: str = "Destination") -> DataFrame:
+    a = flights.groupBy(key).agg(F.avg("Delay_Minutes").alias("Avg_Delay"), _cnt().alias("Flight_Count"))
+    return a.withColumn("Impact", F.col("Avg_Delay") * F.col("Flight_Count") / 100)
+
+
+# A34
+def disruption_table(flights: DataFrame, threshold: float = 30.0) -> DataFrame:
+    d = flights.where(F.col("Delay_Minutes") > threshold)
+    return d.groupBy("Flight_ID").agg(
+        F.sum("Delay_Minutes").alias("Total_Delay"),
+        F.min_by("Aircraft_Type", F.struct("Scheduled_Time", "Airline")).alias("Aircraft_Type"),
+        F.min_by("Airline", F.struct("Scheduled_Time", "Airline")).alias("Airline"),
+    )
+
+
+# A35
+def load_extremes(flights: DataFrame, hi: float = 0.8, lo: float = 0.3) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("Flight_Count"))
+    h = _over_all(h, __hi=F.percentile("Flight_Count", hi), __lo=F.percentile("Flight_Count", lo))
+    return h.withColumn("Load", F.when(F.col("Flight_Count") > F.col("__hi"), "overloaded").when(F.col("Flight_Count") < F.col("__lo"), "underused").otherwise("normal")).drop("__hi", "__lo")
+
+
+# A36
+def describe(flights: DataFrame, col: str = "Delay_Minutes") -> DataFrame:
+    c = F.col(col)
+    return flights.agg(
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+
+
+# A39
+def value_share(flights: DataFrame, col: str) -> DataFrame:
+    g = flights.groupBy(col).agg(_cnt().alias("Count"))
+    g = _over_all(g, __n=F.sum("Count"))
+    return g.withColumn("Share_Pct", F.col("Count") / F.col("__n") * 100).drop("__n")
+
+
+# A40
+def slot_comparison(flights: DataFrame, slot_col: str = "Slot") -> DataFrame:
+    d = F.col("Delay_Minutes")
+    return flights.groupBy(slot_col).agg(
+        _cnt().alias("n"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"),
+        (F.count_if(d <= 15) / _cnt() * 100).alias("on_time_pct"), F.count_if(d > 60).alias("major"), F.stddev_samp(d).alias("std"))
+
+
+# A41
+def top_routes(flights: DataFrame, k: int = 8) -> DataFrame:
+    top = flights.groupBy("Destination").agg(_cnt().alias("c")).orderBy(F.desc("c"), "Destination").limit(k)
+    f = flights.join(F.broadcast(top.select("Destination")), "Destination", "left_semi")
+    d = F.col("Delay_Minutes")
+    return f.groupBy("Destination").agg(
+        _cnt().alias("n"), F.avg(d).alias("mean"), (F.count_if(d <= 15) / _cnt() * 100).alias("on_time_pct"),
+        F.count_if(d > 60).alias("major"), F.stddev_samp(d).alias("std"))
+
+
+# A42
+def hourly_performance(flights: DataFrame) -> DataFrame:
+    h = flights.groupBy("Hour").agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("mean"), F.stddev_samp("Delay_Minutes").alias("std"))
+    h = h.withColumn("Congestion", F.col("n") * F.col("mean"))
+    return h.withColumn(
+        "Performance",
+        50 / (F.col("mean") + 1) + 30 / (F.col("std") + 1) + 20 / (F.col("Congestion") + 1),
+    ).withColumn("Move_20pct", F.col("n") * 0.2)
+
+
+# A43
+def histogram(flights: DataFrame, col: str = "Delay_Minutes", bins: int = 20, by: str | None = None) -> DataFrame:
+    """Equal-width histogram between the column's min and max (max lands in the last bin)."""
+    mm = flights.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
+    f = flights.crossJoin(F.broadcast(mm))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    b = F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(F.least(F.floor((F.col(col) - F.col("__lo")) / width), F.lit(bins - 1)))
+    keys = ([by] if by else [])
+    f = f.where(F.col(col).isNotNull()).withColumn("Bin", b.cast("int"))
+    return f.groupBy(*keys, "Bin").agg(_cnt().alias("Count"), F.min(F.col("__lo") + F.col("Bin") * width).alias("Bin_Start"))

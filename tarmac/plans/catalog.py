@@ -32,8 +32,8 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        reps = [f"round({c} + 1.234567e-7, 4) AS {c}" for c in self.floats]
-        reps += [f"CAST({c} AS BIGINT) AS {c}" for c in self.ints]
+        reps = [f'round("{c}" + 1.234567e-7, 4) AS "{c}"' for c in self.floats]
+        reps += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in self.ints]
         if not reps:
             return self.sql
         return f"SELECT * REPLACE ({', '.join(reps)}) FROM (\n{self.sql}\n) AS q"
