@@ -285,8 +285,8 @@ def reschedule_reason(weather_factor, weather_cond, util_pct, delay, best_hour,
     parts = F.array_compact(
         F.array(
             F.when(_c(weather_factor) > 1.5, F.format_string("Weather impact (%s)", _c(weather_cond))),
-            F.when(_c(util_pct) > 85, F.format_string("Runway overcapacity (%.1f%%)", _c(util_pct))),
-            F.when(_c(delay) > 45, F.format_string("High delay (%.0f min)", _c(delay))),
+            F.when(_c(util_pct) > 85, F.format_string("Runway overcapacity (%.1f%%)", F.bround(_c(util_pct), 1))),
+            F.when(_c(delay) > 45, F.format_string("High delay (%d min)", F.bround(_c(delay), 0).cast("long"))),
             F.when(F.abs(_c(best_hour) - _c(cur_hour)) > 2, F.lit("Peak hour avoidance")),
         )
     )

@@ -8,6 +8,8 @@ from tarmac import dims
 
 
 def _q(v) -> str:
+    if v is None:
+        return "NULL"
     if isinstance(v, bool):
         return "TRUE" if v else "FALSE"
     if isinstance(v, str):
