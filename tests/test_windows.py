@@ -16,8 +16,8 @@ def test_turnaround_cascade_gaps(spark):
         rows.append((f"F{i}", "AC1", cur, cur, 0.0))
     df = spark.createDataFrame(rows, "Flight_ID string, Aircraft_ID string, Scheduled_Time timestamp_ntz, Actual_Time timestamp_ntz, Delay_Minutes double")
     out = {r.Flight_ID: r.Cascaded_Delay for r in W.turnaround_cascade(df).collect()}
-    # F1 leaves at 08:45 (+15), F2 at 09:30 (+31), F3 at 10:15 (+31), F4 sched 12:39 > 10:15+45
-    assert out == {"F0": 0.0, "F1": 15.0, "F2": 31.0, "F3": 31.0, "F4": 0.0}
+    # F1 leaves 08:45 (+15), F2 09:30 (+16), F3 10:15 (+16), F4 (13:19) is after 10:15 + 45
+    assert out == {"F0": 0.0, "F1": 15.0, "F2": 16.0, "F3": 16.0, "F4": 0.0}
 
 
 def test_rolling_global_matches_bruteforce(spark):
