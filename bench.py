@@ -28,7 +28,6 @@ def main() -> None:
     from tarmac.session import get_session
 
     spark = get_session(f"local[{cpus}]", max(cpus * 2, 8))
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     times = {}
     for name, q in registry.REGISTRY.items():
         if not q.bench or (only and name not in only):
