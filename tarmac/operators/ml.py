@@ -247,6 +247,8 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
     # the forest is n_trees x (<= 2 * psi) nodes: bounded by the parameters, not by the data
     forest = [json.loads(r["model"]) for r in forest_df.orderBy("tree").collect()]
     forest = [{k: np.asarray(v) for k, v in t.items()} for t in forest]
+    for t in forest:  # average path length of the unbuilt subtree below each node, looked up per leaf
+        t["c_leaf"] = np.array([_c_norm(int(sz)) for sz in t["size"]])
     cn = _c_norm(psi)
 
     def score(it):
@@ -266,7 +268,7 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
                     nxt = np.where(go_left, t["left"][node], t["right"][node])
                     node = np.where(internal, nxt, node)
                     depth = depth + internal
-                depth_sum += depth + np.array([_c_norm(int(s)) for s in t["size"][node]])
+                depth_sum += depth + t["c_leaf"][node]
             s = 2.0 ** (-(depth_sum / len(forest)) / cn) if cn > 0 else np.full(len(x), 0.5)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "anomaly_score": -s})
 
