@@ -333,3 +333,106 @@ def feature_importance_corr(df: DataFrame, features: list[str]) -> DataFrame:
     row = df.agg(*[F.coalesce(F.abs(corr(F.col(c).cast("double"))), F.lit(0.0)).alias(c) for c in features])
     stack = ", ".join(f"'{c}', `{c}`" for c in features)
     return row.selectExpr(f"stack({len(features)}, {stack}) as (feature, importance)")
+
+
+# J09 / M17 ----------------------------------------------------------------------
+def eps_neighbours(points: DataFrame, eps: float, grid: tuple[int, int] = (0, 1)) -> DataFrame:
+    """All (a, b) pairs (a != b allowed equal-position duplicates collapsed upstream) with ||v_a - v_b|| <= eps.
+
+    ``points``: (pid, key, v array<double>, w).  Exact blocking: rows with a
+    different ``key`` (the tuple of binary features) are > eps apart; inside a
+    key, candidates come from the 3 x 3 neighbouring grid cells of width eps
+    on two continuous dimensions, then the full distance is checked.
+    """
+    i, j = grid
+    p = points.withColumn("gx", F.floor(F.col("v")[i] / eps).cast("long")).withColumn("gy", F.floor(F.col("v")[j] / eps).cast("long"))
+    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    q = p.select(F.col("pid").alias("qid"), "key", F.col("v").alias("qv"), F.col("w").alias("qw"), F.explode(offs).alias("o"),
+                 "gx", "gy").select("qid", "key", "qv", "qw", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
+    cand = p.join(q, ["key", "gx", "gy"])
+    d2 = F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    return cand.where(d2 <= eps * eps).select("pid", "qid", "qw")
+
+
+def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Flight_ID", eps: float = 0.5, min_samples: int = 5,
+           max_rounds: int = 100) -> DataFrame:
+    """DBSCAN on population-standardised features: (key, DBSCAN_Cluster, DBSCAN_Anomaly).
+
+    Identical vectors are collapsed with a multiplicity first (removes the
+    main skew); core points have >= min_samples neighbours (self included);
+    clusters are connected components of core-core edges by min-label
+    propagation (checkpointed rounds); a border point takes the smallest
+    adjacent cluster label; the rest is noise (-1).
+    """
+    from tarmac.session import cut_lineage
+
+    cont = [c for c in features if c not in binary]
+    z = standard_scale(df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), features)
+    z = z.select(key, F.array(*[F.col(f"{c}_z") for c in cont + binary]).alias("v"),
+                 F.concat_ws("|", *[F.col(c).cast("long").cast("string") for c in binary]).alias("key"))
+    pts = z.groupBy("v", "key").agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("pid"))
+    pts = cut_lineage(pts)
+    nb = cut_lineage(eps_neighbours(pts, eps, (0, 1)))
+    core = nb.groupBy("pid").agg(F.sum("qw").alias("n")).where(F.col("n") >= min_samples).select("pid")
+    core = cut_lineage(core)
+    cc = nb.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "qid")
+    cc = cut_lineage(cc)
+    lab = core.withColumn("label", F.col("pid"))
+    for _ in range(max_rounds):
+        m = cc.join(lab.withColumnRenamed("pid", "qid").withColumnRenamed("label", "ql"), "qid").groupBy("pid").agg(F.min("ql").alias("m"))
+        new = lab.join(m, "pid", "left").select("pid", F.least("label", F.coalesce("m", "label")).alias("label"),
+                                                (F.col("m") < F.col("label")).alias("__chg"))
+        new = cut_lineage(new)
+        lab = new.drop("__chg")
+        if new.where("__chg").isEmpty():
+            break
+    border = (nb.join(lab.withColumnRenamed("pid", "qid").withColumnRenamed("label", "ql"), "qid")
+              .groupBy("pid").agg(F.min("ql").alias("bl")))
+    labels = pts.select("pid", "v", "key").join(lab, "pid", "left").join(border, "pid", "left").select(
+        "v", "key", F.coalesce("label", "bl").alias("lbl"))
+    # dense cluster ids in label order; the label table has one row per cluster (bounded by the cluster count)
+    ids = labels.where(F.col("lbl").isNotNull()).select("lbl").distinct()
+    from pyspark.sql import Window
+
+    ids = ids.withColumn("DBSCAN_Cluster", (F.row_number().over(Window.orderBy("lbl")) - 1).cast("int"))
+    out = z.join(labels, ["v", "key"], "left").join(ids, "lbl", "left")
+    return out.select(key, F.coalesce("DBSCAN_Cluster", F.lit(-1)).alias("DBSCAN_Cluster"),
+                      F.col("DBSCAN_Cluster").isNull().alias("DBSCAN_Anomaly"))
+
+
+# M20
+def ensemble(iforest: DataFrame, db: DataFrame, key: str = "Flight_ID") -> DataFrame:
+    x = iforest.join(db, key)
+    return x.withColumn("Combined_Anomaly", F.col("is_anomaly") | F.col("DBSCAN_Anomaly")).withColumn("Anomaly_Confidence", F.abs("decision"))
+
+
+def ensemble_summary(x: DataFrame) -> DataFrame:
+    return x.agg(F.count(F.lit(1)).alias("total_samples"), F.count_if("is_anomaly").alias("isolation_anomalies"),
+                 F.count_if("DBSCAN_Anomaly").alias("dbscan_anomalies"), F.count_if("Combined_Anomaly").alias("combined_anomalies"),
+                 (F.avg(F.col("Combined_Anomaly").cast("double")) * 100).alias("anomaly_rate"),
+                 F.countDistinct(F.when(F.col("DBSCAN_Cluster") >= 0, F.col("DBSCAN_Cluster"))).alias("unique_clusters"))
+
+
+# M07 / M10
+def best_model_predictions(df: DataFrame, kinds=("rf", "gbt")) -> DataFrame:
+    """Fit each model on the 70/30 split, keep the lowest test MAE, predict all flights (clipped at 0),
+    error and risk score = .7 * prediction + .3 * error."""
+    tr, te = split(df, 0.7)
+    best = None
+    for kind in kinds:
+        m = train_delay(tr, kind)
+        mae = regression_metrics(m.transform(te)).first()["MAE"]  # one scalar per model
+        if best is None or mae < best[0]:
+            best = (mae, kind, m)
+    p = predict_delay(best[2], df)
+    err = F.abs(F.col("Delay_Minutes") - F.col("Predicted_Delay"))
+    return p.withColumn("Model", F.lit(best[1])).withColumn("Prediction_Error", err).withColumn(
+        "Risk_Score", F.col("Predicted_Delay") * 0.7 + err * 0.3)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

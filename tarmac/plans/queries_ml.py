@@ -153,3 +153,57 @@ def a49(spark, sf):
 def a52(spark, sf):
     d, cols = _iforest(spark, sf)
     return M.feature_importance_corr(d, cols)
+
+
+BINARY = ["Is_Delayed", "Is_Peak_Hour_I", "Is_Weekend", "High_Congestion"]
+
+
+def _db(spark, sf):
+    feat = M.anomaly_features(flights(spark, sf))
+    fams = [c for c in feat.columns if c.startswith("Is_") and c.endswith("_Family")]
+    cols = M.ANOMALY_NUMERIC + fams
+    return feat, M.dbscan(feat, cols, BINARY + fams)
+
+
+@register("m17_dbscan")
+def m17(spark, sf):
+    """DBSCAN (eps .5, min 5) on standardised anomaly features; exact grid-blocked neighbour join."""
+    return _db(spark, sf)[1]
+
+
+@register("m20_ensemble")
+def m20(spark, sf):
+    """Isolation forest OR DBSCAN noise, with the summary counts."""
+    d, _ = _iforest(spark, sf)
+    _, db = _db(spark, sf)
+    return M.ensemble_summary(M.ensemble(d.select("Flight_ID", "anomaly_score", "decision", "is_anomaly"), db))
+
+
+@register("m07_best_model")
+def m07(spark, sf):
+    """Random forest vs boosted trees on a 70/30 split; lowest MAE predicts every flight."""
+    return M.best_model_predictions(M.delay_features(flights(spark, sf))).select(
+        "Flight_ID", "Model", "Predicted_Delay", "Prediction_Error", "Risk_Score")
+
+
+@register("m10_save_load_model")
+def m10(spark, sf):
+    """Train, save to the shared checkpoint folder, load back and predict."""
+    import uuid
+
+    from tarmac.session import ensure_checkpoint_dir
+
+    model, f, _ = _rf_predictions(spark, sf)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/delay-rf-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    return M.predict_delay(M.load_model(path), f).select("Flight_ID", "Predicted_Delay")
+
+
+@register("m15_silhouette")
+def m15(spark, sf):
+    """Silhouette (squared Euclidean, Spark's scalable form) of the hourly k-means tiers."""
+    from pyspark.ml.feature import VectorAssembler
+
+    c = M.peak_clusters(kpi.hour_dow_stats(flights(spark, sf)))
+    v = VectorAssembler(inputCols=["Flight_Count_z", "Avg_Delay_z", "Congestion_Score_z"], outputCol="features").transform(c)
+    return spark.createDataFrame([(float(M.silhouette(v)),)], "silhouette double")

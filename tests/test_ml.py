@@ -20,3 +20,32 @@ def test_standard_scale_population_std(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     z = [r.v_z for r in M.standard_scale(df, ["v"]).collect()]
     assert abs(z[0] + 1.224744871391589) < 1e-12
+
+
+def test_dbscan_noise_matches_bruteforce(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(0, 0.3, (140, 2))
+    b = rng.normal(3, 0.3, (140, 2))
+    o = rng.uniform(-6, 9, (20, 2))
+    x = np.vstack([a, b, o])
+    flag = (np.arange(len(x)) % 7 == 0).astype(int)
+    flag[-1] = 1 - flag[-1]
+    rows = [(f"P{i:03d}", float(p[0]), float(p[1]), int(f)) for i, (p, f) in enumerate(zip(x, flag))]
+    df = spark.createDataFrame(rows, "Flight_ID string, x double, y double, f int")
+    got = M.dbscan(df, ["x", "y", "f"], ["f"], eps=0.5, min_samples=5).toPandas().set_index("Flight_ID")
+    # brute force on the same standardisation (ddof 0)
+    m = np.column_stack([x, flag]).astype(float)
+    z = (m - m.mean(0)) / m.std(0)
+    d = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(-1))
+    nb = d <= 0.5
+    core = nb.sum(1) >= 5
+    noise = ~core & ~(nb & core[None, :]).any(1)
+    ids = [f"P{i:03d}" for i in range(len(x))]
+    assert (got.loc[ids, "DBSCAN_Anomaly"].to_numpy() == noise).all()
+    # two points share a cluster iff connected through core points: check core pairs within eps agree
+    lab = got.loc[ids, "DBSCAN_Cluster"].to_numpy()
+    ci = np.where(core)[0]
+    for i in ci:
+        for j in ci:
+            if nb[i, j]:
+                assert lab[i] == lab[j]
