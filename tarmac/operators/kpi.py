@@ -485,3 +485,82 @@ def histogram(flights: DataFrame, col: str = "Delay_Minutes", bins: int = 20, by
     keys = ([by] if by else [])
     f = f.where(F.col(col).isNotNull()).withColumn("Bin", b.cast("int"))
     return f.groupBy(*keys, "Bin").agg(_cnt().alias("Count"), F.min(F.col("__lo") + F.col("Bin") * width).alias("Bin_Start"))
+
+
+def _kv(section: str, key: str, value: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), value.cast("double").alias("value"))
+
+
+# A37
+def kpi_context(flights: DataFrame) -> DataFrame:
+    """Context bundle as (section, key, value) rows: summary, busiest/best/worst hour,
+    3 busiest and 3 lowest-delay hours, airline ranking (top 5 by mean delay), runway use, high-risk count."""
+    d = F.col("Delay_Minutes")
+    summary = flights.agg(F.array(
+        _kv("summary", "total_flights", _cnt()), _kv("summary", "avg_delay", F.avg(d)),
+        _kv("summary", "delay_rate_pct", F.count_if(d > 15) / _cnt() * 100), _kv("summary", "high_risk_flights", F.count_if(d > 60)),
+    ).alias("kv")).select(F.explode("kv").alias("r")).select("r.*")
+    h = flights.groupBy("Hour").agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("a"))
+    one = h.agg(F.array(
+        _kv("hours", "busiest_hour", F.max_by("Hour", F.struct("n", -F.col("Hour")))),
+        _kv("hours", "best_hour", F.min_by("Hour", F.struct("a", "Hour"))),
+        _kv("hours", "worst_hour", F.max_by("Hour", F.struct("a", -F.col("Hour")))),
+    ).alias("kv")).select(F.explode("kv").alias("r")).select("r.*")
+    # <= 24 hourly rows: ordering them globally is bounded
+    busy = h.orderBy(F.desc("n"), "Hour").limit(3).select(F.lit("peak_hours").alias("section"), F.col("Hour").cast("string").alias("key"),
+                                                         F.col("n").cast("double").alias("value"))
+    calm = h.orderBy(F.asc("a"), "Hour").limit(3).select(F.lit("low_delay_hours").alias("section"), F.col("Hour").cast("string").alias("key"),
+                                                        F.col("a").alias("value"))
+    air = flights.groupBy("Airline").agg(F.avg("Delay_Minutes").alias("a")).orderBy(F.desc("a"), "Airline").limit(5).select(
+        F.lit("airline_ranking").alias("section"), F.col("Airline").alias("key"), F.col("a").alias("value"))
+    rw = flights.groupBy("Runway").agg(_cnt().alias("n")).select(F.lit("runway_use").alias("section"), F.col("Runway").alias("key"),
+                                                                 F.col("n").cast("double").alias("value"))
+    return summary.unionByName(one).unionByName(busy).unionByName(calm).unionByName(air).unionByName(rw)
+
+
+# A38
+def data_summary(flights: DataFrame) -> DataFrame:
+    d = F.col("Delay_Minutes")
+    base = flights.agg(
+        _cnt().alias("total_flights"), F.count_if(d > 0).alias("delayed_flights"), (F.count_if(d > 0) / _cnt() * 100).alias("delayed_pct"),
+        F.avg(d).alias("avg_delay"), F.max(d).alias("max_delay"), (F.count_if(d <= 15) / _cnt() * 100).alias("on_time_rate"),
+        (F.count_if(d > 60) / _cnt() * 100).alias("severe_delay_rate"), F.count_if(d > 120).alias("over_2h"))
+    rw = flights.groupBy("Runway").agg(_cnt().alias("n")).agg(F.avg("n").alias("runway_mean_flights"), F.max("n").alias("runway_max_flights"))
+    hr = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("a")).agg(F.max("a").alias("peak_hour_max_delay"))
+    trend = flights.groupBy("Date").agg(F.avg("Delay_Minutes").alias("m")).orderBy(F.desc("Date")).limit(3).agg(F.avg("m").alias("recent_trend"))
+    return base.crossJoin(rw).crossJoin(hr).crossJoin(trend)
+
+
+def top_delayed_routes(flights: DataFrame, k: int = 5) -> DataFrame:
+    r = flights.groupBy("Origin", "Destination").agg(F.avg("Delay_Minutes").alias("Avg_Delay"))
+    return r.orderBy(F.desc("Avg_Delay"), "Origin", "Destination").limit(k)
+
+
+def operational_issues(flights: DataFrame) -> DataFrame:
+    """Rule hits as (issue, value): delay rate > 30 %, busiest runway > 2 x mean, flights delayed > 2 h."""
+    d = F.col("Delay_Minutes")
+    r15 = flights.agg((F.count_if(d > 15) / _cnt()).alias("v")).select(F.lit("high_delay_rate").alias("issue"), F.col("v").alias("value"),
+                                                                       (F.col("v") > 0.3).alias("__hit"))
+    rw = flights.groupBy("Runway").agg(_cnt().alias("n")).agg(F.max("n").alias("mx"), F.avg("n").alias("mean"))
+    rwi = rw.select(F.lit("runway_imbalance").alias("issue"), F.col("mx").cast("double").alias("value"), (F.col("mx") > F.col("mean") * 2).alias("__hit"))
+    sev = flights.agg(F.count_if(d > 120).alias("n")).select(F.lit("severe_delays").alias("issue"), F.col("n").cast("double").alias("value"),
+                                                            (F.col("n") > 0).alias("__hit"))
+    return r15.unionByName(rwi).unionByName(sev).where("__hit").drop("__hit")
+
+
+# A50 (basic rules)
+def basic_recommendations(flights: DataFrame) -> DataFrame:
+    """Rule table: peak hours to redistribute, high delay rate (> 30 % delayed > 0), runways above 80 % of the busiest;
+    a 'well optimized' row when no rule fires."""
+    ph = peak_hours(flights).agg(F.array_join(F.array_sort(F.collect_list(F.col("Hour").cast("string"))), ", ").alias("v"))
+    r1 = ph.where(F.col("v") != "").select(F.lit(1).alias("priority"), F.lit("redistribute_peak_hours").alias("rule"), F.col("v").alias("detail"))
+    ds = delay_summary(flights)
+    r2 = ds.where(F.col("delay_rate") > 30).select(F.lit(2).alias("priority"), F.lit("increase_buffer_times").alias("rule"),
+                                                   F.format_string("%.1f", F.col("delay_rate")).alias("detail"))
+    ru = runway_utilization(flights).where(F.col("Utilization_Score") > 80).agg(
+        F.array_join(F.array_sort(F.collect_list("Runway")), ", ").alias("v"))
+    r3 = ru.where(F.col("v") != "").select(F.lit(3).alias("priority"), F.lit("high_runway_utilization").alias("rule"), F.col("v").alias("detail"))
+    out = r1.unionByName(r2).unionByName(r3)
+    none = out.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.lit(4).alias("priority"), F.lit("no_major_issues").alias("rule"), F.lit("schedule appears well optimized").alias("detail"))
+    return out.unionByName(none)

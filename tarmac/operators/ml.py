@@ -145,7 +145,7 @@ def peak_clusters(stats: DataFrame, cols=("Flight_Count", "Avg_Delay", "Congesti
     from pyspark.sql import Window
     # k rows: bounded window
     rank = rank.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__m"), "cluster")))
-    names = F.element_at(F.array(*[F.lit(x) for x in ["Super Peak", "Peak", "Moderate", "Low"]]), F.least(F.col("__r"), F.lit(4)).cast("int"))
+    names = F.element_at(F.array(*[F.lit(x) for x in ["Super Peak", "Peak", "Moderate", "Low Traffic"]]), F.least(F.col("__r"), F.lit(4)).cast("int"))
     return out.join(rank.select("cluster", names.alias("Peak_Tier")), "cluster").drop("features")
 
 
@@ -436,3 +436,43 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+# A50 (peak rules) / A51 / A54 -- over the clustered hour x weekday table (M14)
+def peak_recommendations(clustered: DataFrame) -> DataFrame:
+    """Per hour: super-peak hours with mean count > 25 -> redistribute 20 %; mean delay > 15 -> capacity;
+    low-traffic hours with mean count < 10 -> utilisation.  Sorted by priority, hour."""
+    by_hour = clustered.groupBy("Hour", "Peak_Tier").agg(F.avg("Flight_Count").alias("f"), F.avg("Avg_Delay").alias("d"))
+    sp = by_hour.where(F.col("Peak_Tier") == "Super Peak")
+    r1 = sp.where(F.col("f") > 25).select("Hour", F.lit("redistribution").alias("type"), F.lit("high").alias("severity"), F.lit(1).alias("priority"),
+                                          F.floor(F.col("f") * 0.2).alias("flights_to_move"), (F.col("d") * 0.15).alias("expected_reduction"))
+    r2 = sp.where(F.col("d") > 15).select("Hour", F.lit("capacity").alias("type"), F.lit("medium").alias("severity"), F.lit(2).alias("priority"),
+                                          F.lit(None).cast("long").alias("flights_to_move"), (F.col("d") * 0.25).alias("expected_reduction"))
+    lt = by_hour.where((F.col("Peak_Tier") == "Low Traffic") & (F.col("f") < 10))
+    r3 = lt.select("Hour", F.lit("utilization").alias("type"), F.lit("low").alias("severity"), F.lit(3).alias("priority"),
+                   F.round(20 - F.col("f")).cast("long").alias("flights_to_move"), F.lit(None).cast("double").alias("expected_reduction"))
+    return r1.unionByName(r2).unionByName(r3).orderBy("priority", "Hour")
+
+
+def optimisation_opportunities(clustered: DataFrame) -> DataFrame:
+    sp = F.col("Peak_Tier") == "Super Peak"
+    lt = F.col("Peak_Tier") == "Low Traffic"
+    o = clustered.agg(
+        (F.sum(F.when(sp, F.col("Flight_Count"))) * 0.2).alias("excess"),
+        F.sum(F.when(lt, 20 - F.col("Flight_Count"))).alias("available"),
+        F.avg("Avg_Delay").alias("current_avg_delay"),
+        (F.avg(F.when(sp, F.col("Avg_Delay"))) * 0.25).alias("potential_delay_reduction"),
+        F.sum("Flight_Count").alias("throughput"),
+        F.countDistinct(F.when(sp, F.col("Hour"))).alias("peak_hours_count"))
+    o = o.withColumn("redistribution_feasible", F.least(F.coalesce("excess", F.lit(0.0)), F.coalesce("available", F.lit(0.0))))
+    o = o.withColumn("delay_improvement_pct", F.col("potential_delay_reduction") / F.col("current_avg_delay") * 100)
+    o = o.withColumn("throughput_improvement_pct", F.col("redistribution_feasible") / F.col("throughput") * 100)
+    return o.withColumn("optimization_score", F.least(F.lit(95.0), (F.col("potential_delay_reduction") / F.col("current_avg_delay")
+                                                                     + F.col("throughput_improvement_pct") / 100) * 50)).drop("excess", "available")
+
+
+def hourly_rollup(clustered: DataFrame) -> DataFrame:
+    from tarmac.operators.windows import modal_value
+
+    h = clustered.groupBy("Hour").agg(F.avg("Flight_Count").alias("Flight_Count"), F.avg("Avg_Delay").alias("Avg_Delay"))
+    return h.join(modal_value(clustered, ["Hour"], "Peak_Tier", "Peak_Tier"), "Hour")

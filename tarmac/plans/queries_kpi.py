@@ -386,3 +386,63 @@ def a42(spark, sf):
    ("Bin_Start",), ("Bin", "Count"))
 def a43(spark, sf):
     return kpi.histogram(flights(spark, sf))
+
+
+@q("a37_kpi_context", f"""SELECT 'summary' AS section, 'total_flights' AS key, CAST(count(*) AS DOUBLE) AS value FROM flights
+UNION ALL SELECT 'summary', 'avg_delay', avg(Delay_Minutes) FROM flights
+UNION ALL SELECT 'summary', 'delay_rate_pct', count_if(Delay_Minutes > 15) / count(*) * 100 FROM flights
+UNION ALL SELECT 'summary', 'high_risk_flights', CAST(count_if(Delay_Minutes > 60) AS DOUBLE) FROM flights
+UNION ALL SELECT 'hours', 'busiest_hour', CAST((SELECT Hour FROM ({H}) x ORDER BY Flight_Count DESC, Hour LIMIT 1) AS DOUBLE)
+UNION ALL SELECT 'hours', 'best_hour', CAST((SELECT Hour FROM ({H}) x ORDER BY Avg_Delay ASC, Hour LIMIT 1) AS DOUBLE)
+UNION ALL SELECT 'hours', 'worst_hour', CAST((SELECT Hour FROM ({H}) x ORDER BY Avg_Delay DESC, Hour LIMIT 1) AS DOUBLE)
+UNION ALL SELECT * FROM (SELECT 'peak_hours', CAST(Hour AS VARCHAR), CAST(Flight_Count AS DOUBLE) FROM ({H}) x ORDER BY Flight_Count DESC, Hour LIMIT 3)
+UNION ALL SELECT * FROM (SELECT 'low_delay_hours', CAST(Hour AS VARCHAR), Avg_Delay FROM ({H}) x ORDER BY Avg_Delay ASC, Hour LIMIT 3)
+UNION ALL SELECT * FROM (SELECT 'airline_ranking', Airline, avg(Delay_Minutes) AS a FROM flights GROUP BY Airline ORDER BY a DESC, Airline LIMIT 5)
+UNION ALL SELECT 'runway_use', Runway, CAST(count(*) AS DOUBLE) FROM flights GROUP BY Runway""", ("value",))
+def a37(spark, sf):
+    return kpi.kpi_context(flights(spark, sf))
+
+
+@q("a38_data_summary", f"""SELECT count(*) AS total_flights, count_if(Delay_Minutes > 0) AS delayed_flights,
+  count_if(Delay_Minutes > 0) / count(*) * 100 AS delayed_pct, avg(Delay_Minutes) AS avg_delay, max(Delay_Minutes) AS max_delay,
+  count_if(Delay_Minutes <= 15) / count(*) * 100 AS on_time_rate, count_if(Delay_Minutes > 60) / count(*) * 100 AS severe_delay_rate,
+  count_if(Delay_Minutes > 120) AS over_2h,
+  (SELECT avg(n) FROM (SELECT count(*) AS n FROM flights GROUP BY Runway)) AS runway_mean_flights,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM flights GROUP BY Runway)) AS runway_max_flights,
+  (SELECT max(Avg_Delay) FROM ({H}) x) AS peak_hour_max_delay,
+  (SELECT avg(m) FROM (SELECT Date, avg(Delay_Minutes) AS m FROM flights GROUP BY Date ORDER BY Date DESC LIMIT 3)) AS recent_trend
+FROM flights""", ("delayed_pct", "avg_delay", "max_delay", "on_time_rate", "severe_delay_rate", "runway_mean_flights", "peak_hour_max_delay",
+                  "recent_trend"), ("total_flights", "delayed_flights", "over_2h", "runway_max_flights"))
+def a38(spark, sf):
+    return kpi.data_summary(flights(spark, sf))
+
+
+@q("a38b_top_delayed_routes", """SELECT Origin, Destination, avg(Delay_Minutes) AS Avg_Delay FROM flights GROUP BY Origin, Destination
+ORDER BY Avg_Delay DESC, Origin, Destination LIMIT 5""", ("Avg_Delay",))
+def a38b(spark, sf):
+    return kpi.top_delayed_routes(flights(spark, sf))
+
+
+@q("a38c_operational_issues", """SELECT * FROM (
+  SELECT 'high_delay_rate' AS issue, count_if(Delay_Minutes > 15) / count(*) AS value, count_if(Delay_Minutes > 15) / count(*) > 0.3 AS hit FROM flights
+  UNION ALL SELECT 'runway_imbalance', CAST(max(n) AS DOUBLE), max(n) > avg(n) * 2 FROM (SELECT count(*) AS n FROM flights GROUP BY Runway)
+  UNION ALL SELECT 'severe_delays', CAST(count_if(Delay_Minutes > 120) AS DOUBLE), count_if(Delay_Minutes > 120) > 0 FROM flights) x
+WHERE hit""".replace("SELECT * FROM (", "SELECT issue, value FROM ("), ("value",))
+def a38c(spark, sf):
+    return kpi.operational_issues(flights(spark, sf))
+
+
+A50_CTE = f"""recs AS (
+  SELECT 1 AS priority, 'redistribute_peak_hours' AS rule, string_agg(CAST(Hour AS VARCHAR), ', ' ORDER BY CAST(Hour AS VARCHAR)) AS detail
+  FROM ({H}) h WHERE Flight_Count > 1.2 * (SELECT avg(Flight_Count) FROM ({H}) x) HAVING count(*) > 0
+  UNION ALL SELECT 2, 'increase_buffer_times', printf('%.1f', count_if(Delay_Minutes > 0) / count(*) * 100) FROM flights
+    HAVING count_if(Delay_Minutes > 0) / count(*) * 100 > 30
+  UNION ALL SELECT 3, 'high_runway_utilization', string_agg(Runway, ', ' ORDER BY Runway) FROM (
+    SELECT Runway, count(*) / max(count(*)) OVER () * 100 AS u FROM flights GROUP BY Runway) r WHERE u > 80 HAVING count(*) > 0)"""
+
+
+@q("a50_basic_recommendations", """SELECT * FROM recs
+UNION ALL SELECT 4, 'no_major_issues', 'schedule appears well optimized' WHERE NOT EXISTS (SELECT 1 FROM recs)""", (), ("priority",),
+   extra_ctes=(A50_CTE,))
+def a50(spark, sf):
+    return kpi.basic_recommendations(flights(spark, sf))

@@ -207,3 +207,24 @@ def m15(spark, sf):
     c = M.peak_clusters(kpi.hour_dow_stats(flights(spark, sf)))
     v = VectorAssembler(inputCols=["Flight_Count_z", "Avg_Delay_z", "Congestion_Score_z"], outputCol="features").transform(c)
     return spark.createDataFrame([(float(M.silhouette(v)),)], "silhouette double")
+
+
+def _clustered(spark, sf):
+    return M.peak_clusters(kpi.hour_dow_stats(flights(spark, sf)))
+
+
+@register("a50b_peak_recommendations")
+def a50b(spark, sf):
+    """Redistribution / capacity / utilisation recommendations from the k-means peak tiers."""
+    return M.peak_recommendations(_clustered(spark, sf))
+
+
+@register("a51_optimisation_opportunities")
+def a51(spark, sf):
+    return M.optimisation_opportunities(_clustered(spark, sf))
+
+
+@register("a54_hourly_rollup")
+def a54(spark, sf):
+    """Hour roll-up of the clustered hour x weekday table: mean count, mean delay, modal tier."""
+    return M.hourly_rollup(_clustered(spark, sf))
