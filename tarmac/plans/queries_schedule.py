@@ -256,3 +256,15 @@ def o14(spark, sf):
           floats=("Total_Revenue", "Avg_Revenue", "Revenue_per_Seat"), ints=("Hour", "Flights"))
 def a48(spark, sf):
     return O.revenue_by_hour(flights(spark, sf))
+
+
+@register("a50c_weather_recommendations", sql=with_views("""SELECT 'Weather Alert' AS type, Hour, arg_min(Weather_Condition, epoch_us(Scheduled_Time)) AS condition,
+  count(*) AS affected_flights, (1 - avg(Capacity_Reduction_Factor)) * 100 AS capacity_reduction_pct, NULL::VARCHAR AS detail
+FROM wd WHERE Capacity_Reduction_Factor < 0.7 GROUP BY Hour
+UNION ALL SELECT 'Runway Reassignment', NULL, NULL, count_if(Needs_Runway_Reassignment), NULL, '09R/27L, 09L/27R' FROM wd
+  HAVING count_if(Needs_Runway_Reassignment) > 0
+UNION ALL SELECT 'Schedule Optimization', NULL, NULL, NULL, NULL, string_agg(CAST(Hour AS VARCHAR), ', ' ORDER BY Hour) FROM (
+  SELECT Hour, sum(wdm) AS d FROM wd GROUP BY Hour) h WHERE d > (SELECT quantile_cont(d, 0.8) FROM (SELECT sum(wdm) AS d FROM wd GROUP BY Hour))
+  HAVING count(*) > 0""", FW_SQL, WCAP_SQL, WDEL_SQL, weather=True), floats=("capacity_reduction_pct",), ints=("Hour", "affected_flights"))
+def a50c(spark, sf):
+    return O.weather_recommendations(O.weather_delay(O.weather_capacity(_fw(spark, sf))))
