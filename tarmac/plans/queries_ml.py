@@ -228,3 +228,11 @@ def a51(spark, sf):
 def a54(spark, sf):
     """Hour roll-up of the clustered hour x weekday table: mean count, mean delay, modal tier."""
     return M.hourly_rollup(_clustered(spark, sf))
+
+
+@register("f05_filter_risk")
+def f05(spark, sf):
+    """Risk filter on the ML risk table: levels High/Critical with confidence >= 50."""
+    from tarmac.operators.filters import filter_risk
+
+    return filter_risk(M.ml_risk(_rf_predictions(spark, sf)[2]), ["High", "Critical"], 50.0)

@@ -33,6 +33,11 @@ ALIASES = {
 POSITIONAL = ["Date", "from", "to", "aircraft", "flight time", "std", "atd", "sta", "ata_status", "ata"]
 
 
+def _col(name: str) -> Column:
+    """Column by exact name (sheet headers contain dots and spaces)."""
+    return F.col(f"`{name}`")
+
+
 def _norm(name: str) -> str:
     return name.strip().lower().replace(" ", "_").replace("-", "_")
 
@@ -67,14 +72,14 @@ def flatten_hierarchy(df: DataFrame, key_cols: list[str], order_col: str = "row_
     w = Window.partitionBy(part_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     out = df
     for c in key_cols:
-        out = out.withColumn(c, F.last(_blank_to_null(F.col(c)), ignorenulls=True).over(w))
-    cond = reduce(lambda a, b: a & b, [_blank_to_null(F.col(c)).isNotNull() for c in detail_required])
+        out = out.withColumn(c, F.last(_blank_to_null(_col(c)), ignorenulls=True).over(w))
+    cond = reduce(lambda a, b: a & b, [_blank_to_null(_col(c)).isNotNull() for c in detail_required])
     return out.where(cond)
 
 
 def fill_flight_number(df: DataFrame, col: str = "Flight Number", order_col: str = "row_idx", part_col: str = "Time_Slot") -> DataFrame:
     w = Window.partitionBy(part_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(col, F.last(_blank_to_null(F.col(col)), ignorenulls=True).over(w))
+    return df.withColumn(col, F.last(_blank_to_null(_col(col)), ignorenulls=True).over(w))
 
 
 # S05
@@ -117,10 +122,13 @@ def map_columns(df: DataFrame, aliases: dict = ALIASES) -> DataFrame:
 
 # S12 / S08
 def ensure_time(df: DataFrame, base_date: str = "2024-01-01", src: str = "std") -> DataFrame:
-    t = F.regexp_replace(F.col(src).cast("string"), r"\s+", " ")
-    ts = F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(F.concat_ws(" ", F.lit(base_date), t), F.lit("yyyy-MM-dd HH:mm")),
-                    F.try_to_timestamp(F.concat_ws(" ", F.lit(base_date), t), F.lit("yyyy-MM-dd HH:mm:ss")))
-    return df.withColumn("Scheduled_Time", F.coalesce(F.col("Scheduled_Time") if "Scheduled_Time" in df.columns else F.lit(None), ts.cast("timestamp_ntz")))
+    """Scheduled_Time from a clock text on ``base_date`` (never the wall clock), or from a full timestamp text."""
+    t = F.trim(F.regexp_replace(_col(src).cast("string"), r"\s+", " "))
+    on_base = F.concat_ws(" ", F.lit(base_date), t)
+    clock = F.coalesce(F.try_to_timestamp(on_base, F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(on_base, F.lit("yyyy-MM-dd H:mm")))
+    ts = F.when(t.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), clock).otherwise(F.try_to_timestamp(t))
+    cur = F.col("Scheduled_Time") if "Scheduled_Time" in df.columns else F.lit(None).cast("timestamp_ntz")
+    return df.withColumn("Scheduled_Time", F.coalesce(cur, ts.cast("timestamp_ntz")))
 
 
 def fill_required(df: DataFrame, order_col: str = "row_idx", base: str = "2024-01-01 06:00:00") -> DataFrame:
@@ -204,7 +212,7 @@ def clock_diff(actual_min, sched_min) -> Column:
 
 # S16
 def select_departures(df: DataFrame, pattern: str = "(?i)Mumbai|BOM", col: str = "from", required=("std", "atd")) -> DataFrame:
-    return df.na.drop(subset=list(required)).where(F.col(col).rlike(pattern))
+    return df.na.drop(subset=list(required)).where(_col(col).rlike(pattern))
 
 
 # S17
