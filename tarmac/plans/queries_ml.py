@@ -232,7 +232,7 @@ def a54(spark, sf):
 
 @register("f05_filter_risk")
 def f05(spark, sf):
-    """Risk filter on the ML risk table: levels High/Critical with confidence >= 50."""
+    """Risk filter on the ML risk table with the reference's defaults: all levels, confidence >= 70."""
     from tarmac.operators.filters import filter_risk
 
-    return filter_risk(M.ml_risk(_rf_predictions(spark, sf)[2]), ["High", "Critical"], 50.0)
+    return filter_risk(M.ml_risk(_rf_predictions(spark, sf)[2]), None, 70.0)
