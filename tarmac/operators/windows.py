@@ -239,13 +239,34 @@ def recent_trend(df: DataFrame, col: str = "Delay_Minutes", date_col: str = "Dat
 
 
 # W14
-def islands(df: DataFrame, part: list[str], start: str, end: str, name: str = "Island") -> DataFrame:
+def islands(df: DataFrame, part: list[str], start: str, end: str, name: str = "Island", bucket_width: int | None = None) -> DataFrame:
     """Number overlapping [start, end] intervals into islands per partition.
 
     A new island starts where the interval begins after every earlier
     interval in the partition has ended (running max of ends).
+
+    With ``bucket_width`` the ordered scan is split by start bucket so no task
+    holds a whole partition (a busy airport): a small per-(partition, bucket)
+    table carries the max end and the island count of all earlier buckets,
+    and the windows run per (partition, bucket).  Same numbering either way.
     """
-    w = Window.partitionBy(*part).orderBy(F.col(start), F.col(end))
-    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flag = F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0)
-    return df.withColumn("__new", flag).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    order = [F.col(start), F.col(end)]
+    if bucket_width is None:
+        w = Window.partitionBy(*part).orderBy(*order)
+        prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        flag = F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0)
+        return df.withColumn("__new", flag).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    b = df.withColumn("__b", F.floor(F.col(start) / bucket_width))
+    keys = [*part, "__b"]
+    # buckets table: (partition x bucket) rows, bounded by the time span, not by the data
+    wb = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy(*keys).agg(F.max(end).alias("__bmax")).withColumn("__carry", F.max("__bmax").over(wb)).drop("__bmax")
+    b = b.join(carry, keys)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    local_prev = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    prev_end = F.greatest(local_prev, F.col("__carry"))  # greatest skips nulls
+    b = b.withColumn("__new", F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0))
+    b = b.withColumn("__local", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    offs = b.groupBy(*keys).agg(F.sum("__new").alias("__n")).withColumn(
+        "__off", F.coalesce(F.sum("__n").over(wb), F.lit(0))).drop("__n")
+    return b.join(offs, keys).withColumn(name, F.col("__local") + F.col("__off")).drop("__b", "__carry", "__new", "__local", "__off")

@@ -231,4 +231,4 @@ def w14(spark, sf):
     f = flights(spark, sf).select(
         "Origin", "Flight_ID", F.unix_micros(F.col("Scheduled_Time").cast("timestamp")).alias("s"))
     f = f.withColumn("e", F.col("s") + 20 * 60_000_000)
-    return W.islands(f, ["Origin"], "s", "e").select("Origin", "Flight_ID", "Island")
+    return W.islands(f, ["Origin"], "s", "e", bucket_width=3_600_000_000).select("Origin", "Flight_ID", "Island")
