@@ -182,7 +182,7 @@ def intent_metrics(flights: DataFrame, tagged: DataFrame, as_of: _dt.date) -> Da
     codes = [r for r in set(TIME_PATTERNS.values())]
     tpred = F.lit(True)
     for code in codes:
-        tpred = F.when(F.col("time") == code, time_window_predicate(code, as_of)).otherwise(tpred)
+        tpred = F.when(F.col("time") == code, time_window_predicate(code, as_of, date=F.col("Date"))).otherwise(tpred)
     f = flights.select("Flight_ID", "Hour", "Date", "Delay_Minutes").crossJoin(F.broadcast(combos))
     m = f.where(F.coalesce(tpred, F.lit(True)) & (F.col("delay_gt").isNull() | (F.col("Delay_Minutes") > F.col("delay_gt"))))
     m = m.where((F.col("entity") != "delays") | (F.col("Delay_Minutes") > 0))
