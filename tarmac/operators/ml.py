@@ -181,7 +181,7 @@ def anomaly_features(df: DataFrame) -> DataFrame:
     f = f.withColumn("Aircraft_Family", fam)
     for k, v in C.family_flags("Aircraft_Family").items():
         f = f.withColumn(k, v)
-    f = rolling_delay(f, part=["Origin"])
+    f = rolling_delay(f)  # global time order (reference semantics) via bucketed windows + halo repair
     f = J.with_group_counts(f, ["Date", "Hour"], "Hourly_Density")
     f = J.with_group_counts(f, ["Runway", "Date", "Hour"], "__rh")
     return f.withColumn("Runway_Utilization", F.try_divide(F.col("__rh"), F.col("Runway_Capacity"))).drop("__rh")
