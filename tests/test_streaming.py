@@ -59,3 +59,16 @@ def test_turnaround_state_matches_batch(spark):
     b = turnaround_cascade(flights_from_events(spark.read.parquet(src)))
     exp = {r.Flight_ID: round(r.Cascaded_Delay, 6) for r in b.collect()}
     assert got == exp
+
+
+def test_sliding_load_matches_batch(spark):
+    ev = read_table(spark, SF, "events")
+    d = tempfile.mkdtemp(prefix="tarmac-stream-")
+    src = os.path.join(d, "src")
+    ev.repartition(4).write.parquet(src)
+    q = (ST.sliding_runway_load(ST.flight_stream(spark, src, ev.schema), "100 days").writeStream.outputMode("complete")
+         .format("memory").queryName("st2_test").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r.window.start, r.Runway): r.flights for r in spark.table("st2_test").collect()}
+    b = flights(spark, SF).groupBy(F.window(F.col("Scheduled_Time").cast("timestamp"), "1 hour", "15 minutes"), "Runway").count().collect()
+    assert got == {(r.window.start, r.Runway): r["count"] for r in b}

@@ -39,3 +39,13 @@ def test_last_hour_load_matches_bruteforce(spark):
         g = p[(p.Runway == r.Runway) & (p.Date == r.Date)]
         n = ((g.Scheduled_Time >= r.Scheduled_Time - pd.Timedelta(hours=1)) & (g.Scheduled_Time <= r.Scheduled_Time)).sum()
         assert got[r.Flight_ID] == n
+
+
+def test_congestion_cascade_hand_worked(spark):
+    t0 = dt.datetime(2024, 1, 1, 8, 0)
+    rows = [(f"R{i}", "14/32", t0 + dt.timedelta(minutes=10 * i), d, 2, dt.date(2024, 1, 1)) for i, d in enumerate([100.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "Flight_ID string, Runway string, Scheduled_Time timestamp_ntz, Delay_Minutes double, "
+                                     "Runway_Capacity int, Date date")
+    out = {r.Flight_ID: r.Cascade_Delay_Minutes for r in W.congestion_cascade(W.last_hour_load(df)).collect()}
+    # loads .5, 1.0, 1.5; accumulator 10 -> +3 (13.3) -> +int(5.985) = 5
+    assert out == {"R0": 100.0, "R1": 3.0, "R2": 5.0}
