@@ -114,25 +114,40 @@ def importance(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 # M12
 def risk_heatmap(pred: DataFrame) -> DataFrame:
+    # the heat map uses the raw model output (not clipped at 0) and its > 15 min flag
     g = pred.groupBy("Date", "Hour").agg(
-        F.avg(F.col("Predicted_Late").cast("double")).alias("Delay_Risk"), F.avg("Predicted_Delay").alias("Predicted_Delay"),
+        F.avg((F.col("prediction") > 15).cast("double")).alias("Delay_Risk"), F.avg("prediction").alias("Predicted_Delay"),
         F.count(F.lit(1)).alias("Flight_Count"))
     return g.withColumn("Risk_Level", C.risk_level_fixed("Delay_Risk"))
 
 
 # M13
 def ml_risk(pred: DataFrame) -> DataFrame:
+    """ML risk table per (Date, Hour) from per-flight predictions.
+
+    Delay_Risk = .4 mean prediction + .2 prediction std + .3 mean risk score
+    + 10 * count / max count; levels by the 33/66/85 % quantiles of Delay_Risk
+    with right-closed bins starting at 0 (<= 0 or a one-flight slot's null std
+    give a null level, Q2); confidence = clip(100 - error / max(pred, 1) * 100).
+    """
     err = F.abs(F.col("Delay_Minutes") - F.col("Predicted_Delay"))
-    g = pred.groupBy("Hour").agg(
-        F.avg("Predicted_Delay").alias("Mean_Pred"), F.stddev_samp("Predicted_Delay").alias("Std_Pred"),
-        F.max("Predicted_Delay").alias("Max_Pred"), F.avg("Delay_Minutes").alias("Mean_Actual"), F.avg(err).alias("Mean_Error"))
-    g = g.withColumn("Delay_Risk", F.col("Mean_Pred") * 0.7 + F.col("Mean_Error") * 0.3)
+    p = pred.withColumn("__err", err).withColumn("__score", F.col("Predicted_Delay") * 0.7 + err * 0.3)
+    g = p.groupBy("Date", "Hour").agg(
+        F.avg("Predicted_Delay").alias("Predicted_Avg_Delay"), F.stddev_samp("Predicted_Delay").alias("Predicted_Delay_Std"),
+        F.max("Predicted_Delay").alias("Max_Predicted_Delay"), F.avg("Delay_Minutes").alias("Actual_Avg_Delay"),
+        F.count(F.lit(1)).alias("Flight_Count"), F.avg("__score").alias("Avg_Risk_Score"), F.avg("__err").alias("Avg_Prediction_Error"))
+    mx = g.agg(F.max("Flight_Count").alias("__mx"))
+    g = g.crossJoin(F.broadcast(mx)).withColumn(
+        "Delay_Risk", F.col("Predicted_Avg_Delay") * 0.4 + F.col("Predicted_Delay_Std") * 0.2 + F.col("Avg_Risk_Score") * 0.3
+        + F.col("Flight_Count") / F.col("__mx") * 10).drop("__mx")
+    # (Date, Hour) rows: bounded by the time span; quantiles from one aggregate
     q = g.agg(F.percentile("Delay_Risk", 0.33).alias("q1"), F.percentile("Delay_Risk", 0.66).alias("q2"), F.percentile("Delay_Risk", 0.85).alias("q3"))
     g = g.crossJoin(F.broadcast(q))
-    lvl = F.when(F.col("Std_Pred").isNull(), None).when(F.col("Delay_Risk") <= F.col("q1"), "Low").when(F.col("Delay_Risk") <= F.col("q2"), "Medium") \
-        .when(F.col("Delay_Risk") <= F.col("q3"), "High").otherwise("Critical")
-    conf = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - F.col("Mean_Error") / F.greatest(F.col("Mean_Pred"), F.lit(1.0)) * 100))
-    return g.withColumn("Risk_Level", lvl).withColumn("Confidence", conf).drop("q1", "q2", "q3")
+    r = F.col("Delay_Risk")
+    lvl = (F.when((r > 0) & (r <= F.col("q1")), "Low").when((r > F.col("q1")) & (r <= F.col("q2")), "Medium")
+           .when((r > F.col("q2")) & (r <= F.col("q3")), "High").when(r > F.col("q3"), "Critical"))
+    conf = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - F.col("Avg_Prediction_Error") / F.greatest(F.col("Predicted_Avg_Delay"), F.lit(1.0)) * 100))
+    return g.withColumn("Risk_Level", lvl).withColumn("Model_Confidence", conf).drop("q1", "q2", "q3")
 
 
 # M14 / M15 / M16

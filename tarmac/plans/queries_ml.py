@@ -235,4 +235,10 @@ def f05(spark, sf):
     """Risk filter on the ML risk table with the reference's defaults: all levels, confidence >= 70."""
     from tarmac.operators.filters import filter_risk
 
-    return filter_risk(M.ml_risk(_rf_predictions(spark, sf)[2]), None, 70.0)
+    return filter_risk(M.ml_risk(_rf_predictions(spark, sf)[2]), None, 70.0, conf_col="Model_Confidence")
+
+
+@register("a53b_confidence_by_hour")
+def a53b(spark, sf):
+    """Mean model confidence by hour of the ML risk table."""
+    return M.ml_risk(_rf_predictions(spark, sf)[2]).groupBy("Hour").agg(F.avg("Model_Confidence").alias("Model_Confidence"))
