@@ -564,3 +564,14 @@ def basic_recommendations(flights: DataFrame) -> DataFrame:
     none = out.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
         F.lit(4).alias("priority"), F.lit("no_major_issues").alias("rule"), F.lit("schedule appears well optimized").alias("detail"))
     return out.unionByName(none)
+
+
+def congestion_summary(flights: DataFrame) -> DataFrame:
+    """A06 headline figures: super-peak share and delay, mean congestion and efficiency, congested-route share."""
+    sp = F.col("Peak_Category") == "super_peak"
+    hc = F.col("Congestion_Factor") > 1.5
+    return flights.agg(
+        F.count_if(sp).alias("Super_Peak_Flights"), (F.count_if(sp) / _cnt() * 100).alias("Super_Peak_Pct"),
+        F.avg("Congestion_Factor").alias("Avg_Congestion"), F.avg(F.when(sp, F.col("Delay_Minutes"))).alias("Super_Peak_Avg_Delay"),
+        F.avg("Runway_Efficiency").alias("Avg_Runway_Efficiency"), F.count_if(hc).alias("High_Congestion_Flights"),
+        (F.count_if(hc) / _cnt() * 100).alias("High_Congestion_Pct"))

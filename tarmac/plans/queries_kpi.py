@@ -446,3 +446,13 @@ UNION ALL SELECT 4, 'no_major_issues', 'schedule appears well optimized' WHERE N
    extra_ctes=(A50_CTE,))
 def a50(spark, sf):
     return kpi.basic_recommendations(flights(spark, sf))
+
+
+@q("a06b_congestion_summary", """SELECT count_if(Peak_Category = 'super_peak') AS Super_Peak_Flights,
+  count_if(Peak_Category = 'super_peak') / count(*) * 100 AS Super_Peak_Pct, avg(Congestion_Factor) AS Avg_Congestion,
+  avg(CASE WHEN Peak_Category = 'super_peak' THEN Delay_Minutes END) AS Super_Peak_Avg_Delay, avg(Runway_Efficiency) AS Avg_Runway_Efficiency,
+  count_if(Congestion_Factor > 1.5) AS High_Congestion_Flights, count_if(Congestion_Factor > 1.5) / count(*) * 100 AS High_Congestion_Pct FROM flights""",
+   ("Super_Peak_Pct", "Avg_Congestion", "Super_Peak_Avg_Delay", "Avg_Runway_Efficiency", "High_Congestion_Pct"),
+   ("Super_Peak_Flights", "High_Congestion_Flights"))
+def a06b(spark, sf):
+    return kpi.congestion_summary(flights(spark, sf))
