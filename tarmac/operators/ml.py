@@ -240,6 +240,10 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
                      contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Isolation forest: returns key, anomaly_score (higher = more normal, like score_samples),
     decision (score - offset) and is_anomaly (decision < 0, offset = contamination quantile)."""
+    from tarmac.session import cut_lineage
+
+    # the feature rows are read three times (count, tree samples, scoring): materialise them once
+    df = cut_lineage(df.select(key, *[F.col(c).cast("double").alias(c) for c in features]))
     n = df.count()
     psi = int(min(max_samples, n))
     frac = min(1.0, 1.3 * psi * n_trees / max(n, 1))

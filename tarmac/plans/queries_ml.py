@@ -121,8 +121,9 @@ def m18(spark, sf):
 @register("m19_isolation_forest", bench=True)
 def m19(spark, sf):
     """Isolation forest (100 trees x 256 samples, contamination .1): train + score every flight."""
-    d, _ = _iforest(spark, sf)
-    return d.select("Flight_ID", "anomaly_score", "decision", "is_anomaly")
+    feat = M.anomaly_features(flights(spark, sf))
+    cols = M.ANOMALY_NUMERIC + [c for c in feat.columns if c.startswith("Is_") and c.endswith("_Family")]
+    return M.isolation_forest(feat, cols, contamination=0.1)
 
 
 @register("m21_anomaly_type")
