@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,17 +121,16 @@ def build_mph(history: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     history = keep(history)
     buckets = shards_for(history.count(), BUCKET_KEYS)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pilots, slots = build_bucket(pdf.h_sub.to_numpy(), pdf.h_slot.to_numpy())
-        out = pdf[["bucket", "digest", "win_doc", "win_row", "group_size"]].assign(slot=slots, m=len(pdf), pilots=None)
-        out["pilots"] = out["pilots"].astype(object)
-        out.iat[0, out.columns.get_loc("pilots")] = pilots.tolist()
-        return out
+    def build(t: pa.Table) -> pa.Table:
+        pilots, slots = build_bucket(t["h_sub"].to_numpy(), t["h_slot"].to_numpy())
+        one = pa.array([pilots.tolist()] + [None] * (len(t) - 1), pa.list_(pa.int32()))
+        t = t.drop_columns(["h_sub", "h_slot"]).append_column("slot", pa.array(slots))
+        return t.append_column("m", pa.array(np.full(len(t), len(t), np.int32))).append_column("pilots", one)
 
     schema = "bucket long, digest binary, win_doc long, win_row long, group_size long, slot long, m int, pilots array<int>"
     built = with_hashes(history, buckets).select(
         "bucket", "digest", "win_doc", "win_row", "group_size", "h_sub", "h_slot"
-    ).groupBy("bucket").applyInPandas(build, schema)
+    ).groupBy("bucket").applyInArrow(build, schema)
     built = keep(built)
     pilots = built.where("pilots IS NOT NULL").select("bucket", "m", "pilots")
     slots = built.select("bucket", "slot", F.col("digest").alias("slot_digest"), "win_doc", "win_row", "group_size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import exact_dedup, simhash
+from tarmac.llm import exact_dedup, mixing, sharding, simhash, topk
 from tarmac.llm.common import prepare
 
 
@@ -19,7 +19,10 @@ QUERIES = {
     f.__name__: _ready(f)
     for f in (
         exact_dedup.op2_exact_dedup,
+        mixing.op3_pivotal_mixing,
         simhash.op6_simhash_near_dedup,
+        topk.op9_exact_top_k,
+        sharding.op10_vector_sharding,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_exact_top_k": topk.ORACLE}
