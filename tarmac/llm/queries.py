@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import exact_dedup, mixing, sharding, simhash, topk
+from tarmac.llm import chat, exact_dedup, mixing, sharding, simhash, topk
 from tarmac.llm.common import prepare
 
 
@@ -20,9 +20,10 @@ QUERIES = {
     for f in (
         exact_dedup.op2_exact_dedup,
         mixing.op3_pivotal_mixing,
+        chat.op5_chat_formatting,
         simhash.op6_simhash_near_dedup,
         topk.op9_exact_top_k,
         sharding.op10_vector_sharding,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op9_exact_top_k": topk.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_exact_top_k": topk.ORACLE}
