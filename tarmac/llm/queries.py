@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, mixing, packing, sharding, simhash, topk
+from tarmac.llm import chat, exact_dedup, mixing, packing, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -23,6 +23,7 @@ QUERIES = {
         chat.op5_chat_formatting,
         simhash.op6_simhash_near_dedup,
         packing.op7_curve_packing,
+        toxicity.op8_toxicity,
         topk.op9_exact_top_k,
         sharding.op10_vector_sharding,
     )
