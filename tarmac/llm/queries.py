@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, mixing, packing, sharding, simhash, topk, toxicity
+from tarmac.llm import chat, exact_dedup, maxent, mixing, packing, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -18,6 +18,7 @@ def _ready(fn):
 QUERIES = {
     f.__name__: _ready(f)
     for f in (
+        maxent.op1_lm_scoring,
         exact_dedup.op2_exact_dedup,
         mixing.op3_pivotal_mixing,
         chat.op5_chat_formatting,
