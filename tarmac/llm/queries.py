@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, maxent, mixing, packing, sharding, simhash, topk, toxicity
+from tarmac.llm import chat, exact_dedup, maxent, mixing, packing, pii, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -21,6 +21,7 @@ QUERIES = {
         maxent.op1_lm_scoring,
         exact_dedup.op2_exact_dedup,
         mixing.op3_pivotal_mixing,
+        pii.op4_personal_data,
         chat.op5_chat_formatting,
         simhash.op6_simhash_near_dedup,
         packing.op7_curve_packing,
