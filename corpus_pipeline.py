@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import exact_dedup, simhash
+from tarmac.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tarmac.llm.common import prepare, table
 from tarmac.session import ensure_checkpoint_dir
 
@@ -26,8 +26,11 @@ def _stage(fn):
 
 
 STAGES = [
+    ("toxicity", _stage(toxicity.stage_toxicity)),
     ("exact_dedup", _stage(exact_dedup.stage_exact_dedup)),
     ("simhash_near_dedup", _stage(simhash.stage_simhash_near_dedup)),
+    ("mixing", _stage(mixing.stage_mixing)),
+    ("packing", _stage(packing.stage_packing)),
 ]
 
 #: Mixing and packing are randomised or model-based, so SQL cannot express the rows.
