@@ -151,5 +151,5 @@ def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document appears as often as the mix takes it (0, 1 or 2 times), with all its columns."""
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     rows = numbered.select(F.col("__row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
-    taken = mix(rows).where("copies > 0").select(F.col("row_id").alias("__row"), "copies")
-    return numbered.join(taken, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    taken = mix(rows).where("copies > 0").select(F.col("row_id").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    return numbered.join(taken, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
