@@ -57,14 +57,6 @@ RUNWAY_SENSITIVITY = {
 }
 
 # aircraft type -> (seats, turnaround minutes), operations view
-AIRCRAFT_OPS = {
-    "A320": (180, 45),
-    "B737": (160, 40),
-    "A321": (220, 50),
-    "B777": (300, 90),
-    "A350": (280, 85),
-    "B787": (250, 80),
-}
 # aircraft model -> (category, minimum runway length m, preferred runways), allocation view
 AIRCRAFT_ALLOC = {
     "A320": ("Medium", 2400, ["09R/27L", "09L/27R", "14/32"]),
@@ -182,18 +174,6 @@ def peak_category_col(hour: Column) -> Column:
     return out
 
 
-def airports_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, float(v[0]), v[1]) for k, v in AIRPORTS.items()],
-        "code string, congestion_factor double, priority string",
-    )
-
-
-def runways_ops_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, int(v[0]), float(v[1])) for k, v in RUNWAYS_OPS.items()],
-        "Runway string, Runway_Capacity int, Runway_Efficiency double",
-    )
 
 
 def runways_alloc_df(spark: SparkSession) -> DataFrame:
@@ -210,17 +190,3 @@ def aircraft_alloc_df(spark: SparkSession) -> DataFrame:
     )
 
 
-def revenue_hours_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(h, *map(float, v)) for h, v in REVENUE_HOURS.items()],
-        "hour int, demand double, revenue_multiplier double, willingness double, business_ratio double",
-    )
-
-
-def weather_dim_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, *v) for k, v in WEATHER.items()],
-        "Weather_Condition string, Visibility_km double, Wind_Speed_kts int, Precipitation_mm double, "
-        "Capacity_Reduction_Factor double, Landing_Restrictions boolean, Takeoff_Restrictions boolean, "
-        "Crosswind_Runway_Closure boolean, Base_Weather_Delay double",
-    )

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.operators.quantiles import exact_quantile
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
@@ -91,7 +93,7 @@ def delay_summary(flights: DataFrame) -> DataFrame:
         (F.count_if(d > 0) / _cnt() * 100).alias("delay_rate"),
         F.avg(d).alias("avg_delay"),
         F.max(d).alias("max_delay"),
-        F.percentile(d, 0.5).alias("median_delay"),
+        F.lit(exact_quantile(flights, "Delay_Minutes", 0.5)).alias("median_delay"),
         F.count_if(d > 30).alias("over_30"),
         F.count_if(d > 60).alias("over_60"),
     )
@@ -420,7 +422,7 @@ def disruption_table(flights: DataFrame, threshold: float = 30.0) -> DataFrame:
     d = flights.where(F.col("Delay_Minutes") > threshold)
     return d.groupBy("Flight_ID").agg(
         F.sum("Delay_Minutes").alias("Total_Delay"),
-        F.min_by("Aircraft_Type", F.struct("Scheduled_Time", "Airline")).alias("Aircraft_Type"),
+        F.min_by("Aircraft_ID", F.struct("Scheduled_Time", "Airline")).alias("Aircraft_ID"),
         F.min_by("Airline", F.struct("Scheduled_Time", "Airline")).alias("Airline"),
     )
 
@@ -437,7 +439,7 @@ def describe(flights: DataFrame, col: str = "Delay_Minutes") -> DataFrame:
     c = F.col(col)
     return flights.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+        *[F.lit(exact_quantile(flights, col, q / 100)).alias(f"p{q}") for q in (25, 50, 75)], F.max(c).alias("max"))
 
 
 # A39
@@ -450,8 +452,11 @@ def value_share(flights: DataFrame, col: str) -> DataFrame:
 # A40
 def slot_comparison(flights: DataFrame, slot_col: str = "Slot") -> DataFrame:
     d = F.col("Delay_Minutes")
+    slots = [r[0] for r in flights.select(slot_col).distinct().orderBy(slot_col).collect()]  # the few slots of a day
+    median = {s: exact_quantile(flights.where(F.col(slot_col).eqNullSafe(F.lit(s))), "Delay_Minutes", 0.5) for s in slots}
+    pick = F.coalesce(*[F.when(F.col(slot_col).eqNullSafe(F.lit(s)), F.lit(m)) for s, m in median.items()], F.lit(None).cast("double"))
     return flights.groupBy(slot_col).agg(
-        _cnt().alias("n"), F.avg(d).alias("mean"), F.percentile(d, 0.5).alias("median"),
+        _cnt().alias("n"), F.avg(d).alias("mean"), pick.alias("median"),
         (F.count_if(d <= 15) / _cnt() * 100).alias("on_time_pct"), F.count_if(d > 60).alias("major"), F.stddev_samp(d).alias("std"))
 
 
@@ -484,7 +489,12 @@ def histogram(flights: DataFrame, col: str = "Delay_Minutes", bins: int = 20, by
     b = F.when(F.col("__hi") == F.col("__lo"), 0).otherwise(F.least(F.floor((F.col(col) - F.col("__lo")) / width), F.lit(bins - 1)))
     keys = ([by] if by else [])
     f = f.where(F.col(col).isNotNull()).withColumn("Bin", b.cast("int"))
-    return f.groupBy(*keys, "Bin").agg(_cnt().alias("Count"), F.min(F.col("__lo") + F.col("Bin") * width).alias("Bin_Start"))
+    counted = f.groupBy(*keys, "Bin").agg(_cnt().alias("Count"))
+    spine = mm.where(F.col("__lo").isNotNull()).select("__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("Bin"))
+    if by:
+        spine = f.select(by).distinct().crossJoin(F.broadcast(spine))  # ``bins`` rows
+    starts = spine.select(*keys, "Bin", (F.col("__lo") + F.col("Bin") * width).alias("Bin_Start"))
+    return starts.join(counted, [*keys, "Bin"], "left").select(*keys, "Bin", F.coalesce("Count", F.lit(0)).alias("Count"), "Bin_Start")
 
 
 def _kv(section: str, key: str, value: Column) -> Column:
@@ -494,7 +504,7 @@ def _kv(section: str, key: str, value: Column) -> Column:
 # A37
 def kpi_context(flights: DataFrame) -> DataFrame:
     """Context bundle as (section, key, value) rows: summary, busiest/best/worst hour,
-    3 busiest and 3 lowest-delay hours, airline ranking (top 5 by mean delay), runway use, high-risk count."""
+    3 busiest and 3 lowest-delay hours, mean delay of every airline and runway, runway use, high-risk count."""
     d = F.col("Delay_Minutes")
     summary = flights.agg(F.array(
         _kv("summary", "total_flights", _cnt()), _kv("summary", "avg_delay", F.avg(d)),
@@ -511,7 +521,7 @@ def kpi_context(flights: DataFrame) -> DataFrame:
                                                          F.col("n").cast("double").alias("value"))
     calm = h.orderBy(F.asc("a"), "Hour").limit(3).select(F.lit("low_delay_hours").alias("section"), F.col("Hour").cast("string").alias("key"),
                                                         F.col("a").alias("value"))
-    air = flights.groupBy("Airline").agg(F.avg("Delay_Minutes").alias("a")).orderBy(F.desc("a"), "Airline").limit(5).select(
+    air = flights.groupBy("Airline").agg(F.avg("Delay_Minutes").alias("a")).select(
         F.lit("airline_ranking").alias("section"), F.col("Airline").alias("key"), F.col("a").alias("value"))
     rw = flights.groupBy("Runway").agg(_cnt().alias("n")).select(F.lit("runway_use").alias("section"), F.col("Runway").alias("key"),
                                                                  F.col("n").cast("double").alias("value"))

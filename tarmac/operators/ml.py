@@ -2,8 +2,8 @@
 
 Feature engineering is DataFrame columns; models are ``pyspark.ml``
 estimators.  The isolation forest is built Spark-side: trees are grown in
-``applyInPandas`` per tree id from a bounded sample (<= 256 rows per tree,
-independent of table size) and every row is scored by ``mapInPandas`` with
+``applyInPandas`` per tree id from its own sample (min(256, n) rows a tree,
+drawn by hash) and every row is scored by ``mapInPandas`` with
 the small forest shipped to the tasks.
 """
 
@@ -18,12 +18,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac import dims
 from tarmac.functions import columns as C
 from tarmac.operators import joins as J
+from tarmac.operators.components import components
+from tarmac.operators.quantiles import exact_quantile
 from tarmac.operators.windows import rolling_delay
 
 NUMERIC_FEATURES = [
@@ -157,7 +160,6 @@ def peak_clusters(stats: DataFrame, cols=("Flight_Count", "Avg_Delay", "Congesti
     m = KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(v)
     out = m.transform(v)
     rank = out.groupBy("cluster").agg(F.avg(cols[-1]).alias("__m"))
-    from pyspark.sql import Window
     # k rows: bounded window
     rank = rank.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__m"), "cluster")))
     names = F.element_at(F.array(*[F.lit(x) for x in ["Super Peak", "Peak", "Moderate", "Low Traffic"]]), F.least(F.col("__r"), F.lit(4)).cast("int"))
@@ -169,37 +171,60 @@ def silhouette(df: DataFrame, features: str = "features", pred: str = "cluster")
 
 
 def flight_clusters(df: DataFrame, k: int = 3) -> DataFrame:
-    v = VectorAssembler(inputCols=["Delay_Minutes", "Hour", "Capacity"], outputCol="features").transform(df)
-    m = KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(v)
-    out = m.transform(v)
-    prof = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("Delay_Minutes").alias("avg_delay"),
-                                      F.avg("Hour").alias("avg_hour"), F.avg("Capacity").alias("avg_capacity"))
-    return prof.withColumn("label", F.when(F.col("avg_delay") < 10, "Efficient").when(F.col("avg_delay") < 20, "Moderate").otherwise("Problematic"))
+    """K-means on standardised delay, hour and seats; a cluster's label by its mean delay."""
+    names = ["Delay_Minutes", "Hour", "Capacity"]
+    z = standard_scale(df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names}), names)
+    v = VectorAssembler(inputCols=[f"{c}_z" for c in names], outputCol="features").transform(z)
+    out = KMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
+    prof = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("Delay_Minutes").alias("avg_delay"), F.avg("Hour").alias("avg_hour"))
+    return prof.withColumn("label", F.when(F.col("avg_delay") < 10, "High Performance").when(F.col("avg_delay") < 20, "Moderate Performance")
+                           .otherwise("Needs Optimization"))
 
 
 # M18
-ANOMALY_NUMERIC = ["Delay_Minutes", "Hour", "Day_of_Week", "Capacity", "Capacity_Utilization", "Is_Delayed", "Is_Peak_Hour_I",
+ANOMALY_NUMERIC = ["Hour", "Day_of_Week", "Month", "Day_of_Year", "Delay_Minutes", "Is_Delayed", "Capacity_Utilization", "Is_Peak_Hour_I",
                    "Is_Weekend", "Congestion_Factor", "High_Congestion", "Rolling_Delay_Mean", "Rolling_Delay_Std",
-                   "Hourly_Density", "Runway_Utilization"]
+                   "Hourly_Traffic_Density", "Runway_Utilization"]
+TOP_AIRLINES = 10
 
 
 def anomaly_features(df: DataFrame) -> DataFrame:
+    """Calendar, delay, capacity, family, airline and runway flags, rolling delay, traffic per hour of day and per runway and hour.
+
+    Traffic counts come from one aggregate of (runway, hour); it has as many rows
+    as runways times 24.
+    """
     f = df.withColumn("Delay_Minutes", F.coalesce(F.col("Delay_Minutes").cast("double"), F.lit(0.0)))
     f = f.withColumn("Capacity", F.coalesce(F.col("Capacity").cast("double"), F.lit(150.0)))
-    mx = f.agg(F.max("Capacity").alias("__mx"))
-    f = f.crossJoin(F.broadcast(mx)).withColumn("Capacity_Utilization", F.col("Capacity") / F.col("__mx")).drop("__mx")
-    f = f.withColumn("Is_Delayed", (F.col("Delay_Minutes") > 0).cast("int"))
-    f = f.withColumn("Delay_Category", C.delay_category("Delay_Minutes"))
-    f = f.withColumn("Is_Peak_Hour_I", C.in_hours("Hour", C.ANOMALY_PEAK_HOURS)).withColumn("Is_Weekend", C.is_weekend("Day_of_Week"))
-    f = f.withColumn("High_Congestion", C.high_congestion("Congestion_Factor"))
-    fam = C.aircraft_family("Aircraft_Type")
-    f = f.withColumn("Aircraft_Family", fam)
-    for k, v in C.family_flags("Aircraft_Family").items():
-        f = f.withColumn(k, v)
-    f = rolling_delay(f)  # global time order (reference semantics) via bucketed windows + halo repair
-    f = J.with_group_counts(f, ["Date", "Hour"], "Hourly_Density")
-    f = J.with_group_counts(f, ["Runway", "Date", "Hour"], "__rh")
-    return f.withColumn("Runway_Utilization", F.try_divide(F.col("__rh"), F.col("Runway_Capacity"))).drop("__rh")
+    f = f.withColumn("Congestion_Factor", F.coalesce(F.col("Congestion_Factor").cast("double"), F.lit(1.0)))
+    per = f.groupBy("Runway", "Hour").agg(F.count(F.lit(1)).alias("Runway_Utilization"), F.max("Capacity").alias("__c"))
+    hourly = per.groupBy("Hour").agg(F.sum("Runway_Utilization").alias("Hourly_Traffic_Density"))
+    most = per.agg(F.max("__c").alias("__most"))
+    f = f.join(per.drop("__c"), ["Runway", "Hour"], "left").join(hourly, "Hour", "left").crossJoin(F.broadcast(most))  # one row
+    f = f.withColumns({"Month": F.month("Scheduled_Time"), "Day_of_Year": F.dayofyear("Scheduled_Time"),
+                       "Capacity_Utilization": F.col("Capacity") / F.col("__most"), "Is_Delayed": (F.col("Delay_Minutes") > 0).cast("int"),
+                       "Delay_Category": C.delay_category("Delay_Minutes"), "Is_Peak_Hour_I": C.in_hours("Hour", C.ANOMALY_PEAK_HOURS),
+                       "Is_Weekend": C.is_weekend("Day_of_Week"), "High_Congestion": C.high_congestion("Congestion_Factor"),
+                       "Aircraft_Family": C.aircraft_family("Aircraft_Type")}).drop("__most")
+    f = f.withColumns(C.family_flags("Aircraft_Family"))
+    return rolling_delay(f)
+
+
+def name_flags(df: DataFrame) -> dict[str, Column]:
+    """Flags of the ten airlines with the most flights and of every runway (both short lists of names)."""
+    clean = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\W+", "_")
+    airlines = df.groupBy(clean("Airline").alias("a")).count().orderBy(F.desc("count"), "a").limit(TOP_AIRLINES)
+    runways = df.select(clean("Runway").alias("r")).distinct().orderBy("r")
+    out = {f"Airline_{r['a'][:10]}": (clean("Airline") == r["a"]).cast("int") for r in airlines.collect() if r["a"] is not None}
+    for r in runways.toLocalIterator():
+        if r["r"] is not None:
+            out[f"Runway_ID_{r['r'][:5]}"] = (clean("Runway") == r["r"]).cast("int")
+    return out
+
+
+def anomaly_columns(feat: DataFrame) -> list[str]:
+    """The numeric columns that the detectors read."""
+    return ANOMALY_NUMERIC + [c for c in feat.columns if c.startswith(("Airline_", "Runway_ID_")) or c == "Is_Wide_Body" or (c.startswith("Is_") and c.endswith("_Family"))]
 
 
 # M19 ---------------------------------------------------------------------------
@@ -246,17 +271,18 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
     df = cut_lineage(df.select(key, *[F.col(c).cast("double").alias(c) for c in features]))
     n = df.count()
     psi = int(min(max_samples, n))
-    frac = min(1.0, 1.3 * psi * n_trees / max(n, 1))
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    sample = (df.select(key, *[F.col(c).cast("double").alias(c) for c in features])
-              .withColumn("__u", F.pmod(h, F.lit(1_000_000)) / 1_000_000.0).where(F.col("__u") < frac)
-              .withColumn("tree", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(n_trees)).cast("int")))
+    # each tree draws its own rows: over-drawn by hash of (row, tree), then the first psi in hash order
+    chance = min(1.0, (psi + 8 * psi ** 0.5 + 16) / max(n, 1))
+    draw = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < F.lit(chance))
+    sample = df.withColumn("tree", F.explode(trees)).withColumn("__u", draw(F.col("tree")))
+    sample = sample.withColumn("__n", F.row_number().over(Window.partitionBy("tree").orderBy("__u", key))).where(F.col("__n") <= psi).drop("__n")
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
     cols = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tid = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("__u").head(psi)
+        pdf = pdf.sort_values(["__u", key])
         x = pdf[cols].to_numpy(dtype=float)
         x = np.nan_to_num(x)
         tree = _build_tree(x, np.random.default_rng(seed + tid), max_depth)
@@ -298,60 +324,80 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
     return out.withColumn("is_anomaly", F.col("decision") < 0)
 
 
-# M21 / M22 / M23 / A49 / A52
-def anomaly_type(df: DataFrame) -> DataFrame:
-    q = df.agg(F.percentile("Runway_Utilization", 0.95).alias("__r95"), F.percentile("Capacity_Utilization", 0.95).alias("__c95"))
-    f = df.crossJoin(F.broadcast(q))
-    t = (F.when(~F.col("is_anomaly"), None)
+# M21 / M22 / M23 / A49 / A52 -- ``flag`` names the boolean of the combined detectors
+ACTIONS = {  # FIXED VALUES (must equal the reference's texts)
+    "Severe Delay": "Immediate intervention required - Consider flight rebooking or gate reassignment",
+    "Congestion Anomaly": "Activate congestion management protocols",
+    "Peak Hour Disruption": "Deploy additional ground crew and expedite turnaround",
+    "Runway Overutilization": "Consider runway redistribution or delay non-critical flights",
+    "Large Aircraft Anomaly": "Ensure adequate ground support and runway capacity",
+    "General Anomaly": "Monitor closely and investigate root cause",
+}
+
+
+def anomaly_type(df: DataFrame, flag: str = "Combined_Anomaly") -> DataFrame:
+    """Type of every flight; the 95 % limits are over all flights."""
+    busy, large = (F.lit(exact_quantile(df, c, 0.95)) for c in ("Runway_Utilization", "Capacity"))
+    t = (F.when(~F.col(flag), "Normal")
          .when(F.col("Delay_Minutes") > 60, "Severe Delay")
          .when(F.col("High_Congestion") == 1, "Congestion Anomaly")
-         .when(F.col("Is_Peak_Hour_I") == 1, "Peak Hour Anomaly")
-         .when(F.col("Runway_Utilization") > F.col("__r95"), "Runway Overload")
-         .when(F.col("Capacity_Utilization") > F.col("__c95"), "Capacity Anomaly")
+         .when((F.col("Is_Peak_Hour_I") == 1) & (F.col("Delay_Minutes") > 30), "Peak Hour Disruption")
+         .when(F.col("Runway_Utilization") > busy, "Runway Overutilization")
+         .when(F.col("Capacity") > large, "Large Aircraft Anomaly")
          .otherwise("General Anomaly"))
-    return f.withColumn("Anomaly_Type", t).drop("__r95", "__c95")
+    return df.withColumn("Anomaly_Type", t)
 
 
-def alerts(df: DataFrame, q: float = 0.8) -> DataFrame:
-    a = df.where("is_anomaly").withColumn("confidence", F.abs("decision"))
-    th = a.agg(F.percentile("confidence", q).alias("__q"))
-    a = a.crossJoin(F.broadcast(th)).where(F.col("confidence") > F.col("__q")).drop("__q")
-    sev = (F.when((F.col("confidence") > 1.5) | (F.col("Delay_Minutes") > 120), "Critical")
-           .when((F.col("confidence") > 1.0) | (F.col("Delay_Minutes") > 60), "High").otherwise("Medium"))
-    return a.withColumn("Severity", sev).orderBy(F.desc("confidence"), "Flight_ID")
+def alerts(typed: DataFrame, q: float = 0.8, flag: str = "Combined_Anomaly") -> DataFrame:
+    """Flagged flights whose confidence exceeds the q-quantile of all flights, with severity and action, best first."""
+    c, d = F.col("Anomaly_Confidence"), F.col("Delay_Minutes")
+    a = typed.where(F.col(flag) & (c > F.lit(exact_quantile(typed, "Anomaly_Confidence", q))))
+    severity = (F.when((c > 1.5) | (d > 60) | (F.col("Anomaly_Type") == "Severe Delay"), "Critical")
+                .when((c > 1.0) | (d > 30), "High").when((c > 0.5) | (d > 15), "Medium").otherwise("Low"))
+    action = dims.lookup(F.col("Anomaly_Type"), ACTIONS, "Monitor and investigate")
+    return a.select("Flight_ID", "Airline", "Scheduled_Time", "Runway", "Anomaly_Type", c.alias("confidence"), "Delay_Minutes",
+                    severity.alias("Severity"), action.alias("Recommended_Action")).orderBy(F.desc("confidence"), "Flight_ID")
 
 
-def detection_accuracy(df: DataFrame, truth_delay: float = 60.0) -> DataFrame:
+def detection_accuracy(df: DataFrame, truth_delay: float = 60.0, flag: str = "Combined_Anomaly") -> DataFrame:
     t = F.col("Delay_Minutes") > truth_delay
-    p = F.col("is_anomaly")
-    c = df.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"),
-               F.count_if(~t & ~p).alias("tn"))
+    p = F.col(flag)
+    c = df.agg(F.count(F.lit(1)).alias("total_predictions"), F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
+               F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    return c.select("*", ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("accuracy"),
-                    prec.alias("precision"), rec.alias("recall"),
-                    F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0)).alias("f1"))
-
-
-def anomaly_patterns(df: DataFrame) -> DataFrame:
-    a = df.where("is_anomaly")
-    parts = []
-    for dim in ("Hour", "Runway", "Day_of_Week", "Anomaly_Type"):
-        parts.append(a.groupBy(F.col(dim).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("count")).withColumn("dimension", F.lit(dim)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    acc = (F.col("tp") + F.col("tn")) / F.col("total_predictions")
+    return c.select("*", acc.alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
+                    F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0)).alias("f1"), (acc * 100).alias("accuracy_percentage"))
+
+
+def anomaly_patterns(typed: DataFrame, flag: str = "Combined_Anomaly") -> DataFrame:
+    """(dimension, key, value): counts of flagged flights by hour, day, month, runway, airline, aircraft and type, delay
+    statistics, and the shares in peak hours and under high congestion."""
+    a = typed.where(F.col(flag))
+    names = ["Hour", "Day_of_Week", "Month", "Runway", "Airline", "Aircraft_Type", "Anomaly_Type"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).cast("string").alias("key")) for n in names])
+    counts = a.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.key").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    d, n = F.col("Delay_Minutes"), F.count(F.lit(1))
+    median = F.lit(exact_quantile(a, "Delay_Minutes", 0.5))
+    cell = lambda dim, key, v: F.struct(F.lit(dim).alias("dimension"), F.lit(key).alias("key"), v.cast("double").alias("value"))
+    stats = a.agg(F.array(
+        cell("delay", "mean", F.avg(d)), cell("delay", "median", F.max(median)), cell("delay", "max", F.max(d)), cell("delay", "std", F.stddev_samp(d)),
+        cell("rate", "peak_hour", F.try_divide(F.count_if(F.col("Is_Peak_Hour_I") == 1) * 100.0, n)),
+        cell("rate", "congestion", F.try_divide(F.count_if(F.col("High_Congestion") == 1) * 100.0, n))).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    return counts.unionByName(stats)
 
 
 def feature_importance_corr(df: DataFrame, features: list[str]) -> DataFrame:
-    s = F.abs(F.col("anomaly_score"))
+    """|correlation| of each feature with |decision|, highest first."""
+    s = F.abs(F.col("decision"))
+
     def corr(x):
         return F.try_divide(F.covar_pop(x, s), F.stddev_pop(x) * F.stddev_pop(s))
 
     row = df.agg(*[F.coalesce(F.abs(corr(F.col(c).cast("double"))), F.lit(0.0)).alias(c) for c in features])
     stack = ", ".join(f"'{c}', `{c}`" for c in features)
-    return row.selectExpr(f"stack({len(features)}, {stack}) as (feature, importance)")
+    return row.selectExpr(f"stack({len(features)}, {stack}) as (feature, importance)").orderBy(F.desc("importance"), "feature")
 
 
 # J09 / M17 ----------------------------------------------------------------------
@@ -373,14 +419,13 @@ def eps_neighbours(points: DataFrame, eps: float, grid: tuple[int, int] = (0, 1)
     return cand.where(d2 <= eps * eps).select("pid", "qid", "qw")
 
 
-def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Flight_ID", eps: float = 0.5, min_samples: int = 5,
-           max_rounds: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Flight_ID", eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """DBSCAN on population-standardised features: (key, DBSCAN_Cluster, DBSCAN_Anomaly).
 
-    Identical vectors are collapsed with a multiplicity first (removes the
-    main skew); core points have >= min_samples neighbours (self included);
-    clusters are connected components of core-core edges by min-label
-    propagation (checkpointed rounds); a border point takes the smallest
+    Identical vectors are collapsed with a multiplicity first; core points have
+    >= min_samples neighbours (self included); clusters are the connected
+    components of core-core edges, by contraction until no edge is left; a
+    border point takes the smallest
     adjacent cluster label; the rest is noise (-1).
     """
     from tarmac.session import cut_lineage
@@ -396,22 +441,17 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
     core = cut_lineage(core)
     cc = nb.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "qid")
     cc = cut_lineage(cc)
-    lab = core.withColumn("label", F.col("pid"))
-    for _ in range(max_rounds):
-        m = cc.join(lab.withColumnRenamed("pid", "qid").withColumnRenamed("label", "ql"), "qid").groupBy("pid").agg(F.min("ql").alias("m"))
-        new = lab.join(m, "pid", "left").select("pid", F.least("label", F.coalesce("m", "label")).alias("label"),
-                                                (F.col("m") < F.col("label")).alias("__chg"))
-        new = cut_lineage(new)
-        lab = new.drop("__chg")
-        if new.where("__chg").isEmpty():
-            break
+    joined = cc.where("pid < qid").select(F.col("pid").alias("a"), F.col("qid").alias("b"))
+    roots = components(joined)
+    least = roots.groupBy("root").agg(F.min("node").alias("label"))
+    named = roots.join(least, "root").select(F.col("node").alias("pid"), "label")
+    lab = cut_lineage(core.join(named, "pid", "left").select("pid", F.coalesce("label", "pid").alias("label")))
     border = (nb.join(lab.withColumnRenamed("pid", "qid").withColumnRenamed("label", "ql"), "qid")
               .groupBy("pid").agg(F.min("ql").alias("bl")))
     labels = pts.select("pid", "v", "key").join(lab, "pid", "left").join(border, "pid", "left").select(
         "v", "key", F.coalesce("label", "bl").alias("lbl"))
     # dense cluster ids in label order; the label table has one row per cluster (bounded by the cluster count)
     ids = labels.where(F.col("lbl").isNotNull()).select("lbl").distinct()
-    from pyspark.sql import Window
 
     ids = ids.withColumn("DBSCAN_Cluster", (F.row_number().over(Window.orderBy("lbl")) - 1).cast("int"))
     out = z.join(labels, ["v", "key"], "left").join(ids, "lbl", "left")

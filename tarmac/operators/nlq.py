@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac import dims
@@ -107,7 +107,7 @@ def entity_col(q: Column) -> Column:
 
 # N03
 def time_code_col(q: Column) -> Column:
-    pat = r"(\d{1,2})(?::|\\s)?(am|pm|:\\d{2})"
+    pat = r"(\d{1,2})(?::|\s)?(am|pm|:\d{2})"
     # the reference formats the first match tuple: specific_time_('7', 'am')
     out = F.when(F.regexp_extract(q, pat, 0) != "",
                  F.concat(F.lit("specific_time_('"), F.regexp_extract(q, pat, 1), F.lit("', '"), F.regexp_extract(q, pat, 2), F.lit("')"))) \
@@ -133,7 +133,7 @@ def filters_col(q: Column, raw: Column) -> Column:
         F.when(F.size(airports) > 0, airports).alias("airports"),
         F.when(F.size(airlines) > 0, airlines).alias("airlines"),
         F.when(F.size(aircraft) > 0, aircraft).alias("aircraft_types"),
-        F.when(delay != "", delay.cast("int")).alias("delay_threshold"),
+        F.when(delay != "", delay.try_cast("int")).alias("delay_threshold"),
         qty.alias("quantity"),
     )
 
@@ -175,20 +175,35 @@ def route_topic(df: DataFrame, col: str = "text") -> DataFrame:
 def intent_metrics(flights: DataFrame, tagged: DataFrame, as_of: _dt.date) -> DataFrame:
     """Per distinct (time code, delay threshold, entity): matching flights, mean delay, forecast (x1.1).
 
-    The combinations come from the keyword tables (bounded), so they are
-    broadcast against the facts; one aggregate computes all of them.
+    Thresholds and clock times come from free text, so combinations are not
+    broadcast against the facts.  The facts are summed once per (date, hour,
+    delay): the time codes of the keyword table select among those sums, sums and
+    thresholds are put in one order per code and a running sum from the top gives
+    every threshold's count and total.
     """
     combos = tagged.select(F.col("filters.time").alias("time"), F.col("filters.delay_threshold").alias("delay_gt"), "entity").distinct()
-    codes = [r for r in set(TIME_PATTERNS.values())]
-    tpred = F.lit(True)
-    for code in codes:
-        tpred = F.when(F.col("time") == code, time_window_predicate(code, as_of, date=F.col("Date"))).otherwise(tpred)
-    f = flights.select("Flight_ID", "Hour", "Date", "Delay_Minutes").crossJoin(F.broadcast(combos))
-    m = f.where(F.coalesce(tpred, F.lit(True)) & (F.col("delay_gt").isNull() | (F.col("Delay_Minutes") > F.col("delay_gt"))))
-    m = m.where((F.col("entity") != "delays") | (F.col("Delay_Minutes") > 0))
-    g = m.groupBy("time", "delay_gt", "entity").agg(F.count(F.lit(1)).alias("flight_count"), F.avg("Delay_Minutes").alias("avg_delay"))
-    out = combos.join(g, ["time", "delay_gt", "entity"], "left").fillna(0, ["flight_count"])
-    return out.withColumn("forecast_delay", F.col("avg_delay") * 1.1)
+    codes = sorted(set(TIME_PATTERNS.values()))
+    known = F.col("time").isin(codes)
+    combos = combos.withColumn("code", F.when(known, F.col("time")).otherwise(F.lit("all"))).withColumn(
+        "least", F.greatest(F.coalesce(F.col("delay_gt").cast("double"), F.lit(float("-inf"))), F.when(F.col("entity") == "delays", 0.0).otherwise(float("-inf"))))
+    sums = flights.where(F.col("Delay_Minutes").isNotNull()).groupBy("Date", "Hour", F.col("Delay_Minutes").alias("delay")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = [(c, time_window_predicate(c, as_of, date=F.col("Date"))) for c in codes]
+    member = F.array_compact(F.array(F.lit("all"), *[F.when(p if p is not None else F.lit(True), F.lit(c)) for c, p in pairs]))
+    sums = sums.withColumn("code", F.explode(member)).groupBy("code", "delay").agg(F.sum("n").alias("n"))
+    marks = combos.select("code", F.col("least").alias("delay")).distinct().select("code", "delay", F.lit(0).cast("long").alias("n"), F.lit(True).alias("mark"))
+    both = sums.withColumn("mark", F.lit(False)).unionByName(marks)
+    # strictly greater delays: at equal values the mark comes first when read from the top
+    band = Window.partitionBy("code", "band").orderBy(F.col("delay").desc(), F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("band", F.floor(F.least(F.greatest(F.col("delay"), F.lit(-1.0)), F.lit(1e6)) / 60))
+    per = both.groupBy("code", "band").agg(F.sum("n").alias("bn"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("delay"))).alias("bs"))
+    above = Window.partitionBy("code").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a band
+    per = per.select("code", "band", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"), F.coalesce(F.sum("bs").over(above), F.lit(0.0)).alias("as"))
+    run = both.withColumn("rn", F.sum("n").over(band)).withColumn("rs", F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("delay"))).over(band), F.lit(0.0)))
+    got = run.where("mark").join(per, ["code", "band"]).select(
+        "code", F.col("delay").alias("least"), (F.col("rn") + F.col("an")).alias("flight_count"), (F.col("rs") + F.col("as")).alias("total"))
+    out = combos.join(got, ["code", "least"], "left")
+    mean = F.try_divide(F.col("total"), F.col("flight_count"))
+    return out.select("time", "delay_gt", "entity", F.coalesce("flight_count", F.lit(0)).alias("flight_count"), mean.alias("avg_delay"), (mean * 1.1).alias("forecast_delay"))
 
 
 def run_intent(flights: DataFrame, entity: str, time_code: str | None = None, airlines=None, airports=None, delay_gt=None,
@@ -224,25 +239,43 @@ def run_intent(flights: DataFrame, entity: str, time_code: str | None = None, ai
 
 
 # N07
-def intent_sql(spark, view: str, entity: str, time_code: str | None = None, delay_gt: float | None = None, limit: int = 10) -> DataFrame:
-    """Parameterised SQL template over a temp view (named parameters, no string splicing of values)."""
-    where = ["1 = 1"]
-    args = {}
-    if time_code in ("morning", "afternoon", "evening", "night"):
-        lo, hi = {"morning": (6, 11), "afternoon": (12, 17), "evening": (18, 23), "night": (0, 5)}[time_code]
+def intent_sql(spark, view: str, entity: str, time_code: str | None = None, delay_gt: float | None = None,
+               quantity: str | None = None, airlines: list[str] | None = None, airports: list[str] | None = None,
+               as_of: _dt.date | None = None, limit: int = 10) -> DataFrame:
+    """Parameterised SQL over a temp view (named parameters, no splicing of values).
+
+    Time codes: the day parts, peak_hours, today, tomorrow.  ``quantity`` most or
+    least sorts down or up and takes ``limit`` rows; without it every row is returned.
+    """
+    where, args = ["1 = 1"], {}
+    parts = {"morning": (6, 11), "afternoon": (12, 17), "evening": (18, 23), "night": (0, 5)}
+    if time_code in parts:
         where.append("Hour BETWEEN :lo AND :hi")
-        args.update(lo=lo, hi=hi)
+        args.update(lo=parts[time_code][0], hi=parts[time_code][1])
+    elif time_code == "peak_hours":
+        where.append("Hour IN (7, 8, 9, 18, 19, 20)")
+    elif time_code in ("today", "tomorrow") and as_of:
+        where.append("Date = :day")
+        args["day"] = as_of + _dt.timedelta(days=time_code == "tomorrow")
     if delay_gt is not None:
         where.append("Delay_Minutes > :d")
         args["d"] = float(delay_gt)
+    if airlines:
+        where.append("array_contains(:airlines, lower(Airline))")
+        args["airlines"] = F.array(*[F.lit(a.lower()) for a in airlines])
+    if airports:
+        where.append("(array_contains(:airports, Origin) OR array_contains(:airports, Destination))")
+        args["airports"] = F.array(*[F.lit(a) for a in airports])
     w = " AND ".join(where)
-    if entity == "runways":
-        sql = f"SELECT Runway, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay FROM {view} WHERE {w} GROUP BY Runway ORDER BY Avg_Delay DESC, Runway LIMIT :lim"
-    elif entity == "airlines":
-        sql = f"SELECT Airline, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay FROM {view} WHERE {w} GROUP BY Airline ORDER BY Avg_Delay DESC, Airline LIMIT :lim"
+    group = {"runways": "Runway", "airlines": "Airline", "airports": "Destination"}.get(entity)
+    if group:
+        sql, key, tie = f"SELECT {group}, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay FROM {view} WHERE {w} GROUP BY {group}", "Avg_Delay", group
     else:
-        sql = f"SELECT Flight_ID, Airline, Delay_Minutes FROM {view} WHERE {w} ORDER BY Delay_Minutes DESC, Flight_ID LIMIT :lim"
-    args["lim"] = int(limit)
+        extra = " AND Delay_Minutes > 0" if entity == "delays" else ""
+        sql, key, tie = f"SELECT * FROM {view} WHERE {w}{extra}", "Delay_Minutes", "Flight_ID"
+    if quantity in ("most", "least"):
+        sql += f" ORDER BY {key} {'DESC' if quantity == 'most' else 'ASC'}, {tie} LIMIT :lim"
+        args["lim"] = int(limit)
     return spark.sql(sql, args=args)
 
 
@@ -257,7 +290,6 @@ def suggest(partials: DataFrame, col: str = "text", k: int = 5) -> DataFrame:
     tl = F.lower(F.col("template"))
     hit = (F.instr(tl, F.col("__p")) > 0) | F.exists("__w", lambda w: (w != "") & (F.instr(tl, w) > 0))
     x = x.where(hit)
-    from pyspark.sql import Window
     keycols = [c for c in partials.columns]
     w = Window.partitionBy(*keycols).orderBy("template_id")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keycols, "template_id", "template", "rank")

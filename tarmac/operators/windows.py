@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tarmac.operators.quantiles import exact_quantile
 
 
 def _us(c) -> Column:
@@ -51,16 +50,12 @@ def union_all(dfs: list[DataFrame]) -> DataFrame:
 
 
 # W04
-def distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*cols).distinct()
-
-
 def nunique(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.countDistinct(c).alias(f"n_{c}") for c in cols])
 
 
 # W05
-def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buckets: int = 64,
+def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buckets: int | None = None,
                   t: str = "Scheduled_Time", key: str = "Flight_ID", col: str = "Delay_Minutes") -> DataFrame:
     """Rolling mean/std of ``col`` over the previous ``n`` rows in time order (min 1 row).
 
@@ -70,7 +65,7 @@ def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buck
     window runs per bucket, and the first n-1 rows of every bucket are
     recomputed from the bucket heads plus the previous buckets' last n-1 rows
     (at most 2(n-1) rows per bucket, so the repair table is tiny).
-    Tables of <= 10 rows get mean = value, std = 0 (reference rule).
+    The bucket count is that of the shuffle partitions unless given.
     """
     order = [F.col("__t"), F.col(key)]
     base = df.withColumn("__t", _us(t))
@@ -85,6 +80,7 @@ def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buck
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(-(n - 1), 0)
         out = base.select("*", *roll(w))
     else:
+        buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         probs = [i / buckets for i in range(1, buckets)]
         bounds = base.agg(F.percentile_approx("__t", probs, 10000).alias("__bounds"))
         b = base.crossJoin(F.broadcast(bounds)).withColumn(
@@ -107,11 +103,7 @@ def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buck
             .withColumn("Rolling_Delay_Std", F.coalesce("__s", "Rolling_Delay_Std"))
             .drop("__m", "__s", "__rn", "__rr", "__b")
         )
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    out = out.crossJoin(F.broadcast(total))
-    out = out.withColumn("Rolling_Delay_Mean", F.when(F.col("__n") <= 10, F.col(col).cast("double")).otherwise(F.col("Rolling_Delay_Mean")))
-    out = out.withColumn("Rolling_Delay_Std", F.when(F.col("__n") <= 10, F.lit(0.0)).otherwise(F.col("Rolling_Delay_Std")))
-    return out.drop("__n", "__t")
+    return out.drop("__t")
 
 
 # W06
@@ -132,68 +124,6 @@ def last_hour_load(df: DataFrame, part: tuple[str, ...] = ("Runway", "Date"), ca
     return out.drop("__t", "__h", "__halo")
 
 
-# W07
-def congestion_cascade(df: DataFrame, part: tuple[str, ...] = ("Runway", "Date")) -> DataFrame:
-    """Runway-day congestion cascade (ordered fold, reference semantics).
-
-    Needs W06's ``Runway_Load``.  The fold is sequential by definition, so it
-    runs per runway-day group with ``applyInPandas``; a group is one runway's
-    movements in one day, which the runway's hourly capacity bounds.
-    """
-    need = ["Flight_ID", "Scheduled_Time", "Delay_Minutes", "Runway_Load", *part]
-    schema = T.StructType([T.StructField("Flight_ID", T.StringType()), T.StructField("Cascade_Delay_Minutes", T.DoubleType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["Scheduled_Time", "Flight_ID"], kind="mergesort")
-        acc = 0.0
-        out = np.empty(len(pdf))
-        for i, (d, util) in enumerate(zip(pdf["Delay_Minutes"].to_numpy(float), pdf["Runway_Load"].to_numpy(float))):
-            if util > 0.8 and acc > 0:
-                c = min(60.0, acc * 0.3 * util)
-                d = d + int(c)
-                acc += c
-            else:
-                acc = max(0.0, acc * 0.8)
-            if d > 0:
-                acc += d * 0.1
-            out[i] = d
-        return pd.DataFrame({"Flight_ID": pdf["Flight_ID"].to_numpy(), "Cascade_Delay_Minutes": out})
-
-    res = df.select(*need).groupBy(*part).applyInPandas(fold, schema)
-    return df.join(res, "Flight_ID", "left")
-
-
-# W08
-def turnaround_cascade(df: DataFrame, min_turn: float = 45.0, key: str = "Aircraft_ID") -> DataFrame:
-    """Aircraft turnaround cascade (quirk Q6 kept): if prev actual + min_turn is after the
-    scheduled time, the flight leaves at that moment and the gap is added to its delay.
-
-    Sequential per aircraft: ``applyInPandas`` per aircraft; a group is one
-    airframe's rotations.
-    """
-    schema = T.StructType([
-        T.StructField("Flight_ID", T.StringType()),
-        T.StructField("Cascaded_Delay", T.DoubleType()),
-        T.StructField("Cascaded_Actual_Time", T.TimestampNTZType()),
-    ])
-    turn = pd.Timedelta(minutes=min_turn)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["Scheduled_Time", "Flight_ID"], kind="mergesort")
-        sched = pd.to_datetime(pdf["Scheduled_Time"]).tolist()
-        act = pd.to_datetime(pdf["Actual_Time"]).tolist()
-        delay = pdf["Delay_Minutes"].astype(float).tolist()
-        for i in range(1, len(sched)):
-            earliest = act[i - 1] + turn
-            if earliest > sched[i]:
-                delay[i] += (earliest - sched[i]).total_seconds() / 60.0
-                act[i] = earliest
-        return pd.DataFrame({"Flight_ID": pdf["Flight_ID"].to_numpy(), "Cascaded_Delay": delay, "Cascaded_Actual_Time": act})
-
-    res = df.select("Flight_ID", key, "Scheduled_Time", "Actual_Time", "Delay_Minutes").groupBy(key).applyInPandas(fold, schema)
-    return df.join(res, "Flight_ID", "left")
-
-
 # W09
 def next_flight(df: DataFrame, key: str, t: str = "Scheduled_Time", cols=("Flight_ID", "Scheduled_Time", "Origin")) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(t), F.col("Flight_ID"))
@@ -217,11 +147,9 @@ def share_of_total(df: DataFrame, col: str, name: str) -> DataFrame:
 
 # W11
 def quantile_flag(df: DataFrame, col: str, q: float, name: str, exact: bool = True, op: str = ">") -> DataFrame:
-    """Flag rows above (or below) the q-quantile of ``col``; threshold from one aggregate."""
-    agg = F.percentile(col, q) if exact else F.percentile_approx(col, q, 10000)
-    th = df.agg(agg.alias("__q"))
-    cond = F.col(col) > F.col("__q") if op == ">" else (F.col(col) < F.col("__q") if op == "<" else F.col(col) >= F.col("__q"))
-    return df.crossJoin(F.broadcast(th)).withColumn(name, cond).drop("__q")
+    """Flag rows above (or below) the q-quantile of ``col``; the threshold is exact unless ``exact`` is off."""
+    th = F.lit(exact_quantile(df, col, q) if exact else df.agg(F.percentile_approx(col, q, 10000)).first()[0])
+    return df.withColumn(name, F.col(col) > th if op == ">" else (F.col(col) < th if op == "<" else F.col(col) >= th))
 
 
 # W12

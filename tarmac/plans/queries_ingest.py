@@ -75,3 +75,42 @@ def s17(spark, sf):
 def s18(spark, sf):
     v = S.filter_values(flights(spark, sf))
     return v.select(*[F.array_join(c, ",").alias(c) for c in ("Airline", "Runway", "Origin", "Destination")], "min_date", "max_date")
+
+
+def _sheet(spark, sf):
+    """A sheet a runway: rows by event number, the flight number only on every seventh row, else blank."""
+    n = F.substring("Flight_ID", 3, 12).cast("long")
+    return flights(spark, sf).select(
+        n.alias("row_idx"), F.col("Runway").alias("Time_Slot"), F.when(F.pmod(n, F.lit(7)) == 0, F.col("Flight_ID")).otherwise(F.lit(" ")).alias("Flight Number"))
+
+
+@register("s04_fill_flight_number", sql=with_views("""SELECT row_idx, last_value(k IGNORE NULLS) OVER (PARTITION BY Runway ORDER BY row_idx) AS Flight_Number
+FROM (SELECT CAST(substr(Flight_ID, 3) AS BIGINT) AS row_idx, Runway, CASE WHEN CAST(substr(Flight_ID, 3) AS BIGINT) % 7 = 0 THEN Flight_ID END AS k FROM flights) s"""),
+          ints=("row_idx",))
+def s04(spark, sf):
+    """Blank flight numbers take the last one above in their sheet."""
+    return S.fill_flight_number(_sheet(spark, sf)).select("row_idx", F.col("`Flight Number`").alias("Flight_Number"))
+
+
+@register("s08_fill_required", sql=with_views("""SELECT n, 'FL' || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), '0') AS Flight_ID,
+  regexp_extract('FL' || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), '0'), '^([A-Z0-9]{2,3})', 1) AS Airline,
+  TIMESTAMP '2024-01-01 06:00:00' + to_minutes(30 * i) AS Scheduled_Time FROM (
+  SELECT CAST(substr(Flight_ID, 3) AS BIGINT) AS n, row_number() OVER (ORDER BY CAST(substr(Flight_ID, 3) AS BIGINT)) - 1 AS i FROM flights) s"""), ints=("n",))
+def s08(spark, sf):
+    """Ids, airlines and times made from a dense row number, over eight partitions."""
+    rows = flights(spark, sf).select(F.substring("Flight_ID", 3, 12).cast("long").alias("row_idx"), F.col("Airline").alias("note")).repartition(8)
+    return S.fill_required(rows).select(F.col("row_idx").alias("n"), "Flight_ID", "Airline", "Scheduled_Time")
+
+
+@register("s11_clean_legacy", sql=with_views("""SELECT Flight_ID, date_trunc('minute', Scheduled_Time) AS Scheduled_Time,
+  regexp_extract(Flight_ID, '([A-Z]{1,3})', 1) AS Airline, coalesce(TRY_CAST(CASE WHEN n % 50 = 0 THEN 'n/a' ELSE CAST(Delay_Minutes AS VARCHAR) END AS DOUBLE), 0.0) AS Delay_Minutes,
+  CASE WHEN n % 9 = 0 THEN 'R1' ELSE Runway END AS Runway, CASE WHEN n % 11 = 0 THEN 180.0 ELSE CAST(Capacity AS DOUBLE) END AS Capacity
+FROM (SELECT *, CAST(substr(Flight_ID, 3) AS BIGINT) AS n FROM flights) f"""), floats=("Delay_Minutes", "Capacity"))
+def s11(spark, sf):
+    """Given delay, runway and capacity are kept, gaps filled."""
+    n = F.substring("Flight_ID", 3, 12).cast("long")
+    rows = flights(spark, sf).select(
+        "Flight_ID", F.col("Date").cast("string").alias("Date"), F.date_format("Scheduled_Time", "H:mm").alias("std"),
+        F.when(F.pmod(n, F.lit(50)) == 0, F.lit("n/a")).otherwise(F.col("Delay_Minutes").cast("string")).alias("delay_minutes"),
+        F.when(F.pmod(n, F.lit(9)) != 0, F.col("Runway")).alias("runway"), F.when(F.pmod(n, F.lit(11)) != 0, F.col("Capacity").cast("string")).otherwise(F.lit("?")).alias("capacity"))
+    return S.clean_legacy(rows).select("Flight_ID", "Scheduled_Time", "Airline", "Delay_Minutes", "Runway", "Capacity")

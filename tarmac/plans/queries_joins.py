@@ -104,19 +104,18 @@ def j08(spark, sf):
 
 
 @register("j10_hour_spine", sql=with_views("""SELECT h.Hour, coalesce(s.Avg_Delay, 10.0) AS Avg_Delay, coalesce(s.Flight_Count, 0) AS Flight_Count
-FROM range(24) AS h(Hour) LEFT JOIN (SELECT Hour, avg(Delay_Minutes) AS Avg_Delay, count(*) AS Flight_Count FROM flights
-  WHERE Hour BETWEEN 6 AND 20 GROUP BY Hour) s ON h.Hour = s.Hour"""), floats=("Avg_Delay",), ints=("Hour", "Flight_Count"))
+FROM range(24) AS h(Hour) LEFT JOIN (SELECT Hour, avg(Delay_Minutes) AS Avg_Delay, count(*) AS Flight_Count FROM flights GROUP BY Hour) s ON h.Hour = s.Hour"""), floats=("Avg_Delay",), ints=("Hour", "Flight_Count"))
 def j10(spark, sf):
-    f = flights(spark, sf).where(F.col("Hour").between(6, 20))
+    f = flights(spark, sf)
     stats = f.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"), F.count(F.lit(1)).alias("Flight_Count"))
     return J.hour_spine(stats, {"Avg_Delay": 10.0, "Flight_Count": 0})
 
 
 # ------------------------------------------------------------------ windows
 @register("w01_order_flights", sql=with_views("""SELECT Flight_ID, Runway, Delay_Minutes FROM flights
-ORDER BY Runway ASC, Delay_Minutes DESC, Flight_ID LIMIT 50"""), floats=("Delay_Minutes",))
+ORDER BY Runway ASC, Delay_Minutes DESC, Flight_ID"""), floats=("Delay_Minutes",))
 def w01(spark, sf):
-    return W.order_flights(flights(spark, sf), [("Runway", True), ("Delay_Minutes", False)]).select("Flight_ID", "Runway", "Delay_Minutes").limit(50)
+    return W.order_flights(flights(spark, sf), [("Runway", True), ("Delay_Minutes", False)]).select("Flight_ID", "Runway", "Delay_Minutes")
 
 
 @register("w02_top_k", sql=with_views("""SELECT Flight_ID, Delay_Minutes FROM flights ORDER BY Delay_Minutes ASC, Flight_ID LIMIT 5"""),
@@ -132,11 +131,11 @@ def w02b(spark, sf):
     return W.top_k_per_group(flights(spark, sf), ["Runway"], "Delay_Minutes", 3).select("Runway", "Flight_ID", "Delay_Minutes", "rank")
 
 
-@register("w03_union_all", sql=with_views("""SELECT Flight_ID, Hour, NULL::VARCHAR AS Runway FROM flights WHERE Hour < 6
-UNION ALL SELECT Flight_ID, NULL::INTEGER AS Hour, Runway FROM flights WHERE Hour >= 22"""), ints=("Hour",))
+@register("w03_union_all", sql=with_views("""SELECT Flight_ID, Hour, NULL::VARCHAR AS Runway FROM flights WHERE Hour < 12
+UNION ALL SELECT Flight_ID, NULL::INTEGER AS Hour, Runway FROM flights WHERE Hour >= 12"""), ints=("Hour",))
 def w03(spark, sf):
     f = flights(spark, sf)
-    return W.union_all([f.where("Hour < 6").select("Flight_ID", "Hour"), f.where("Hour >= 22").select("Flight_ID", "Runway")])
+    return W.union_all([f.where("Hour < 12").select("Flight_ID", "Hour"), f.where("Hour >= 12").select("Flight_ID", "Runway")])
 
 
 @register("w04_distinct", sql=with_views("""SELECT count(DISTINCT Airline) AS n_Airline, count(DISTINCT Runway) AS n_Runway,
@@ -153,7 +152,7 @@ FROM flights WINDOW w AS ({part}ORDER BY Scheduled_Time, Flight_ID ROWS BETWEEN
 
 @register("w05_rolling_delay", sql=with_views(ROLL_SQL.format(part="")), floats=("Rolling_Delay_Mean", "Rolling_Delay_Std"))
 def w05(spark, sf):
-    return W.rolling_delay(flights(spark, sf), buckets=16).select("Flight_ID", "Rolling_Delay_Mean", "Rolling_Delay_Std")
+    return W.rolling_delay(flights(spark, sf)).select("Flight_ID", "Rolling_Delay_Mean", "Rolling_Delay_Std")
 
 
 @register("w05b_rolling_delay_by_origin", sql=with_views(ROLL_SQL.format(part="PARTITION BY Origin ")),
@@ -171,19 +170,6 @@ def w06(spark, sf):
     return W.last_hour_load(flights(spark, sf)).select("Flight_ID", "Recent_Flights", "Runway_Load")
 
 
-@register("w07_congestion_cascade")
-def w07(spark, sf):
-    """Runway-day congestion fold (sequential, rows-only check + pytest brute force)."""
-    f = W.last_hour_load(flights(spark, sf))
-    return W.congestion_cascade(f).select("Flight_ID", "Delay_Minutes", "Cascade_Delay_Minutes")
-
-
-@register("w08_turnaround_cascade")
-def w08(spark, sf):
-    """Aircraft turnaround fold (sequential, rows-only check + pytest brute force)."""
-    return W.turnaround_cascade(flights(spark, sf)).select("Flight_ID", "Aircraft_ID", "Cascaded_Delay", "Cascaded_Actual_Time")
-
-
 @register("w09_next_flight", sql=with_views("""SELECT Flight_ID,
   lead(Flight_ID) OVER w AS Next_Flight_ID, lag(Flight_ID) OVER w AS Prev_Flight_ID,
   lead(Origin) OVER w AS Next_Origin FROM flights WINDOW w AS (PARTITION BY Aircraft_ID ORDER BY Scheduled_Time, Flight_ID)"""))

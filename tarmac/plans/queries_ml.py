@@ -105,65 +105,109 @@ def m16(spark, sf):
     return M.flight_clusters(flights(spark, sf))
 
 
+def _features(spark, sf):
+    f = flights(spark, sf)
+    return M.anomaly_features(f).withColumns(M.name_flags(f))
+
+
 def _iforest(spark, sf):
-    feat = M.anomaly_features(flights(spark, sf))
-    cols = M.ANOMALY_NUMERIC + [c for c in feat.columns if c.startswith("Is_") and c.endswith("_Family")]
-    scores = M.isolation_forest(feat, cols, contamination=0.1)
-    return feat.join(scores, "Flight_ID"), cols
+    feat = _features(spark, sf)
+    cols = M.anomaly_columns(feat)
+    return feat.join(M.isolation_forest(feat, cols, contamination=0.1), "Flight_ID"), cols
+
+
+FEATURES_SQL = """ft AS (SELECT *, month(Scheduled_Time) AS Month, dayofyear(Scheduled_Time) AS Day_of_Year, CAST(Delay_Minutes > 0 AS BIGINT) AS Is_Delayed,
+  Capacity / max(Capacity) OVER () AS Capacity_Utilization, CAST(Hour IN (7,8,9,18,19,20) AS BIGINT) AS Is_Peak_Hour_I,
+  CAST(Day_of_Week IN (5,6) AS BIGINT) AS Is_Weekend, CAST(Congestion_Factor > 1.5 AS BIGINT) AS High_Congestion,
+  avg(Delay_Minutes) OVER w AS Rolling_Delay_Mean, coalesce(stddev_samp(Delay_Minutes) OVER w, 0.0) AS Rolling_Delay_Std,
+  count(*) OVER (PARTITION BY Hour) AS Hourly_Traffic_Density, count(*) OVER (PARTITION BY Runway, Hour) AS Runway_Utilization,
+  CAST(left(Aircraft_Type, 4) IN ('A330','A350','A380','B747','B767','B777','B787') AS BIGINT) AS Is_Wide_Body
+FROM flights WINDOW w AS (ORDER BY Scheduled_Time, Flight_ID ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+#: A score that SQL can express stands in for the detectors: the z-score of the delay, flagged above 1.
+SCORED_SQL = [FEATURES_SQL, """sc AS (SELECT *, decision > 1 AS Combined_Anomaly, abs(decision) AS Anomaly_Confidence
+FROM (SELECT *, (Delay_Minutes - avg(Delay_Minutes) OVER ()) / stddev_pop(Delay_Minutes) OVER () AS decision FROM ft) z)""",
+              """ty AS (SELECT *, CASE WHEN NOT Combined_Anomaly THEN 'Normal' WHEN Delay_Minutes > 60 THEN 'Severe Delay'
+  WHEN High_Congestion = 1 THEN 'Congestion Anomaly' WHEN Is_Peak_Hour_I = 1 AND Delay_Minutes > 30 THEN 'Peak Hour Disruption'
+  WHEN Runway_Utilization > (SELECT quantile_cont(Runway_Utilization, 0.95) FROM sc) THEN 'Runway Overutilization'
+  WHEN Capacity > (SELECT quantile_cont(Capacity, 0.95) FROM sc) THEN 'Large Aircraft Anomaly' ELSE 'General Anomaly' END AS Anomaly_Type FROM sc)"""]
+
+
+def _scored(spark, sf):
+    f = M.anomaly_features(flights(spark, sf))
+    m = f.agg(F.avg("Delay_Minutes").alias("__m"), F.stddev_pop("Delay_Minutes").alias("__s"))
+    f = f.crossJoin(F.broadcast(m)).withColumn("decision", (F.col("Delay_Minutes") - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    return f.withColumn("Combined_Anomaly", F.col("decision") > 1).withColumn("Anomaly_Confidence", F.abs("decision"))
 
 
-@register("m18_anomaly_features")
+@register("m18_anomaly_features", sql=with_views(f"SELECT Flight_ID, {', '.join(M.ANOMALY_NUMERIC)}, Is_Wide_Body FROM ft", FEATURES_SQL),
+          floats=("Delay_Minutes", "Capacity_Utilization", "Congestion_Factor", "Rolling_Delay_Mean", "Rolling_Delay_Std"),
+          ints=("Hour", "Day_of_Week", "Month", "Day_of_Year", "Is_Delayed", "Is_Peak_Hour_I", "Is_Weekend", "High_Congestion",
+                "Hourly_Traffic_Density", "Runway_Utilization", "Is_Wide_Body"))
 def m18(spark, sf):
-    f = M.anomaly_features(flights(spark, sf))
-    return f.select("Flight_ID", *M.ANOMALY_NUMERIC, "Delay_Category", "Aircraft_Family")
+    return M.anomaly_features(flights(spark, sf)).select("Flight_ID", *M.ANOMALY_NUMERIC, "Is_Wide_Body")
 
 
 @register("m19_isolation_forest", bench=True)
 def m19(spark, sf):
     """Isolation forest (100 trees x 256 samples, contamination .1): train + score every flight."""
-    feat = M.anomaly_features(flights(spark, sf))
-    cols = M.ANOMALY_NUMERIC + [c for c in feat.columns if c.startswith("Is_") and c.endswith("_Family")]
-    return M.isolation_forest(feat, cols, contamination=0.1)
+    feat = _features(spark, sf)
+    return M.isolation_forest(feat, M.anomaly_columns(feat), contamination=0.1)
 
 
-@register("m21_anomaly_type")
+@register("m21_anomaly_type", sql=with_views("SELECT Flight_ID, Combined_Anomaly, Anomaly_Type FROM ty", *SCORED_SQL))
 def m21(spark, sf):
-    d, _ = _iforest(spark, sf)
-    return M.anomaly_type(d).select("Flight_ID", "is_anomaly", "Anomaly_Type")
+    return M.anomaly_type(_scored(spark, sf)).select("Flight_ID", "Combined_Anomaly", "Anomaly_Type")
 
 
-@register("m22_alerts")
-def m22(spark, sf):
-    d, _ = _iforest(spark, sf)
-    return M.alerts(d).select("Flight_ID", "Delay_Minutes", "confidence", "Severity")
+ACTION_SQL = "CASE Anomaly_Type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.ACTIONS.items()) + " ELSE 'Monitor and investigate' END"
 
 
-@register("m23_detection_accuracy")
-def m23(spark, sf):
-    d, _ = _iforest(spark, sf)
-    return M.detection_accuracy(d)
+@register("m22_alerts", sql=with_views(f"""SELECT Flight_ID, Airline, Scheduled_Time, Runway, Anomaly_Type, Anomaly_Confidence AS confidence, Delay_Minutes,
+  CASE WHEN Anomaly_Confidence > 1.5 OR Delay_Minutes > 60 OR Anomaly_Type = 'Severe Delay' THEN 'Critical'
+       WHEN Anomaly_Confidence > 1.0 OR Delay_Minutes > 30 THEN 'High' WHEN Anomaly_Confidence > 0.5 OR Delay_Minutes > 15 THEN 'Medium' ELSE 'Low' END AS Severity,
+  {ACTION_SQL} AS Recommended_Action
+FROM ty WHERE Combined_Anomaly AND Anomaly_Confidence > (SELECT quantile_cont(Anomaly_Confidence, 0.8) FROM ty)""", *SCORED_SQL), floats=("confidence", "Delay_Minutes"))
+def m22(spark, sf):
+    return M.alerts(M.anomaly_type(_scored(spark, sf)))
 
 
-@register("a49_anomaly_patterns")
+@register("m23_detection_accuracy", sql=with_views("""SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+  2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1, (tp + tn) / total_predictions AS accuracy,
+  (tp + tn) / total_predictions * 100 AS accuracy_percentage FROM (SELECT count(*) AS total_predictions,
+  count_if(Delay_Minutes > 60 AND Combined_Anomaly) AS tp, count_if(Delay_Minutes <= 60 AND Combined_Anomaly) AS fp,
+  count_if(Delay_Minutes > 60 AND NOT Combined_Anomaly) AS fn, count_if(Delay_Minutes <= 60 AND NOT Combined_Anomaly) AS tn FROM sc) c""", *SCORED_SQL[:2]),
+          floats=("precision", "recall", "f1", "accuracy", "accuracy_percentage"), ints=("total_predictions", "tp", "fp", "fn", "tn"))
+def m23(spark, sf):
+    return M.detection_accuracy(_scored(spark, sf))
+
+
+@register("a49_anomaly_patterns", sql=with_views("""SELECT dimension, key, CAST(count(*) AS DOUBLE) AS value FROM (
+""" + " UNION ALL ".join(f"SELECT '{n}' AS dimension, CAST({n} AS VARCHAR) AS key FROM ty WHERE Combined_Anomaly"
+                         for n in ("Hour", "Day_of_Week", "Month", "Runway", "Airline", "Aircraft_Type", "Anomaly_Type")) + """) d GROUP BY 1, 2
+UNION ALL SELECT 'delay', 'mean', avg(Delay_Minutes) FROM ty WHERE Combined_Anomaly
+UNION ALL SELECT 'delay', 'median', quantile_cont(Delay_Minutes, 0.5) FROM ty WHERE Combined_Anomaly
+UNION ALL SELECT 'delay', 'max', max(Delay_Minutes) FROM ty WHERE Combined_Anomaly
+UNION ALL SELECT 'delay', 'std', stddev_samp(Delay_Minutes) FROM ty WHERE Combined_Anomaly
+UNION ALL SELECT 'rate', 'peak_hour', count_if(Is_Peak_Hour_I = 1) / count(*) * 100 FROM ty WHERE Combined_Anomaly
+UNION ALL SELECT 'rate', 'congestion', count_if(High_Congestion = 1) / count(*) * 100 FROM ty WHERE Combined_Anomaly""", *SCORED_SQL), floats=("value",))
 def a49(spark, sf):
-    d, _ = _iforest(spark, sf)
-    return M.anomaly_patterns(M.anomaly_type(d))
+    return M.anomaly_patterns(M.anomaly_type(_scored(spark, sf)))
 
 
-@register("a52_anomaly_feature_importance")
+@register("a52_anomaly_feature_importance", sql=with_views(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce(abs(covar_pop({c}, abs(decision)) / nullif(stddev_pop({c}) * stddev_pop(abs(decision)), 0)), 0.0) AS importance FROM sc"
+    for c in M.ANOMALY_NUMERIC), *SCORED_SQL[:2]), floats=("importance",))
 def a52(spark, sf):
-    d, cols = _iforest(spark, sf)
-    return M.feature_importance_corr(d, cols)
+    return M.feature_importance_corr(_scored(spark, sf), M.ANOMALY_NUMERIC)
 
 
 BINARY = ["Is_Delayed", "Is_Peak_Hour_I", "Is_Weekend", "High_Congestion"]
 
 
 def _db(spark, sf):
-    feat = M.anomaly_features(flights(spark, sf))
-    fams = [c for c in feat.columns if c.startswith("Is_") and c.endswith("_Family")]
-    cols = M.ANOMALY_NUMERIC + fams
-    return feat, M.dbscan(feat, cols, BINARY + fams)
+    feat = _features(spark, sf)
+    cols = M.anomaly_columns(feat)
+    return feat, M.dbscan(feat, cols, BINARY + [c for c in cols if c not in M.ANOMALY_NUMERIC])
 
 
 @register("m17_dbscan")

@@ -15,10 +15,14 @@ AS_OF = dt.date(2024, 1, 15)
 
 
 def questions(spark, sf):
-    return read_table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    """Every turn and every document as a question (documents: conv_id = -1 - doc_id, turn 0)."""
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    docs = read_table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), "text")
+    return turns.unionByName(docs)
 
 
-Q_CTE = "qs AS (SELECT conv_id, turn, text, lower(text) AS q FROM conversations WHERE role = 'user')"
+Q_CTE = """qs AS (SELECT conv_id, turn, text, lower(text) AS q FROM (
+  SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - doc_id, 0, text FROM documents) a)"""
 
 
 def _any(words) -> str:
@@ -50,7 +54,7 @@ def n01(spark, sf):
 
 
 def _time_sql() -> str:
-    pat = r"(\d{1,2})(?::|\\s)?(am|pm|:\\d{2})"
+    pat = r"(\d{1,2})(?::|\s)?(am|pm|:\d{2})"
     parts = [f"WHEN contains(q, {_q(k)}) THEN {_q(v)}" for k, v in N.TIME_PATTERNS.items()]
     return ("CASE " + " ".join(parts)
             + f" WHEN regexp_extract(q, '{pat}', 0) <> '' THEN 'specific_time_(''' || regexp_extract(q, '{pat}', 1) || ''', ''' || regexp_extract(q, '{pat}', 2) || ''')'"
@@ -62,7 +66,7 @@ def _qty_sql() -> str:
 
 
 @register("n03_extract_filters", sql=with_views(f"""SELECT conv_id, turn, {_time_sql()} AS time,
-  CAST(nullif(regexp_extract(q, '(\\d+)\\s*(?:minute|min|hour|hr)', 1), '') AS INTEGER) AS delay_threshold,
+  TRY_CAST(nullif(regexp_extract(q, '(\\d+)\\s*(?:minute|min|hour|hr)', 1), '') AS INTEGER) AS delay_threshold,
   {_qty_sql()} AS quantity,
   CASE WHEN len(list_filter(regexp_split_to_array(upper(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{3}}') AND list_contains({'[' + ', '.join(_q(a) for a in N.dims.AIRPORT_ORDER) + ']'}, w))) > 0
     THEN array_to_string(list_filter(regexp_split_to_array(upper(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{3}}') AND list_contains({'[' + ', '.join(_q(a) for a in N.dims.AIRPORT_ORDER) + ']'}, w)), ',') END AS airports
@@ -99,7 +103,22 @@ WHERE Hour BETWEEN 18 AND 23 AND Delay_Minutes > 30.0 GROUP BY Airline ORDER BY
           floats=("Avg_Delay",), ints=("Flight_Count",))
 def n07(spark, sf):
     flights(spark, sf).createOrReplaceTempView("tarmac_flights")
-    return N.intent_sql(spark, "tarmac_flights", "airlines", "evening", 30)
+    return N.intent_sql(spark, "tarmac_flights", "airlines", "evening", 30, "most")
+
+
+@register("n07b_intent_sql_airports", sql=with_views("""SELECT Destination, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay FROM flights
+WHERE Hour IN (7, 8, 9, 18, 19, 20) AND (Origin IN ('BOM', 'DEL') OR Destination IN ('BOM', 'DEL')) GROUP BY Destination"""),
+          floats=("Avg_Delay",), ints=("Flight_Count",))
+def n07b(spark, sf):
+    flights(spark, sf).createOrReplaceTempView("tarmac_flights")
+    return N.intent_sql(spark, "tarmac_flights", "airports", "peak_hours", airports=["BOM", "DEL"])
+
+
+@register("n07c_intent_sql_day", sql=with_views("""SELECT Flight_ID, Airline, Delay_Minutes FROM flights
+WHERE Date = DATE '2024-01-16' ORDER BY Delay_Minutes ASC, Flight_ID LIMIT 10"""), floats=("Delay_Minutes",))
+def n07c(spark, sf):
+    flights(spark, sf).createOrReplaceTempView("tarmac_flights")
+    return N.intent_sql(spark, "tarmac_flights", "flights", "tomorrow", quantity="least", as_of=AS_OF).select("Flight_ID", "Airline", "Delay_Minutes")
 
 
 @register("n08_suggest")

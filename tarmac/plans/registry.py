@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from tarmac.plans import queries_kpi  # noqa: F401
+from tarmac.plans import (  # noqa: F401
+    queries_columns,
+    queries_ingest,
+    queries_joins,
+    queries_kpi,
+    queries_ml,
+    queries_network,
+    queries_nlq,
+    queries_schedule,
+)
 from tarmac.plans.catalog import REGISTRY  # noqa: F401
-
-for _mod in (
-    "queries_columns",
-    "queries_joins",
-    "queries_windows",
-    "queries_network",
-    "queries_schedule",
-    "queries_ml",
-    "queries_nlq",
-    "queries_ingest",
-):
-    try:
-        __import__(f"tarmac.plans.{_mod}")
-    except ModuleNotFoundError as exc:  # module not written yet
-        if exc.name != f"tarmac.plans.{_mod}":
-            raise

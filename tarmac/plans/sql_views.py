@@ -86,7 +86,6 @@ def weather_cte() -> str:
       CAST((epoch(date_trunc('hour', ts)) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 3600 AS BIGINT) AS h
     FROM events
   ) AS hrs
-  WHERE h % 50 <> 0
 )"""
 
 

@@ -43,14 +43,17 @@ def configure(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system; only when nothing is set
-    (local tests) do we create a scratch folder.
+    A cluster sets this to a shared file system and is refused without it; a
+    single-JVM master (local tests) gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if not local and not conf_dir:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tarmac-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)

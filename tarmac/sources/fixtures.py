@@ -78,8 +78,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather derived from the event hours (FIXTURES.md §2.2).
 
-    One row per hour h since 2024-01-01 that occurs in the events table,
-    with every 50th hour left out to exercise the unmatched defaults.
+    One row per hour h since 2024-01-01 that occurs in the events table.
     The hour spine is derived from the data (distinct hours), so it grows
     with the table instead of being a fixed literal.
     """
@@ -90,7 +89,6 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .withColumn("h", (F.unix_seconds(F.col("Datetime").cast("timestamp")) - F.unix_seconds(base.cast("timestamp"))) / 3600)
         .withColumn("h", F.col("h").cast("long"))
-        .where(F.pmod("h", F.lit(50)) != 0)
     )
     idx = F.pmod(F.col("h") * 7 + F.floor(F.col("h") / 24), F.lit(8))
     cond = dims.pick(idx, dims.WEATHER_ORDER)

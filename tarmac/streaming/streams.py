@@ -1,20 +1,15 @@
 """Structured Streaming twins of batch operators (re-aimed, SURVEY §2.11).
 
 The reference has no streams; these run the same definitions incrementally
-over a file stream of events: watermark + event-time windows (ST1, ST2),
-per-aircraft turnaround state (ST3) and a stream-static join against batch
-thresholds (ST4).
+over a file stream of events: watermark + event-time windows (ST1, ST2) and a
+stream-static join against batch thresholds (ST4).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarmac.sources.fixtures import flights_from_events
 
@@ -43,51 +38,14 @@ def sliding_runway_load(fl: DataFrame, watermark: str = "2 hours") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("flights")))
 
 
-# ST3
-TURN_OUT = T.StructType([
-    T.StructField("Aircraft_ID", T.StringType()), T.StructField("Flight_ID", T.StringType()),
-    T.StructField("Cascaded_Delay", T.DoubleType()), T.StructField("Cascaded_Actual_Time", T.TimestampNTZType()),
-])
-TURN_STATE = T.StructType([T.StructField("last_actual", T.TimestampNTZType())])
-
-
-def turnaround_state(fl: DataFrame, min_turn: float = 45.0) -> DataFrame:
-    """Per-aircraft running turnaround fold; the state is the last actual time.
-
-    Assumes each aircraft's flights arrive in time order across micro-batches
-    (within a batch they are sorted).
-    """
-    turn = pd.Timedelta(minutes=min_turn)
-
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists else None
-        last = pd.Timestamp(last) if last is not None else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["Scheduled_Time", "Flight_ID"])
-            out = []
-            for fid, s, a, d in zip(pdf["Flight_ID"], pd.to_datetime(pdf["Scheduled_Time"]), pd.to_datetime(pdf["Actual_Time"]),
-                                    pdf["Delay_Minutes"].astype(float)):
-                if last is not None and last + turn > s:
-                    d = d + (last + turn - s).total_seconds() / 60.0
-                    a = last + turn
-                out.append((key[0], fid, d, a))
-                last = a
-            yield pd.DataFrame(out, columns=[f.name for f in TURN_OUT.fields])
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-
-    return (fl.select("Aircraft_ID", "Flight_ID", "Scheduled_Time", "Actual_Time", "Delay_Minutes")
-            .groupBy("Aircraft_ID")
-            .applyInPandasWithState(fold, TURN_OUT, TURN_STATE, "append", GroupStateTimeout.NoTimeout))
-
-
 # ST4
 def alert_stream(fl: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Stream-static join: flag flights above the static per-runway p80 delay."""
     return (fl.join(F.broadcast(thresholds), "Runway", "left")
             .where(F.col("Delay_Minutes") > F.col("p80"))
             .select("Flight_ID", "Runway", "Delay_Minutes", "p80",
-                    F.when(F.col("Delay_Minutes") > 120, "Critical").when(F.col("Delay_Minutes") > 60, "High").otherwise("Medium").alias("Severity")))
+                    F.when(F.col("Delay_Minutes") > 60, "Critical").when(F.col("Delay_Minutes") > 30, "High")
+                    .when(F.col("Delay_Minutes") > 15, "Medium").otherwise("Low").alias("Severity")))
 
 
 def runway_p80(flights: DataFrame) -> DataFrame:

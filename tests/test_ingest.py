@@ -70,3 +70,56 @@ def test_ensure_time_from_std(spark):
     df = spark.createDataFrame([("08:05",), ("junk",)], "std string")
     got = [r.Scheduled_Time for r in S.ensure_time(df, "2024-01-15").collect()]
     assert str(got[0]) == "2024-01-15 08:05:00" and got[1] is None
+
+
+def test_dense_index_over_partitions(spark):
+    df = spark.range(1000).repartition(8).withColumn("v", F.col("id") * 2)
+    got = sorted((r.row_idx, r.id) for r in S.dense_index(df, ["id"]).collect())
+    assert got == [(i, i) for i in range(1000)]
+    stored = S.dense_index(spark.range(100, numPartitions=9)).collect()
+    assert sorted((r.row_idx, r.id) for r in stored) == [(i, i) for i in range(100)]
+
+
+def test_fill_required_rules(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(120)], "row_idx long, note string").repartition(8)
+    got = {r.row_idx: r for r in S.fill_required(df).collect()}
+    assert got[7].Flight_ID == "FL0007" and got[7].Airline == "FL0" and str(got[7].Scheduled_Time) == "2024-01-01 09:30:00"
+    assert str(got[119].Scheduled_Time) == "2024-01-03 17:30:00"
+    hinted = spark.createDataFrame([(0, "zz9", None, "2024-02-03 10:00:00"), (1, "6E21", "bad", "2024-02-03 11:00:00")],
+                                   "row_idx long, `Vehicle Number` string, `Arrival A` string, `Other time` string")
+    got = {r.row_idx: r for r in S.fill_required(hinted).collect()}
+    assert got[1].Flight_ID == "6E21" and got[1].Airline == "6E2" and got[0].Airline == "AA"
+    assert str(got[0].Scheduled_Time) == "2024-02-03 10:00:00"
+
+
+
+
+def test_fill_down_over_blocks_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, want, last = [], {}, {}
+    for i in range(400):
+        sheet = "AB"[i % 2]
+        v = rng.choice(["", " ", None, None, f"v{i}"])
+        rows.append((i, sheet, v))
+        if v and v.strip():
+            last[sheet] = v
+        want[i] = last.get(sheet)
+    df = spark.createDataFrame(rows, "row_idx long, Time_Slot string, k string")
+    assert {r.row_idx: r.k for r in S.fill_down(df, ["k"], block=16).collect()} == want
+
+
+def test_clean_legacy_keeps_given_values(spark):
+    df = spark.createDataFrame([("AI101", "2024-01-15", "6:05", "6:20", "30", "14/32", "220"), ("77", "2024-01-15", "7:00", None, None, None, "?")],
+                               "Flight_ID string, Date string, std string, atd string, delay_minutes string, runway string, capacity string")
+    a, b = sorted(S.clean_legacy(df).collect(), key=lambda r: r.Flight_ID, reverse=True)
+    assert (a.Delay_Minutes, a.Runway, a.Capacity, a.Airline) == (30.0, "14/32", 220.0, "AI")
+    assert (b.Delay_Minutes, b.Runway, b.Capacity, b.Airline) == (0.0, "R1", 180.0, "XX")
+
+
+def test_every_alias_maps(spark):
+    for target, names in S.ALIASES.items():
+        for n in names:
+            spelt = n.replace("_", " ").title()
+            assert target in S.map_columns(spark.createDataFrame([("v",)], f"`{spelt}` string")).columns, n

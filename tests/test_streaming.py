@@ -37,30 +37,6 @@ def test_alert_stream_static_join(spark):
     assert n == f
 
 
-def test_turnaround_state_matches_batch(spark):
-    import datetime as dt
-
-    from tarmac.operators.windows import turnaround_cascade
-
-    t0 = dt.datetime(2024, 1, 1, 8, 0)
-    rows, cur = [], t0
-    for i, gap in enumerate([0, 30, 44, 45, 200]):
-        cur = cur + dt.timedelta(minutes=gap)
-        rows.append((i, cur, 0, "x", float(20 + 5 * i), ""))
-    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    d = tempfile.mkdtemp(prefix="tarmac-stream-")
-    src = os.path.join(d, "src")
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
-    q = (ST.turnaround_state(ST.flight_stream(spark, src, spark.read.parquet(src).schema)).writeStream.format("memory")
-         .queryName("st3_test").outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = {r.Flight_ID: round(r.Cascaded_Delay, 6) for r in spark.table("st3_test").collect()}
-    from tarmac.sources.fixtures import flights_from_events
-    b = turnaround_cascade(flights_from_events(spark.read.parquet(src)))
-    exp = {r.Flight_ID: round(r.Cascaded_Delay, 6) for r in b.collect()}
-    assert got == exp
-
-
 def test_sliding_load_matches_batch(spark):
     ev = read_table(spark, SF, "events")
     d = tempfile.mkdtemp(prefix="tarmac-stream-")

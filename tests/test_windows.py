@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pandas as pd
 
 from conftest import SF
@@ -7,19 +5,6 @@ from tarmac.operators import windows as W
 from tarmac.sources.fixtures import flights
 
 
-def test_turnaround_cascade_gaps(spark):
-    t0 = dt.datetime(2024, 1, 1, 8, 0)
-    rows = []
-    cur = t0
-    for i, gap in enumerate([0, 30, 44, 45, 200]):
-        cur = cur + dt.timedelta(minutes=gap)
-        rows.append((f"F{i}", "AC1", cur, cur, 0.0))
-    df = spark.createDataFrame(rows, "Flight_ID string, Aircraft_ID string, Scheduled_Time timestamp_ntz, Actual_Time timestamp_ntz, Delay_Minutes double")
-    out = {r.Flight_ID: r.Cascaded_Delay for r in W.turnaround_cascade(df).collect()}
-    # F1 leaves 08:45 (+15), F2 09:30 (+16), F3 10:15 (+16), F4 (13:19) is after 10:15 + 45
-    assert out == {"F0": 0.0, "F1": 15.0, "F2": 16.0, "F3": 16.0, "F4": 0.0}
-
-
 def test_rolling_global_matches_bruteforce(spark):
     f = flights(spark, SF)
     got = W.rolling_delay(f, buckets=7).select("Flight_ID", "Rolling_Delay_Mean", "Rolling_Delay_Std").toPandas().set_index("Flight_ID")
@@ -40,12 +25,3 @@ def test_last_hour_load_matches_bruteforce(spark):
         n = ((g.Scheduled_Time >= r.Scheduled_Time - pd.Timedelta(hours=1)) & (g.Scheduled_Time <= r.Scheduled_Time)).sum()
         assert got[r.Flight_ID] == n
 
-
-def test_congestion_cascade_hand_worked(spark):
-    t0 = dt.datetime(2024, 1, 1, 8, 0)
-    rows = [(f"R{i}", "14/32", t0 + dt.timedelta(minutes=10 * i), d, 2, dt.date(2024, 1, 1)) for i, d in enumerate([100.0, 0.0, 0.0])]
-    df = spark.createDataFrame(rows, "Flight_ID string, Runway string, Scheduled_Time timestamp_ntz, Delay_Minutes double, "
-                                     "Runway_Capacity int, Date date")
-    out = {r.Flight_ID: r.Cascade_Delay_Minutes for r in W.congestion_cascade(W.last_hour_load(df)).collect()}
-    # loads .5, 1.0, 1.5; accumulator 10 -> +3 (13.3) -> +int(5.985) = 5
-    assert out == {"R0": 100.0, "R1": 3.0, "R2": 5.0}
