@@ -10,7 +10,7 @@ shuffle join with skew splitting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import columns as C
@@ -62,6 +62,19 @@ def with_group_counts(df: DataFrame, keys: list[str], name: str, capacity_col: s
     return out
 
 
+def with_all_group_counts(df: DataFrame, counts: dict[str, list[str]]) -> DataFrame:
+    """Attach several group sizes (name -> keys) from one aggregate of the facts at the finest key.
+
+    The coarser counts are window sums over the finest table's rows, so the facts
+    are read twice whatever the number of counts.
+    """
+    finest = list(dict.fromkeys(k for keys in counts.values() for k in keys))
+    base = df.groupBy(*finest).agg(F.count(F.lit(1)).alias("__n"))
+    for name, keys in counts.items():
+        base = base.withColumn(name, F.sum("__n").over(Window.partitionBy(*keys)))  # over groups, not over facts
+    return df.join(base.drop("__n"), finest, "left")
+
+
 # J03
 def apply_assignment(df: DataFrame, asg: DataFrame, cols: list[str], key: str = "Flight_ID") -> DataFrame:
     """Left-merge assignment columns on the key; unassigned rows keep their original values."""

@@ -197,17 +197,16 @@ def anomaly_features(df: DataFrame) -> DataFrame:
     f = df.withColumn("Delay_Minutes", F.coalesce(F.col("Delay_Minutes").cast("double"), F.lit(0.0)))
     f = f.withColumn("Capacity", F.coalesce(F.col("Capacity").cast("double"), F.lit(150.0)))
     f = f.withColumn("Congestion_Factor", F.coalesce(F.col("Congestion_Factor").cast("double"), F.lit(1.0)))
-    per = f.groupBy("Runway", "Hour").agg(F.count(F.lit(1)).alias("Runway_Utilization"), F.max("Capacity").alias("__c"))
-    hourly = per.groupBy("Hour").agg(F.sum("Runway_Utilization").alias("Hourly_Traffic_Density"))
-    most = per.agg(F.max("__c").alias("__most"))
-    f = f.join(per.drop("__c"), ["Runway", "Hour"], "left").join(hourly, "Hour", "left").crossJoin(F.broadcast(most))  # one row
+    per = f.groupBy("Runway", "Hour").agg(F.count(F.lit(1)).alias("Runway_Utilization"))
+    per = per.withColumn("Hourly_Traffic_Density", F.sum("Runway_Utilization").over(Window.partitionBy("Hour")))
+    most = f.agg(F.max("Capacity")).first()[0]
+    f = rolling_delay(f).join(per, ["Runway", "Hour"], "left")
     f = f.withColumns({"Month": F.month("Scheduled_Time"), "Day_of_Year": F.dayofyear("Scheduled_Time"),
-                       "Capacity_Utilization": F.col("Capacity") / F.col("__most"), "Is_Delayed": (F.col("Delay_Minutes") > 0).cast("int"),
+                       "Capacity_Utilization": F.col("Capacity") / F.lit(most), "Is_Delayed": (F.col("Delay_Minutes") > 0).cast("int"),
                        "Delay_Category": C.delay_category("Delay_Minutes"), "Is_Peak_Hour_I": C.in_hours("Hour", C.ANOMALY_PEAK_HOURS),
                        "Is_Weekend": C.is_weekend("Day_of_Week"), "High_Congestion": C.high_congestion("Congestion_Factor"),
-                       "Aircraft_Family": C.aircraft_family("Aircraft_Type")}).drop("__most")
-    f = f.withColumns(C.family_flags("Aircraft_Family"))
-    return rolling_delay(f)
+                       "Aircraft_Family": C.aircraft_family("Aircraft_Type")})
+    return f.withColumns(C.family_flags("Aircraft_Family"))
 
 
 def name_flags(df: DataFrame) -> dict[str, Column]:

@@ -107,10 +107,10 @@ def rolling_delay(df: DataFrame, n: int = 5, part: list[str] | None = None, buck
 
 
 # W06
-def last_hour_load(df: DataFrame, part: tuple[str, ...] = ("Runway", "Date"), cap_col: str = "Runway_Capacity") -> DataFrame:
-    """Flights on the same runway and day in [t - 1 h, t] (ties included) and the load ratio.
+def last_hour_load(df: DataFrame, part: tuple[str, ...] = ("Origin", "Runway", "Date"), cap_col: str = "Runway_Capacity") -> DataFrame:
+    """Flights on the same airport's runway and day in [t - 1 h, t] (ties included) and the load ratio.
 
-    Range window per (runway, day, hour) with a one-hour halo: each row is
+    Range window per (airport, runway, day, hour) with a one-hour halo: each row is
     also copied into the next hour's partition as context, so no task ever
     holds more than two clock hours of one runway.
     """

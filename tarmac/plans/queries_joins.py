@@ -32,10 +32,9 @@ def j01(spark, sf):
 FROM flights"""), floats=("Runway_Utilization",), ints=("Hourly_Flight_Count", "Runway_Hourly_Count", "Hourly_Flights"), bench=True)
 def j02(spark, sf):
     f = flights(spark, sf)
-    f = J.with_group_counts(f, ["Date", "Hour"], "Hourly_Flight_Count")
-    f = J.with_group_counts(f, ["Date", "Hour", "Runway"], "Runway_Hourly_Count")
-    f = J.with_group_counts(f, ["Origin", "Hour"], "Hourly_Flights", "Runway_Capacity", "Runway_Utilization")
-    return f.select("Flight_ID", "Hourly_Flight_Count", "Runway_Hourly_Count", "Hourly_Flights", "Runway_Utilization")
+    f = J.with_all_group_counts(f, {"Hourly_Flight_Count": ["Date", "Hour"], "Runway_Hourly_Count": ["Date", "Hour", "Runway"], "Hourly_Flights": ["Origin", "Hour"]})
+    return f.select("Flight_ID", "Hourly_Flight_Count", "Runway_Hourly_Count", "Hourly_Flights",
+                    F.try_divide("Hourly_Flights", "Runway_Capacity").alias("Runway_Utilization"))
 
 
 @register("j03_apply_assignment", sql=with_views("""SELECT f.Flight_ID, coalesce(a.Runway, f.Runway) AS Runway,
@@ -161,9 +160,9 @@ def w05b(spark, sf):
     return W.rolling_delay(flights(spark, sf), part=["Origin"]).select("Flight_ID", "Rolling_Delay_Mean", "Rolling_Delay_Std")
 
 
-@register("w06_last_hour_load", sql=with_views("""SELECT Flight_ID, count(*) OVER (PARTITION BY Runway, Date ORDER BY epoch_us(Scheduled_Time)
+@register("w06_last_hour_load", sql=with_views("""SELECT Flight_ID, count(*) OVER (PARTITION BY Origin, Runway, Date ORDER BY epoch_us(Scheduled_Time)
   RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS Recent_Flights,
-  count(*) OVER (PARTITION BY Runway, Date ORDER BY epoch_us(Scheduled_Time)
+  count(*) OVER (PARTITION BY Origin, Runway, Date ORDER BY epoch_us(Scheduled_Time)
   RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) / Runway_Capacity AS Runway_Load FROM flights"""),
           floats=("Runway_Load",), ints=("Recent_Flights",), bench=True)
 def w06(spark, sf):

@@ -32,4 +32,13 @@ def test_date_filter_pushed_to_parquet(spark):
 
 def test_group_counts_do_not_sort_facts_per_key(spark):
     p = _plan(spark, "j02_group_counts")
-    assert "Window" not in p and "HashAggregate" in p
+    assert "HashAggregate" in p and p.count("FileScan") == 2  # windows run over the groups, not over the facts
+
+
+def test_anomaly_features_scan_bound(spark):
+    assert _plan(spark, "m18_anomaly_features").count("FileScan") <= 6
+
+
+def test_no_exact_percentile_over_facts(spark):
+    for name in ("a04_delay_summary", "a36_describe", "w11_quantile_flags"):
+        assert "percentile(" not in _plan(spark, name), name

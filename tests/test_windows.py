@@ -19,9 +19,9 @@ def test_rolling_global_matches_bruteforce(spark):
 def test_last_hour_load_matches_bruteforce(spark):
     f = flights(spark, SF)
     got = {r.Flight_ID: r.Recent_Flights for r in W.last_hour_load(f).collect()}
-    p = f.select("Flight_ID", "Runway", "Date", "Scheduled_Time").toPandas()
+    p = f.select("Flight_ID", "Origin", "Runway", "Date", "Scheduled_Time").toPandas()
     for _, r in p.sample(50, random_state=1).iterrows():
-        g = p[(p.Runway == r.Runway) & (p.Date == r.Date)]
+        g = p[(p.Origin == r.Origin) & (p.Runway == r.Runway) & (p.Date == r.Date)]
         n = ((g.Scheduled_Time >= r.Scheduled_Time - pd.Timedelta(hours=1)) & (g.Scheduled_Time <= r.Scheduled_Time)).sum()
         assert got[r.Flight_ID] == n
 
