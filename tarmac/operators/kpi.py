@@ -175,6 +175,15 @@ def best_times(flights: DataFrame) -> DataFrame:
     ).drop("__max").select("Hour", "Flight_Count", "Avg_Delay", "Delay_Std", "Min_Delay", "Max_Delay", "Efficiency_Score")
 
 
+def best_and_worst_times(flights: DataFrame, best: int = 5, worst: int = 3) -> DataFrame:
+    """The best and worst hours by efficiency, and the mean delay that lies between the two groups."""
+    h = best_times(flights)  # 24 rows
+    top = h.orderBy(F.desc("Efficiency_Score"), "Hour").limit(best).withColumn("Group", F.lit("best"))
+    low = h.orderBy(F.asc("Efficiency_Score"), "Hour").limit(worst).withColumn("Group", F.lit("worst"))
+    both = top.unionByName(low).select("Group", "Hour", "Flight_Count", "Avg_Delay")
+    return _over_all(both, Improvement=F.avg(F.when(F.col("Group") == "worst", F.col("Avg_Delay"))) - F.avg(F.when(F.col("Group") == "best", F.col("Avg_Delay"))))
+
+
 # A12
 def optimal_hours(flights: DataFrame, q: float = 0.3, min_count: int = 5) -> DataFrame:
     h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"), _cnt().alias("Flight_Count"))
@@ -336,6 +345,24 @@ def general_optimisation(flights: DataFrame) -> DataFrame:
     ).withColumn("Potential_Savings", (F.col("Worst_Avg") - F.col("Best_Avg")) * F.col("Worst_Flights"))
 
 
+def tuning_impact(flights: DataFrame, high: float = 20.0, good: float = 15.0) -> DataFrame:
+    """System-wide figures of the tuning table: slots, flights to move, minutes saved, share of all delay, cost at 100 a minute."""
+    t = schedule_tuning(flights, high, good).agg(
+        _cnt().alias("slots"), F.coalesce(F.sum("Flights_to_Move"), F.lit(0)).alias("flights_to_move"), F.avg("Delay_Reduction").alias("avg_reduction"),
+        F.coalesce(F.sum("Impact_Score"), F.lit(0.0)).alias("projected_savings"))
+    total = flights.agg(F.sum("Delay_Minutes").alias("total_delay"))
+    return t.crossJoin(F.broadcast(total)).withColumn("improvement_pct", _div(F.col("projected_savings"), F.col("total_delay")) * 100).withColumn(
+        "cost_savings", F.col("projected_savings") * 100)
+
+
+def hour_reschedule(flights: DataFrame, hour: int = 21, k: int = 3) -> DataFrame:
+    """The k hours of least mean delay to move one hour's flights to, with its count, mean and a third of its flights each."""
+    h = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("Avg_Delay"))
+    at = flights.where(F.col("Hour") == hour).agg(_cnt().alias("Flights_At_Hour"), F.avg("Delay_Minutes").alias("Delay_At_Hour"))
+    best = h.orderBy("Avg_Delay", "Hour").limit(k)
+    return best.crossJoin(F.broadcast(at)).where("Flights_At_Hour > 0").withColumn("Flights_To_Move", F.floor(F.col("Flights_At_Hour") / 3))
+
+
 # A27
 def evening_reschedule(flights: DataFrame, hour: int = 21, q: float = 0.8) -> DataFrame:
     h = flights.groupBy("Hour").agg(_cnt().alias("Flight_Count"), F.avg("Delay_Minutes").alias("Avg_Delay"))

@@ -500,18 +500,23 @@ def load_model(path: str) -> PipelineModel:
 def peak_recommendations(clustered: DataFrame) -> DataFrame:
     """Per hour: super-peak hours with mean count > 25 -> redistribute 20 %; mean delay > 15 -> capacity;
     low-traffic hours with mean count < 10 -> utilisation.  Sorted by priority, hour."""
-    by_hour = clustered.groupBy("Hour", "Peak_Tier").agg(F.avg("Flight_Count").alias("f"), F.avg("Avg_Delay").alias("d"))
-    sp = by_hour.where(F.col("Peak_Tier") == "Super Peak")
+    by_hour = clustered.groupBy("Hour").agg(F.avg("Flight_Count").alias("f"), F.avg("Avg_Delay").alias("d"),
+                                            F.bool_or(F.col("Peak_Tier") == "Super Peak").alias("super"), F.bool_or(F.col("Peak_Tier") == "Low Traffic").alias("low"))
+    sp = by_hour.where("super")
     r1 = sp.where(F.col("f") > 25).select("Hour", F.lit("redistribution").alias("type"), F.lit("high").alias("severity"), F.lit(1).alias("priority"),
                                           F.floor(F.col("f") * 0.2).alias("flights_to_move"), (F.col("d") * 0.15).alias("expected_reduction"))
     r2 = sp.where(F.col("d") > 15).select("Hour", F.lit("capacity").alias("type"), F.lit("medium").alias("severity"), F.lit(2).alias("priority"),
                                           F.lit(None).cast("long").alias("flights_to_move"), (F.col("d") * 0.25).alias("expected_reduction"))
-    lt = by_hour.where((F.col("Peak_Tier") == "Low Traffic") & (F.col("f") < 10))
+    lt = by_hour.where(F.col("low") & (F.col("f") < 10))
     r3 = lt.select("Hour", F.lit("utilization").alias("type"), F.lit("low").alias("severity"), F.lit(3).alias("priority"),
                    F.round(20 - F.col("f")).cast("long").alias("flights_to_move"), F.lit(None).cast("double").alias("expected_reduction"))
     return r1.unionByName(r2).unionByName(r3).orderBy("priority", "Hour")
 
 
+def recommendation_counts(recommendations: DataFrame) -> DataFrame:
+    return recommendations.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+
+
 def optimisation_opportunities(clustered: DataFrame) -> DataFrame:
     sp = F.col("Peak_Tier") == "Super Peak"
     lt = F.col("Peak_Tier") == "Low Traffic"

@@ -65,6 +65,49 @@ TOPIC_GROUPS = [
     ("airline", ["airline", "airlines", "carrier"]),
     ("prediction", ["predict", "forecast", "tomorrow", "future", "expect"]),
 ]
+# FIXED VALUES (must equal the reference's word lists): intent tags, first hit wins
+INTENT_TAGS = {
+    "intent_type": (
+        [
+            ("optimization", ["optimize", "improve", "better", "enhance", "reschedule"]),
+            ("comparison", ["compare", "vs", "versus", "difference", "better than"]),
+            ("prediction", ["predict", "forecast", "future", "will", "expect"]),
+            ("recommendation", ["recommend", "suggest", "should", "advice", "what to do"]),
+            ("analysis", ["analyze", "analysis", "pattern", "trend", "insight"]),
+        ],
+        "general",
+    ),
+    "subject": (
+        [
+            ("runways", ["runway", "runways"]),
+            ("airlines", ["airline", "airlines"]),
+            ("delays", ["delay", "delays"]),
+            ("schedule", ["schedule", "time", "timing"]),
+            ("revenue", ["revenue", "profit", "money", "cost"]),
+            ("weather", ["weather", "rain", "fog", "storm"]),
+        ],
+        "flights",
+    ),
+    "time_frame": (
+        [
+            ("today", ["today", "now", "current"]),
+            ("future", ["tomorrow", "next"]),
+            ("week", ["week", "weekly"]),
+            ("peak", ["peak", "busy", "rush"]),
+        ],
+        "current",
+    ),
+    "insight": (
+        [
+            ("optimization", ["optim"]),
+            ("delay", ["delay"]),
+            ("revenue", ["revenue"]),
+            ("runway", ["runway"]),
+            ("risk", ["risk"]),
+        ],
+        "general",
+    ),
+}
 TEMPLATES = [
     "What's our runway utilization during peak hours?",
     "How can I optimize 7-9 AM slots for maximum revenue?",
@@ -171,6 +214,18 @@ def route_topic(df: DataFrame, col: str = "text") -> DataFrame:
     return df.withColumn("topic", out)
 
 
+def intent_tags(df: DataFrame, col: str = "text") -> DataFrame:
+    """Query type, subject, time frame and the insight router's target, each by the first word list that hits."""
+    q = F.lower(F.col(col))
+    out = df
+    for name, (lists, default) in INTENT_TAGS.items():
+        tag = F.lit(default)
+        for value, words in reversed(lists):
+            tag = F.when(_any(q, words), value).otherwise(tag)
+        out = out.withColumn(name, tag)
+    return out
+
+
 # N06 / N09
 def intent_metrics(flights: DataFrame, tagged: DataFrame, as_of: _dt.date) -> DataFrame:
     """Per distinct (time code, delay threshold, entity): matching flights, mean delay, forecast (x1.1).

@@ -264,6 +264,12 @@ def a50b(spark, sf):
     return M.peak_recommendations(_clustered(spark, sf))
 
 
+@register("a54b_recommendation_counts")
+def a54b(spark, sf):
+    """Recommendations per type."""
+    return M.recommendation_counts(M.peak_recommendations(_clustered(spark, sf)))
+
+
 @register("a51_optimisation_opportunities")
 def a51(spark, sf):
     return M.optimisation_opportunities(_clustered(spark, sf))

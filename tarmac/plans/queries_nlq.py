@@ -91,6 +91,16 @@ def n05(spark, sf):
     return N.route_topic(questions(spark, sf)).select("conv_id", "turn", "topic")
 
 
+def _tags_sql() -> str:
+    return ", ".join("CASE " + " ".join(f"WHEN {_any(w)} THEN {_q(v)}" for v, w in lists) + f" ELSE {_q(default)} END AS {name}"
+                     for name, (lists, default) in N.INTENT_TAGS.items())
+
+
+@register("n05b_intent_tags", sql=with_views(f"SELECT conv_id, turn, {_tags_sql()} FROM qs", Q_CTE), ints=("conv_id", "turn"))
+def n05b(spark, sf):
+    return N.intent_tags(questions(spark, sf)).select("conv_id", "turn", *N.INTENT_TAGS)
+
+
 @register("n06_run_intent", sql=with_views("""SELECT Runway, count(Flight_ID) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay, sum(Capacity) AS Total_Passengers
 FROM flights WHERE Hour BETWEEN 6 AND 11 AND Delay_Minutes > 15 GROUP BY Runway ORDER BY Avg_Delay DESC, Runway LIMIT 10"""),
           floats=("Avg_Delay",), ints=("Flight_Count", "Total_Passengers"))

@@ -153,7 +153,7 @@ def o09(spark, sf):
     return O.best_hour(_fw(spark, sf))
 
 
-@register("o10_reschedule_plan", sql=with_views("""SELECT u.Flight_ID, u.Airline, format('{:02d}:00', u.Current_Hour) AS Current_Time,
+O10_SQL = """SELECT u.Flight_ID, u.Airline, format('{:02d}:00', u.Current_Hour) AS Current_Time,
   format('{:02d}:00', b.Best_Hour) AS Recommended_Time, u.Runway AS Current_Runway, u.Delay_Minutes AS Current_Delay, u.Weather_Condition,
   u.Weather_Impact_Factor AS Weather_Impact, u.Runway_Utilization_Pct AS Current_Runway_Util, b.Recommended_Runway_Util,
   least(u.Delay_Minutes * 0.3 + abs(b.Best_Hour - u.Current_Hour) * 2 * CASE WHEN u.Weather_Condition IN ('Heavy Rain','Storm','Fog') THEN 0.8 ELSE 1.0 END
@@ -165,12 +165,44 @@ def o09(spark, sf):
     CASE WHEN u.Delay_Minutes > 45 THEN 'High delay (' || printf('%.0f', u.Delay_Minutes) || ' min)' END,
     CASE WHEN abs(b.Best_Hour - u.Current_Hour) > 2 THEN 'Peak hour avoidance' END], lambda x: x IS NOT NULL), '; '), ''), 'General optimization') AS Reason
 FROM fu u LEFT JOIN bh b ON u.Runway = b.Runway
-WHERE u.Weather_Adjusted_Delay > 30 OR u.Runway_Utilization_Pct > 85 OR u.Delay_Minutes > 45""", *RESCHED_SQL, weather=True),
+WHERE u.Weather_Adjusted_Delay > 30 OR u.Runway_Utilization_Pct > 85 OR u.Delay_Minutes > 45"""
+
+
+@register("o10_reschedule_plan", sql=with_views(O10_SQL, *RESCHED_SQL, weather=True),
           floats=("Current_Delay", "Weather_Impact", "Current_Runway_Util", "Recommended_Runway_Util", "Expected_Delay_Reduction"))
 def o10(spark, sf):
     return O.reschedule_plan(_fw(spark, sf))
 
 
+PLAN_SQL = [*RESCHED_SQL, f"pl AS ({O10_SQL})", """ap AS (SELECT f.Flight_ID, f.Hour, f.Delay_Minutes, p.Flight_ID IS NOT NULL AS Rescheduled,
+  coalesce(CAST(substr(p.Recommended_Time, 1, 2) AS BIGINT), f.Hour) AS Optimized_Hour,
+  CASE WHEN p.Flight_ID IS NULL THEN f.Delay_Minutes * 0.9 ELSE f.Delay_Minutes - p.Expected_Delay_Reduction END AS Optimized_Delay
+FROM flights f LEFT JOIN pl p ON f.Flight_ID = p.Flight_ID)"""]
+
+
+@register("o10b_apply_plan", sql=with_views("SELECT Flight_ID, Rescheduled, Optimized_Hour, Optimized_Delay FROM ap", *PLAN_SQL, weather=True),
+          floats=("Optimized_Delay",), ints=("Optimized_Hour",))
+def o10b(spark, sf):
+    f = flights(spark, sf)
+    return O.apply_plan(f, O.reschedule_plan(_fw(spark, sf))).select("Flight_ID", "Rescheduled", "Optimized_Hour", "Optimized_Delay")
+
+
+@register("o10c_before_after", sql=with_views("""SELECT avg(Delay_Minutes) AS mean_before, avg(Optimized_Delay) AS mean_after, max(Delay_Minutes) AS max_before,
+  max(Optimized_Delay) AS max_after, count_if(Delay_Minutes > 15) AS delayed_before, count_if(Optimized_Delay > 15) AS delayed_after,
+  sum(Delay_Minutes) AS total_before, sum(Optimized_Delay) AS total_after, count_if(Rescheduled) AS rescheduled FROM ap""", *PLAN_SQL, weather=True),
+          floats=("mean_before", "mean_after", "max_before", "max_after", "total_before", "total_after"), ints=("delayed_before", "delayed_after", "rescheduled"))
+def o10c(spark, sf):
+    return O.before_after(O.apply_plan(flights(spark, sf), O.reschedule_plan(_fw(spark, sf))))
+
+
+@register("o10d_hourly_before_after", sql=with_views("""SELECT h.Hour, coalesce(a.n, 0) AS flights_before, a.d AS delay_before, coalesce(b.n, 0) AS flights_after, b.d AS delay_after
+FROM range(24) AS h(Hour) LEFT JOIN (SELECT Hour, count(*) AS n, avg(Delay_Minutes) AS d FROM ap GROUP BY 1) a ON h.Hour = a.Hour
+LEFT JOIN (SELECT Optimized_Hour AS Hour, count(*) AS n, avg(Optimized_Delay) AS d FROM ap GROUP BY 1) b ON h.Hour = b.Hour""", *PLAN_SQL, weather=True),
+          floats=("delay_before", "delay_after"), ints=("Hour", "flights_before", "flights_after"))
+def o10d(spark, sf):
+    return O.hourly_before_after(O.apply_plan(flights(spark, sf), O.reschedule_plan(_fw(spark, sf))))
+
+
 @register("a45_reschedule_summary", sql=with_views("""SELECT Weather_Condition, count(*) AS Flights,
   avg(least(u.Delay_Minutes * 0.3 + abs(b.Best_Hour - u.Current_Hour) * 2 * CASE WHEN u.Weather_Condition IN ('Heavy Rain','Storm','Fog') THEN 0.8 ELSE 1.0 END
     + greatest(0.0, (u.Runway_Utilization_Pct - 70) / 100) * 20, u.Delay_Minutes)) AS Avg_Reduction, avg(Weather_Impact_Factor) AS Avg_Weather_Factor
@@ -270,6 +302,16 @@ def a48(spark, sf):
     return O.revenue_by_hour(flights(spark, sf))
 
 
+@register("a48b_revenue_consolidation", sql=with_views(f"""SELECT sp AS current_super_peak_flights, n AS total_flights, s AS current_total_revenue,
+  m * 0.6 * a * 0.6 AS potential_additional_revenue, sp / n * 100 AS peak_utilization_percentage, m * 0.6 * a * 0.6 / s * 100 AS revenue_increase_percentage
+FROM (SELECT count_if(Hour IN (7, 8, 19, 20)) AS sp, count(*) AS n, sum(r) AS s, avg(r) AS a, count_if(Hour NOT IN (7, 8, 19, 20, 6, 9, 18, 21)) AS m
+  FROM (SELECT Hour, {_rev_sql('Hour', 'Peak_Category')} AS r FROM flights) x) y"""),
+          floats=("current_total_revenue", "potential_additional_revenue", "peak_utilization_percentage", "revenue_increase_percentage"),
+          ints=("current_super_peak_flights", "total_flights"))
+def a48b(spark, sf):
+    return O.revenue_consolidation(flights(spark, sf))
+
+
 @register("a50c_weather_recommendations", sql=with_views("""SELECT 'Weather Alert' AS type, Hour, arg_min(Weather_Condition, epoch_us(Scheduled_Time)) AS condition,
   count(*) AS affected_flights, (1 - avg(Capacity_Reduction_Factor)) * 100 AS capacity_reduction_pct, NULL::VARCHAR AS detail
 FROM wd WHERE Capacity_Reduction_Factor < 0.7 GROUP BY Hour
