@@ -11,7 +11,8 @@ survivors are compacted.  Each cell gives its k best a query; the k best of thos
 are the answer.
 
 Scores are integers, exact in float64 below 2^53; beyond, a cell falls back to
-Python integers over the same blocks without bounds.
+Python integers without bounds.  A score that no 64-bit integer holds is given as
+the nearest one.
 
 Edge cases: vectors null, empty of id, or with null or non-finite components take
 no part; a vec_id repeated keeps its least vector; shorter vectors count as
@@ -86,7 +87,7 @@ def cell_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         for i, row in zip(q_ids, q.astype(object)):
             s = exact @ row
             best = sorted((int(-x), int(k)) for x, k in zip(s, c_ids) if k != i)[:top]
-            yield from ((int(i), k, -x) for x, k in best)
+            yield from ((int(i), k, max(-(1 << 63), min((1 << 63) - 1, -x))) for x, k in best)
         return
     cuts = blocks_of(dims)
     columns = [np.ascontiguousarray(c[:, b].T, dtype=np.float64) for b in cuts]
