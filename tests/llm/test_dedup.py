@@ -126,16 +126,6 @@ def test_links_find_every_pair_within_three_bits(spark):
     assert got == want and len(want) > 100
 
 
-def test_long_chain_is_one_component(spark):
-    prepare(spark)
-    from tarmac.operators.components import components
-
-    edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(1000, 1001)], "a long, b long")
-    got = components(edges).collect()
-    assert len({r["root"] for r in got if r["node"] <= 500}) == 1 and len(got) == 503
-    assert len({r["root"] for r in got}) == 2
-
-
 def test_stages_keep_one_of_each_group_with_all_columns(spark, write_docs, edge_rows):
     prepare(spark)
     docs = table(spark, write_docs(edge_rows), "documents")
