@@ -8,8 +8,10 @@ such carries no weight.  Weights are learnt by FTRL-proximal steps whose L1 part
 leaves words without evidence at exactly 0: long clean texts gather no noise.
 
 The fit reads a bounded sample: of each class the ``PER_CLASS`` labelled rows
-first in hash order of the id, never rows whose crc32(doc_id) mod 4 is 2.  It runs
-in one task over at most 2 x ``PER_CLASS`` texts; the nonzero weights (at most
+first in hash order of the id, never rows whose crc32(doc_id) mod 4 is 2.  A row
+weighs its class's labels / sampled labels, scaled to a mean of 1, so the base rate
+and the threshold mean the same whether or not a class reaches ``PER_CLASS``.  The
+fit runs in one task over at most 2 x ``PER_CLASS`` texts; the nonzero weights (at most
 2^``HASH_BITS``) go to the scoring tasks.  Every text is scored whole.
 
 Edge cases: null and empty texts score the base rate; labels that are null are not
@@ -105,48 +107,57 @@ class Ftrl:
             z = self.z[at]
             self.w[at] = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(new)) / RATE + L2))
 
-    def learn(self, ids: np.ndarray, other: np.ndarray | None, label: int) -> None:
+    def learn(self, ids: np.ndarray, other: np.ndarray | None, label: int, weight: float = 1.0) -> None:
         p = self.score(ids)
-        gradient = p - label
+        gradient = weight * (p - label)
         if other is not None:  # d/ds of PENALTY * (p - p')^2, on the words in which the twins differ
             q = self.score(other)
-            gap = 2 * PENALTY * (p - q)
+            gap = 2 * weight * PENALTY * (p - q)
             self.step(np.setdiff1d(other, ids), -gap * q * (1 - q))
             self.step(np.setdiff1d(ids, other), gap * p * (1 - p))
         self.step(ids, gradient)
 
 
+def class_weights(labels: dict[int, int]) -> dict[int, float]:
+    """Weight of a sampled row of each class, from the classes' label counts: labels / sampled, scaled to a mean of 1 over the sample."""
+    sampled = {c: min(n, PER_CLASS) for c, n in labels.items()}
+    scale = sum(sampled.values()) / max(1, sum(labels.values()))
+    return {c: n / sampled[c] * scale for c, n in labels.items()}
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """tie, toxic, ids, other (int32 bytes) of at most ``PER_CLASS`` labelled documents of each class."""
+    """tie, toxic, row_weight, ids, other (int32 bytes) of at most ``PER_CLASS`` labelled documents of each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (doc_crc_mod("doc_id", FOLDS) != TEST_FOLD))
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
-    pick = lambda c: known.where(F.col("__toxic") == c).orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(PER_CLASS)
+    row_weights = class_weights({r["__toxic"]: r["count"] for r in known.where("__toxic IN (0, 1)").groupBy("__toxic").count().collect()})
+    first = lambda c: known.where(F.col("__toxic") == c).orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(PER_CLASS)
+    pick = lambda c: first(c).withColumn("__weight", F.lit(row_weights.get(c, 1.0)))
     sample = F.broadcast(pick(1).unionByName(pick(0)))  # 2 x PER_CLASS rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(sample, "__id")
 
     def run(batches):
         for b in batches:
-            words = [text_words(t) for t in b.column(2).to_pylist()]
+            words = [text_words(t) for t in b.column(3).to_pylist()]
             twins = [twin(w) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([hashed(w).tobytes() for w in words], pa.binary()),
+                [b.column(0), b.column(1), b.column(2), pa.array([hashed(w).tobytes() for w in words], pa.binary()),
                  pa.array([hashed(w).tobytes() if w is not None else None for w in twins], pa.binary())],
-                ["tie", "toxic", "ids", "other"],
+                ["tie", "toxic", "row_weight", "ids", "other"],
             )
 
-    return rows.select(F.xxhash64("__id", F.lit(6)), "__toxic", "__text").mapInArrow(run, "tie long, toxic int, ids binary, other binary")
+    return rows.select(F.xxhash64("__id", F.lit(6)), "__toxic", "__weight", "__text").mapInArrow(run, "tie long, toxic int, row_weight double, ids binary, other binary")
 
 
 def fit(sample: DataFrame) -> dict[int, float] | None:
     """Nonzero weights by hashed word, the base weight at -1; None without labels."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t[c].to_pylist() for c in ("tie", "ids", "toxic", "other"))), key=lambda r: r[:3])
-        rows = [(np.frombuffer(i, np.int32), None if o is None else np.frombuffer(o, np.int32), y) for _, i, y, o in rows]
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("tie", "ids", "toxic", "other", "row_weight"))), key=lambda r: r[:3])
+        rows = [(np.frombuffer(i, np.int32), None if o is None else np.frombuffer(o, np.int32), y, w) for _, i, y, o, w in rows]
         model = Ftrl()
         for _ in range(EPOCHS):
-            for ids, other, label in rows:
-                model.learn(ids, other, label)
+            for ids, other, label, weight in rows:
+                model.learn(ids, other, label, weight)
         at = np.append(np.flatnonzero(model.w[:-1]), MASK + 1)
         return pa.table({"id": pa.array(np.where(at > MASK, -1, at), pa.int64()), "weight": pa.array(model.w[at])})
 

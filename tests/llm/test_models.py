@@ -100,6 +100,32 @@ def test_toxicity_without_labels_or_documents(spark, write_docs):
     assert X.op8_toxicity(spark, write_docs([])).count() == 0
 
 
+def test_toxicity_base_rate_stays_when_classes_are_capped(spark, write_docs, monkeypatch):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    toxic = [int(k % 9 == 0) for k in range(2700)]
+    rows = [(k, " ".join([*("w%s" % "abcdefghij"[j] for j in rng.integers(0, 10, 6)), "vile" if rng.random() < (0.5 if y else 0.05) else "plain"]), "a") for k, y in enumerate(toxic)]
+    folder = write_docs(rows, list(enumerate(toxic)))
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+
+    def held_out():
+        out = [r for r in X.scored(docs, labels).collect() if r["held_out"]]
+        return np.mean([r["score"] for r in out]), np.mean([r["predicted"] for r in out if not toxic[r["doc_id"]]])
+
+    whole, rejected = held_out()
+    monkeypatch.setattr(X, "PER_CLASS", 200)
+    capped, rejected_capped = held_out()
+    assert abs(whole - 1 / 9) < 0.04 and abs(capped - whole) < 0.04
+    assert abs(rejected_capped - rejected) < 0.05
+
+
+def test_class_weights_keep_the_class_ratio(monkeypatch):
+    assert X.class_weights({0: 3531, 1: 449}) == {0: 1.0, 1: 1.0} and X.class_weights({}) == {}
+    monkeypatch.setattr(X, "PER_CLASS", 100)
+    w = X.class_weights({0: 900, 1: 100})
+    assert w[0] / w[1] == pytest.approx(9) and 100 * w[0] + 100 * w[1] == pytest.approx(200)
+
+
 def test_counterfactual_penalty_frees_group_mentions():
     def gap(penalty, monkeypatch_value):
         X.PENALTY = monkeypatch_value
