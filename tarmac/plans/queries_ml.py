@@ -8,6 +8,7 @@ from tarmac.operators import kpi
 from tarmac.operators import ml as M
 from tarmac.plans.catalog import register
 from tarmac.plans.sql_views import with_views
+from tarmac.session import cut_lineage
 from tarmac.sources.fixtures import flights
 
 
@@ -224,6 +225,43 @@ def m20(spark, sf):
     return M.ensemble_summary(M.ensemble(d.select("Flight_ID", "anomaly_score", "decision", "is_anomaly"), db))
 
 
+def _detected(spark, sf):
+    """Every flight with the combined flag of both detectors, stored once, and the columns that they read."""
+    d, cols = _iforest(spark, sf)
+    return cut_lineage(M.ensemble(d, _db(spark, sf)[1])), cols
+
+
+@register("m21d_detected_anomaly_type")
+def m21d(spark, sf):
+    """Type of every flight by the isolation forest OR DBSCAN noise."""
+    return M.anomaly_type(_detected(spark, sf)[0]).select("Flight_ID", "is_anomaly", "DBSCAN_Anomaly", "Combined_Anomaly", "Anomaly_Type")
+
+
+@register("m22d_detected_alerts")
+def m22d(spark, sf):
+    """Alerts on the flights that the detectors flag."""
+    return M.alerts(M.anomaly_type(_detected(spark, sf)[0]))
+
+
+@register("m23d_detected_accuracy")
+def m23d(spark, sf):
+    """Accuracy of the detectors against delays above 60 minutes."""
+    return M.detection_accuracy(_detected(spark, sf)[0])
+
+
+@register("a49d_detected_patterns")
+def a49d(spark, sf):
+    """Patterns of the flights that the detectors flag."""
+    return M.anomaly_patterns(M.anomaly_type(_detected(spark, sf)[0]))
+
+
+@register("a52d_detected_feature_importance")
+def a52d(spark, sf):
+    """Correlation of every column that the detectors read with the forest's |decision|."""
+    d, cols = _detected(spark, sf)
+    return M.feature_importance_corr(d, cols)
+
+
 @register("m07_best_model")
 def m07(spark, sf):
     """Random forest vs boosted trees on a 70/30 split; lowest MAE predicts every flight."""

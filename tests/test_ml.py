@@ -49,3 +49,54 @@ def test_dbscan_noise_matches_bruteforce(spark):
         for j in ci:
             if nb[i, j]:
                 assert lab[i] == lab[j]
+
+
+def plain_type(r, busy, large):
+    if not r["Combined_Anomaly"]:
+        return "Normal"
+    if r["Delay_Minutes"] > 60:
+        return "Severe Delay"
+    if r["High_Congestion"] == 1:
+        return "Congestion Anomaly"
+    if r["Is_Peak_Hour_I"] == 1 and r["Delay_Minutes"] > 30:
+        return "Peak Hour Disruption"
+    if r["Runway_Utilization"] > busy:
+        return "Runway Overutilization"
+    return "Large Aircraft Anomaly" if r["Capacity"] > large else "General Anomaly"
+
+
+def test_detector_queries_flag_planted_flights_that_are_on_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from conftest import SF
+    from tarmac.plans import queries_ml as Q
+    from tarmac.plans.catalog import REGISTRY
+
+    given = Q.flights(spark, SF)
+    first = given.orderBy("Flight_ID").limit(1)
+    odd = first.withColumns({"Flight_ID": F.lit("ODD"), "Runway": F.lit("ZZ/99"), "Airline": F.lit("Nobody Air"), "Aircraft_Type": F.lit("A380"),
+                             "Capacity": F.lit(5000).cast(given.schema["Capacity"].dataType), "Congestion_Factor": F.lit(9.0).cast(given.schema["Congestion_Factor"].dataType),
+                             "Delay_Minutes": F.lit(0).cast(given.schema["Delay_Minutes"].dataType)})
+    rows = given.unionByName(odd).localCheckpoint()
+    monkeypatch.setattr(Q, "flights", lambda spark, sf: rows)
+    d, cols = Q._detected(spark, SF)
+    monkeypatch.setattr(Q, "_detected", lambda spark, sf: (d, cols))
+    run = lambda name: REGISTRY[name].build(spark, SF).collect()
+    full = {r["Flight_ID"]: r for r in d.collect()}
+    assert len(full) == rows.count() and full["ODD"]["Combined_Anomaly"]
+    assert all(r["Combined_Anomaly"] == (r["is_anomaly"] or r["DBSCAN_Anomaly"]) for r in full.values())
+    busy, large = (np.quantile([r[c] for r in full.values()], 0.95) for c in ("Runway_Utilization", "Capacity"))
+    types = {r["Flight_ID"]: r["Anomaly_Type"] for r in run("m21d_detected_anomaly_type")}
+    assert types == {i: plain_type(r, busy, large) for i, r in full.items()} and types["ODD"] == "Congestion Anomaly"
+    limit = np.quantile([r["Anomaly_Confidence"] for r in full.values()], 0.8)
+    assert {r["Flight_ID"] for r in run("m22d_detected_alerts")} == {i for i, r in full.items() if r["Combined_Anomaly"] and r["Anomaly_Confidence"] > limit}
+    a = run("m23d_detected_accuracy")[0]
+    late = lambda r: r["Delay_Minutes"] > 60
+    assert (a["tp"], a["fp"], a["fn"], a["tn"]) == tuple(sum((late(r), r["Combined_Anomaly"]) == k for r in full.values()) for k in ((True, True), (False, True), (True, False), (False, False)))
+    patterns = {(r["dimension"], r["key"]): r["value"] for r in run("a49d_detected_patterns")}
+    flagged = [i for i, r in full.items() if r["Combined_Anomaly"]]
+    assert all(patterns["Anomaly_Type", t] == sum(types[i] == t for i in flagged) for t in {types[i] for i in flagged})
+    importance = {r["feature"]: r["importance"] for r in run("a52d_detected_feature_importance")}
+    assert set(importance) == set(cols) and len(cols) > len(M.ANOMALY_NUMERIC)
+    x, y = (np.array([float(r[c] or 0) for r in full.values()]) for c in ("Capacity_Utilization", "Anomaly_Confidence"))
+    assert abs(importance["Capacity_Utilization"] - abs(np.corrcoef(x, y)[0, 1])) < 1e-9
