@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) for iterative operators."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, *replaces: DataFrame | None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Like a reliable checkpoint the files survive lost executors, but the frame
+    read back has the true size of its rows: ``checkpoint()`` keeps the size
+    *estimate* of the plan it cuts, which squares with every self-join of a
+    loop.  Files are neither compressed nor dictionary-coded, so that a size on
+    disk is also a fair size in memory (broadcast decisions rest on it).
+
+    ``replaces``: earlier cuts that nothing reads once this one is written;
+    their files are removed.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    drop_cuts(*replaces)
+    return out
+
+
+def drop_cuts(*frames: DataFrame | None) -> None:
+    """Remove the files of cuts that nothing reads any more (frames that are no cuts are passed over)."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            df._cut_path = None

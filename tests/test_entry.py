@@ -1,5 +1,5 @@
 import __spark_entry__ as E
-from conftest import SF
+from paths import SF
 
 
 def test_entry_runs(spark):

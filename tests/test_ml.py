@@ -68,7 +68,7 @@ def plain_type(r, busy, large):
 def test_detector_queries_flag_planted_flights_that_are_on_time(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    from conftest import SF
+    from paths import SF
     from tarmac.plans import queries_ml as Q
     from tarmac.plans.catalog import REGISTRY
 

@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__ as E
-from conftest import SF
+from paths import SF
 
 
 def _plan(spark, name):

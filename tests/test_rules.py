@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF
+from paths import SF
 from tarmac.operators import ml as M
 from tarmac.operators import nlq as N
 from tarmac.operators import windows as W

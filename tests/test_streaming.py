@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from paths import SF
 from tarmac.sources.fixtures import flights, read_table
 from tarmac.streaming import streams as ST
 

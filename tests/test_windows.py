@@ -1,6 +1,6 @@
 import pandas as pd
 
-from conftest import SF
+from paths import SF
 from tarmac.operators import windows as W
 from tarmac.sources.fixtures import flights
 
