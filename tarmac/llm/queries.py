@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, maxent, mixing, packing, pii, sharding, simhash, topk, toxicity
+from tarmac.llm import chat, exact_dedup, hard_negatives, maxent, mixing, packing, pii, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -28,6 +28,12 @@ QUERIES = {
         toxicity.op8_toxicity,
         topk.op9_exact_top_k,
         sharding.op10_vector_sharding,
+        hard_negatives.op11_hard_negatives,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_exact_top_k": topk.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
+    "op9_exact_top_k": topk.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+}

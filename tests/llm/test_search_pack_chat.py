@@ -26,18 +26,17 @@ def tokenizer():
     return t
 
 
+def integer_rows(rows):
+    return [(i, [int(np.floor(256 * float(np.float32(c)))) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+
+
 def brute_top(rows):
-    v = {}
-    for i, x in rows:
-        if i is None or x is None or any(c is None or not np.isfinite(c) for c in x):
-            continue
-        w = [int(np.floor(256 * float(np.float32(c)))) for c in x]
-        v[i] = min(v.get(i, w), w)
+    v = integer_rows(rows)
     out = []
-    for q in v:
+    for n, (q, x) in enumerate(v):
         if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], w)), i) for i, w in v.items() if i != q)[:5]
-            out += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+            s = sorted((-sum(a * b for a, b in zip(x, w)), i) for m, (i, w) in enumerate(v) if m != n)[:5]
+            out += [(q, k + 1, i, -score) for k, (score, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -52,7 +51,7 @@ def test_top_k_edges(spark, tmp_path):
     prepare(spark)
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=64).round(2).tolist()) for i in range(130)]
-    rows += [(200, rows[3][1]), (201, rows[3][1]), (0, rows[0][1]), (250, None), (300, [None] * 64), (301, [float("nan")] * 64), (350, [float("inf")] * 64), (None, rows[1][1]), (400, rows[2][1][:10]), (401, []), (500, [0.0] * 64)]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (0, rows[0][1]), (7, rows[50][1]), (7, rows[100][1]), (100, rows[9][1]), (250, None), (300, [None] * 64), (301, [float("nan")] * 64), (350, [float("inf")] * 64), (None, rows[1][1]), (400, rows[2][1][:10]), (401, []), (500, [0.0] * 64)]
     got = sorted(tuple(r) for r in T.op9_exact_top_k(spark, write_vectors(tmp_path, rows)).collect())
     assert got == brute_top(rows)
 
@@ -71,10 +70,15 @@ def test_pruning_drops_only_losers():
     c = rng.integers(-90, 90, (3000, 64))
     c[:, 16:] //= 8  # mass in the first block, so bounds bite
     ids = np.arange(3000)
-    got = list(T.cell_top(ids[:20], c[:20], ids, c))
-    for q in range(20):
-        s = sorted((-int(c[q] @ c[i]), int(i)) for i in ids if i != q)[:5]
-        assert [(i, x) for a, i, x in got if a == q] == [(i, -x) for x, i in s]
+    want = {q: sorted((-int(c[q] @ c[i]), int(i)) for i in ids if i != q)[:5] for q in range(20)}
+    none = np.full(20, -np.inf)
+    for floors in (none, np.array([-want[q][-1][0] for q in range(20)], float)):  # a floor met exactly keeps all five
+        got = list(T.cell_top(ids[:20], c[:20], floors, ids, ids, c))
+        assert all([(i, x) for a, i, _, x in got if a == q] == [(i, -x) for x, i in want[q]] for q in range(20))
+
+
+def test_floor_rises_with_lower_bounds():
+    assert T.raised(-np.inf, np.arange(9.0), 5) == 4 and T.raised(7.0, np.arange(9.0), 5) == 7 and T.raised(-np.inf, np.arange(3.0), 5) == -np.inf
 
 
 def test_top_k_empty(spark, tmp_path):
