@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, hard_negatives, maxent, mixing, packing, pii, sharding, simhash, topk, toxicity
+from tarmac.llm import chat, exact_dedup, hard_negatives, maxent, mixing, packing, pii, prefix_trie, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -29,6 +29,7 @@ QUERIES = {
         topk.op9_exact_top_k,
         sharding.op10_vector_sharding,
         hard_negatives.op11_hard_negatives,
+        prefix_trie.op12_conversation_trie,
     )
 }
 ORACLES = {
@@ -36,4 +37,5 @@ ORACLES = {
     "op5_chat_formatting": chat.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_conversation_trie": prefix_trie.ORACLE,
 }
