@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import keep, shards_for, table, word_count
+from tarmac.llm.common import keep, places, shards_for, table, word_count
 from tarmac.session import drop_cuts
 
 WIDTH = 16  # bytes of a turn's number
@@ -209,16 +209,6 @@ def trie_nodes(segments: DataFrame, sums: list[str]) -> DataFrame:
     return merged
 
 
-def places(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    """``rows`` with their place (from 1) in ``order`` among the rows of ``key``: range-sorted, counted by partition."""
-    cut = keep(rows.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id()))
-    counts = cut.groupBy("__part", *key).agg(F.count(F.lit(1)).alias("__n"))
-    ahead = F.sum("__n").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    ahead = counts.select("__part", *key, F.coalesce(ahead, F.lit(0)).alias("__ahead"))
-    within = F.row_number().over(Window.partitionBy("__part", *key).orderBy(*order))
-    return cut.withColumn("__within", within).join(ahead, ["__part", *key]).withColumn(name, (F.col("__ahead") + F.col("__within")).cast("long")).drop("__part", "__within", "__ahead")
-
-
 def by_blocks(rows: DataFrame, per_key: DataFrame, key: str, block: Column, blocks: Column) -> DataFrame:
     """``rows`` joined to the one row of ``per_key`` that has their ``key``, repeated for each block of rows so that no key is hot."""
     many = per_key.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, exact_dedup, hard_negatives, maxent, mixing, packing, pii, prefix_trie, sharding, simhash, topk, toxicity
+from tarmac.llm import chat, exact_dedup, hard_negatives, maxent, mixing, packing, pii, prefix_join, prefix_trie, sharding, simhash, topk, toxicity
 from tarmac.llm.common import prepare
 
 
@@ -30,6 +30,7 @@ QUERIES = {
         sharding.op10_vector_sharding,
         hard_negatives.op11_hard_negatives,
         prefix_trie.op12_conversation_trie,
+        prefix_join.op13_ngram_jaccard_join,
     )
 }
 ORACLES = {
