@@ -16,10 +16,13 @@ members of a pair of groups with the first documents of the larger.  Documents t
 large family of near copies costs a few comparisons each.  The next round takes ``GROWTH`` times as many firsts, and
 rounds go on until every bucket, group and pair is one component or wholly compared; so no link between components is lost.
 
+Sets are made from the texts whenever needed (a few numpy operations a text), never stored: they take more room than the
+texts.
+
 Edge cases: null and empty texts and those of white space have no shingles and are linked with nothing (component_id is
 the row's own doc_id); one or two words make one shingle; null doc_ids never give the component_id (it is null if a
 component has no other); repeated rows each get their row; an empty table gives an empty result; other columns are not
-looked at.  Shingles are told apart by XXH64, sets by 128 bits of BLAKE2.
+looked at.  Shingles are told apart by 64-bit hashes of their words' XXH64, sets by 128 bits of BLAKE2.
 """
 
 from __future__ import annotations
@@ -44,58 +47,73 @@ SKETCH_BITS = (12, 22)
 SKETCH_BLOCK = 1 << 12
 PARITY_LONGS = 16
 GROWTH = 8
-CHUNK = 1 << 14
 BATCH_BYTES = 4 << 20
+CACHED_WORDS = 1 << 20
 
 
-def shingle_hashes(tokens: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a word list."""
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the next text until there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def all_shingles(tokens: list[bytes], hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of every shingle in order; a list shorter than ``shingle`` is one shingle."""
     if not tokens:
         return np.empty(0, np.uint64)
-    joined = b" ".join(tokens)
-    n = max(1, len(tokens) - shingle + 1)
-    if n == 1:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(t) + 1 for t in tokens])
-    first = [0, *ends[: n - 1].tolist()]
-    last = (ends[shingle - 1:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    parts = [np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first[i:i + CHUNK], last[i:i + CHUNK])], np.uint64)) for i in range(0, n, CHUNK)]
-    return np.unique(np.concatenate(parts))
+    w = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    width = min(shingle, len(w))
+    h = np.full(len(w) - width + 1, width, np.uint64)
+    for i in range(width):  # position and word both change the hash
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i:len(w) - width + 1 + i]
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_hashes(tokens: list[bytes], hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a word list."""
+    return np.unique(all_shingles(tokens, hashes, shingle))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """row_id, doc_id, n, digest, hashes (sorted uint64 bytes) of every row."""
+def set_digests(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row_id, doc_id, n (size) and digest of every row's set."""
 
     def run(batches):
+        cache = WordHashes()
         for b in batches:
-            ids, docs_of, h, held, at = b.column(0), b.column(1), [], 0, 0
-            for i in range(b.num_rows):
-                h.append(shingle_hashes(words(text_bytes(b.column(2).slice(i, 1))[0]), shingle).tobytes())
-                held += len(h[-1])
-                if held > BATCH_BYTES or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, len(h)), docs_of.slice(at, len(h)), pa.array([len(x) // 8 for x in h], pa.int64()),
-                         pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in h], pa.binary()), pa.array(h, pa.binary())],
-                        ["row_id", "doc_id", "n", "digest", "hashes"])
-                    h, held, at = [], 0, i + 1
+            n, digest = [], []
+            for text in b.column(2):
+                h = shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle)
+                n.append(len(h))
+                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["row_id", "doc_id", "n", "digest"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return rows.mapInArrow(run, "row_id long, doc_id long, n long, digest binary, hashes binary")
+    return texts.mapInArrow(run, "row_id long, doc_id long, n long, digest binary")
 
 
-def sketch(sets: DataFrame, tokens: int) -> np.ndarray:
-    """Counts of the shingles by their low bits: at least 2^12 and at most 2^22 buckets, so at most 16 MB on the driver."""
+def sketch(texts: DataFrame, tokens: int, shingle: int = SHINGLE) -> np.ndarray:
+    """Counts of all shingles by their low bits: at least 2^12 and at most 2^22 buckets, so at most 16 MB on the driver."""
     low, high = SKETCH_BITS
     size = 1 << min(high, max(low, (tokens // SKETCH_LOAD).bit_length()))
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total, cache = np.zeros(size, np.int64), WordHashes()
         for b in batches:
-            for h in b.column(0):
-                u = np.frombuffer(h.as_buffer(), np.uint64)
-                for i in range(0, len(u), 1 << 20):
-                    np.add.at(total, (u[i:i + (1 << 20)] & np.uint64(size - 1)).astype(np.int64), 1)
+            for text in b.column(0):
+                h = all_shingles(words(text_bytes(pa.array([text]))[0]), cache, shingle) & np.uint64(size - 1)
+                if len(h) > size // 8:
+                    total += np.bincount(h.astype(np.int64), minlength=size)
+                else:
+                    np.add.at(total, h.astype(np.int64), 1)
         blocks = total.reshape(-1, min(size, SKETCH_BLOCK))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([x.astype("<u4").tobytes() for x in blocks])], ["block", "counts"])
 
@@ -103,7 +121,7 @@ def sketch(sets: DataFrame, tokens: int) -> np.ndarray:
         total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in t["counts"])
         return pa.table({"block": t["block"][:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()])})
 
-    parts = sets.select("hashes").mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, counts binary")
+    parts = texts.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, counts binary")
     blocks = sorted((r["block"], r["counts"]) for r in parts.collect())
     return np.frombuffer(b"".join(c for _, c in blocks), "<u4") if blocks else np.zeros(size, "<u4")
 
@@ -112,25 +130,30 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(sets: DataFrame, counts, percent: int = PERCENT) -> DataFrame:
+def prefixes(texts: DataFrame, counts, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """row_id, n, prefix (rarest shingles first), parity (bits of the set, as longs); ``counts`` is a broadcast sketch."""
 
     def run(batches):
-        rare = counts.value
+        rare, cache = counts.value, WordHashes()
         mask = np.uint64(len(rare) - 1)
         for b in batches:
-            prefix, parity = [], []
-            for h in b.column(2):
-                u = np.frombuffer(h.as_buffer(), np.uint64)
-                order = np.lexsort((u, rare[(u & mask).astype(np.int64)]))
-                prefix.append(u[order[: prefix_length(len(u), percent)]].view(np.int64))
+            ids, sizes, prefix, parity = [], [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                u = shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle)
+                if not len(u):
+                    continue
+                ids.append(row), sizes.append(len(u))
+                seen, k = rare[(u & mask).astype(np.int64)], prefix_length(len(u), percent)
+                bound = np.partition(seen, k - 1)[k - 1]
+                few = np.flatnonzero(seen <= bound)  # no rarer one outside; only these need sorting
+                prefix.append(u[few[np.lexsort((u[few], seen[few]))[:k]]].view(np.int64))
                 odd = np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
                 parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             at = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(parity, pa.list_(pa.int64()))], ["row_id", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(parity, pa.list_(pa.int64()))], ["row_id", "n", "prefix", "parity"])
 
-    return sets.select("row_id", "n", "hashes").mapInArrow(run, "row_id long, n long, prefix array<long>, parity array<long>")
+    return texts.select("row_id", "text").mapInArrow(run, "row_id long, n long, prefix array<long>, parity array<long>")
 
 
 def grouped(pre: DataFrame) -> DataFrame:
@@ -149,8 +172,29 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """cx, cy of the pairs (x, y, cx, cy) whose sets reach ``percent``."""
+def sets_of(texts: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row_id, hashes (sorted uint64 bytes) of the rows in ``ids``, made again from the texts: sets of all rows are never stored."""
+
+    def run(batches):
+        cache = WordHashes()
+        for b in batches:
+            rows, h, held = [], [], 0
+            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                rows.append(row)
+                h.append(shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle).tobytes())
+                held += len(h[-1])
+                if held > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h, pa.binary())], ["row_id", "hashes"])
+                    rows, h, held = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h, pa.binary())], ["row_id", "hashes"])
+
+    return texts.select("row_id", "text").join(ids, "row_id", "left_semi").mapInArrow(run, "row_id long, hashes binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """a, b (the distinct components joined) of the pairs (x, y, cx, cy; a cut) whose sets reach ``percent``."""
+    sets = keep(sets_of(texts, pairs.select(F.col("x").alias("row_id")).union(pairs.select("y")).distinct(), shingle))
     of = lambda name: sets.select(F.col("row_id").alias(name), F.col("hashes").alias(f"h{name}"))
     both = pairs.join(of("x"), "x").join(of("y"), "y").select("cx", "cy", "hx", "hy")
 
@@ -167,10 +211,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             keep_rows = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep_rows), b.column(1).filter(keep_rows)], ["cx", "cy"])
 
-    return both.mapInArrow(run, "cx long, cy long")
+    found = both.mapInArrow(run, "cx long, cy long")
+    links = keep(found.select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).distinct())
+    drop_cuts(sets)
+    return links
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked_components(members: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """row_id, comp: the components of the verified links among ``members`` (cut of row_id, n, parity, gid, tokens, place)."""
     groups = keep(members.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("m")))
     postings = groups.select("gid", "n", F.explode("tokens").alias("token"), (-F.col("m")).alias("__m"))
@@ -210,7 +257,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int = PERCEN
         apart_bits = sum((bits(i) for i in range(1, PARITY_LONGS)), bits(0))
         tried = tried.where(apart_bits <= F.col("nx") + F.col("ny") - 2 * least_overlap(F.col("nx"), F.col("ny"), percent))
         tried = keep(tried.select("x", "y", "cx", "cy").distinct())
-        links = keep(verified(tried, sets, percent).select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).distinct())
+        links = verified(tried, texts, shingle, percent)
         if not links.isEmpty():
             roots = components(links).select(F.col("node").alias("comp"), "root")
             members = cut_lineage(members.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"), members)
@@ -236,19 +283,18 @@ def _open(members: DataFrame, buckets: DataFrame, several: DataFrame, pairs: Dat
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """row_id, doc_id, n, component_id of every row."""
-    rows = keep(shingle_sets(docs, id_col, text_col, shingle))
+    texts = texts_of(docs, id_col, text_col)
+    rows = keep(set_digests(texts, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
     classes = keep(rows.where("n > 0").groupBy("digest").agg(first, F.max("n").alias("n")))
-    ids = classes.select(F.col("first.row_id").alias("row_id"))
-    sets = rows.where("n > 0").select("row_id", "n", "hashes").join(ids, "row_id", "left_semi")
     tokens = classes.agg(F.sum("n")).first()[0]
     if not tokens:
         return rows.select("row_id", "doc_id", "n", F.col("doc_id").alias("component_id"))
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(sets, tokens))
-    members = keep(grouped(keep(prefixes(sets, counts, percent))))
-    held = keep(rows.select("row_id", "hashes").join(members.select("row_id"), "row_id", "left_semi"))
-    comps = linked_components(members, held, percent)
-    drop_cuts(held, members)
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(texts, tokens, shingle))
+    ids = classes.select(F.col("first.row_id").alias("row_id"))
+    members = keep(grouped(keep(prefixes(texts, counts, shingle, percent).join(ids, "row_id", "left_semi"))))
+    comps = linked_components(members, texts, shingle, percent)
+    drop_cuts(members)
     named = classes.select("digest", "first", F.col("first.row_id").alias("row_id")).join(comps, "row_id", "left").select("digest", "first", F.coalesce("comp", "row_id").alias("comp"))
     named = keep(named)
     top = named.groupBy("comp").agg(F.min("first").alias("top"))
