@@ -22,20 +22,20 @@ texts.
 Edge cases: null and empty texts and those of white space have no shingles and are linked with nothing (component_id is
 the row's own doc_id); one or two words make one shingle; null doc_ids never give the component_id (it is null if a
 component has no other); repeated rows each get their row; an empty table gives an empty result; other columns are not
-looked at.  Shingles are told apart by 64-bit hashes of their words' XXH64, sets by 128 bits of BLAKE2.
+looked at.  Shingles are told apart by 64-bit hashes of their words' 64-bit hashes, sets by 128 bits of BLAKE2.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import keep, places, table, text_bytes, words
+from tarmac.llm.common import keep, places, table
 from tarmac.operators.components import components
 from tarmac.session import cut_lineage, drop_cuts
 
@@ -48,36 +48,84 @@ SKETCH_BLOCK = 1 << 12
 PARITY_LONGS = 16
 GROWTH = 8
 BATCH_BYTES = 4 << 20
-CACHED_WORDS = 1 << 20
+CHUNK_BYTES = 1 << 18  # of texts hashed at once
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the next text until there are too many."""
+def _letters() -> np.ndarray:
+    """A random 64-bit number for each byte, the same for A-Z and a-z."""
+    numbers = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+    numbers[65:91] = numbers[97:123]
+    return numbers
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
-        return h
 
+LETTER = _letters()
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 
-def all_shingles(tokens: list[bytes], hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
-    """Hash of every shingle in order; a list shorter than ``shingle`` is one shingle."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(shingle, len(w))
-    h = np.full(len(w) - width + 1, width, np.uint64)
-    for i in range(width):  # position and word both change the hash
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i:len(w) - width + 1 + i]
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``BASE`` and of its inverse modulo 2^64, at least ``n``."""
+    if len(_powers.held[0]) < n:
+        size = 1 << max(20, n.bit_length())
+        both = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _powers.held = tuple(both)
+    return _powers.held
+
+
+_powers.held = (np.empty(0, np.uint64),) * 2
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of the words of texts that lie end to end, and the number of words before each text (one more entry)."""
+    power, inverse = _powers(len(data))
+    inside = ~SPACE[data]
+    fresh = np.ones(len(data), bool)  # the byte before is a space or of another text
+    fresh[1:] = ~inside[:-1]
+    fresh[cuts[cuts < len(data)]] = True
+    start = np.flatnonzero(inside & fresh)
+    last = np.ones(len(data), bool)
+    last[:-1] = fresh[1:] | ~inside[1:]
+    end = np.flatnonzero(inside & last) + 1
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[data] * power[: len(data)], dtype=np.uint64)])
+    return (upto[end] - upto[start]) * inverse[start], np.searchsorted(start, cuts)
+
+
+def mixed(w: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive word hashes, in which place and word both count."""
+    h = np.full(max(0, len(w) - width + 1), width, np.uint64)
+    for i in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i:i + len(h)]
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(tokens: list[bytes], hashes: WordHashes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a word list."""
-    return np.unique(all_shingles(tokens, hashes, shingle))
+def all_shingles(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text (null: empty) the hashes of its shingles in order; a text of fewer words is one shingle."""
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, kind)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+        w, first = word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
+        whole = mixed(w, shingle)
+        for a, b in zip(first.tolist(), first[1:].tolist()):
+            yield whole[a:b - shingle + 1] if b - a >= shingle else mixed(w[a:b], b - a) if b > a else w[:0]
+        i = j
+
+
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    for h in all_shingles(texts, shingle):
+        h = np.sort(h)
+        yield h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -88,11 +136,9 @@ def set_digests(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """row_id, doc_id, n (size) and digest of every row's set."""
 
     def run(batches):
-        cache = WordHashes()
         for b in batches:
             n, digest = [], []
-            for text in b.column(2):
-                h = shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle)
+            for h in shingle_sets(b.column(2), shingle):
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["row_id", "doc_id", "n", "digest"])
@@ -106,10 +152,10 @@ def sketch(texts: DataFrame, tokens: int, shingle: int = SHINGLE) -> np.ndarray:
     size = 1 << min(high, max(low, (tokens // SKETCH_LOAD).bit_length()))
 
     def count(batches):
-        total, cache = np.zeros(size, np.int64), WordHashes()
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for text in b.column(0):
-                h = all_shingles(words(text_bytes(pa.array([text]))[0]), cache, shingle) & np.uint64(size - 1)
+            for h in all_shingles(b.column(0), shingle):
+                h = h & np.uint64(size - 1)
                 if len(h) > size // 8:
                     total += np.bincount(h.astype(np.int64), minlength=size)
                 else:
@@ -134,12 +180,11 @@ def prefixes(texts: DataFrame, counts, shingle: int = SHINGLE, percent: int = PE
     """row_id, n, prefix (rarest shingles first), parity (bits of the set, as longs); ``counts`` is a broadcast sketch."""
 
     def run(batches):
-        rare, cache = counts.value, WordHashes()
+        rare = counts.value
         mask = np.uint64(len(rare) - 1)
         for b in batches:
             ids, sizes, prefix, parity = [], [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
-                u = shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle)
+            for row, u in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), shingle)):
                 if not len(u):
                     continue
                 ids.append(row), sizes.append(len(u))
@@ -176,12 +221,11 @@ def sets_of(texts: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFra
     """row_id, hashes (sorted uint64 bytes) of the rows in ``ids``, made again from the texts: sets of all rows are never stored."""
 
     def run(batches):
-        cache = WordHashes()
         for b in batches:
             rows, h, held = [], [], 0
-            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for row, found in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), shingle)):
                 rows.append(row)
-                h.append(shingle_hashes(words(text_bytes(pa.array([text]))[0]), cache, shingle).tobytes())
+                h.append(found.tobytes())
                 held += len(h[-1])
                 if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h, pa.binary())], ["row_id", "hashes"])

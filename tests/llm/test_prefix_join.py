@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -124,3 +125,21 @@ def test_prefix_length_and_order_keep_every_pair(spark):
             order = rng.permutation(300)
             head = lambda s: set(sorted(s, key=lambda x: order[x])[: J.prefix_length(len(s))])
             assert head(a) & head(b)
+
+
+def test_hashes_follow_words(monkeypatch):
+    texts = ["a b c d", None, "", " \t\n\x0b\x0c\r ", "A b  C\nd", "ab c d", "a bc d", "b a c d", "Ä ä é", "ä ä é", "x", "x y", "y x", "a b c a b c a b", "\x1fa b\x1c c d"]
+    rng = random.Random(5)
+    texts += [" ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    for chunk in (1 << 18, 7):
+        monkeypatch.setattr(J, "CHUNK_BYTES", chunk)
+        for column in (pa.array(texts), pa.array(["pad", *texts])[1:], pa.array(texts, pa.large_string())):
+            got = [set(h.tolist()) for h in J.shingle_sets(column)]
+            want = [shingles(t) for t in texts]
+            assert [len(h) for h in got] == list(map(len, want))
+            name = {}
+            for h, text in zip(J.all_shingles(column), texts):  # one hash for one shingle, in order
+                w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+                s = [tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+                assert len(h) == len(s) and all(name.setdefault(x, y) == y for x, y in zip(s, h.tolist()))
+            assert len(set(name.values())) == len(name)
