@@ -2,34 +2,78 @@
 
 All slots rank claimants by one common order and every claimant has a fixed list
 of options, so the assignment that a one-by-one pass in that order would make is
-the unique stable one.  A round lets every slot keep its best claimants up to its
-limit; the others claim their next option.  Rounds go on until nobody is turned
-away.  Each round is one limited window over the current claims and one join of
-the turned-away; no group is ever held by one Python task.
+the unique stable one.  A round looks only at slots with new claims: each keeps
+its best claimants up to its limit (a limited window), which sets the cutoff of a
+full slot.  Cutoffs only get better, so a claimant turned away goes straight to its
+first further option whose cutoff still admits it; its option list is one array,
+looked up by key, and the rows of a round are narrow.  Rounds go on until nobody is turned away.  No group is ever held
+by one Python task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, drop_cuts
+
+MERGE_EVERY = 4
+BROADCAST_ROWS = 50_000  # of a key and a number
+
+
+def _latest(rounds: list[DataFrame], slot: list[str], only: DataFrame | None = None) -> DataFrame:
+    """The winners of every slot (of ``only``) by the last round that looked at it."""
+    rows = reduce(DataFrame.unionByName, [w.withColumn("__round", F.lit(i)) for i, w in enumerate(rounds)])
+    if only is not None:
+        rows = rows.join(only, slot, "left_semi")
+    last = F.max("__round").over(Window.partitionBy(*slot))  # a slot's winners are at most its limit a round
+    return rows.withColumn("__last", last).where("__round = __last").drop("__round", "__last")
 
 
-def stable_assignment(options: DataFrame, key: str, slot: list[str], order: list[Column], most: int, limit: str = "limit") -> DataFrame:
-    """The option each claimant ends with; claimants that run out of options are absent.
+def stable_assignment(claimants: DataFrame, key: str, slot: list[str], most: int, log: list[int] | None = None) -> DataFrame:
+    """The option each claimant ends with (``key`` and the option's fields); claimants that run out of options are absent.
 
-    ``options``: one row per (``key``, ``at``), ``at`` counting from 0 in order of
-    preference, with the ``slot`` columns, the columns of ``order`` and ``limit``
-    (the slot's capacity, at most ``most``).
+    ``claimants``: one row per ``key`` with ``rank`` (a struct, least first, no two
+    equal) and ``options``, an array of structs in order of preference that hold the
+    ``slot`` columns, ``limit`` (the slot's capacity, from 1 to ``most``) and any
+    further columns; slot columns common to all options may stand beside the array.
+    ``log`` receives the number of claims of every round.
     """
-    options = cut_lineage(options)
-    claims = options.where("at = 0")
+    own = [c for c in slot if c in claimants.columns]  # slot columns that a claimant's options share
+    lists = cut_lineage(claimants.select(key, "rank", *own, "options"))
+    fields = claimants.schema["options"].dataType.elementType.names
+    current = lambda df: df.select(key, "rank", "at", *own, *[F.element_at("options", F.col("at") + 1)[c].alias(c) for c in fields])
+    claims = cut_lineage(current(lists.where(F.size("options") > 0).withColumn("at", F.lit(0))))
+    rounds = []
     while True:
-        place = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
-        kept = claims.withColumn("__place", place).where(F.col("__place") <= most)  # the constant bound limits before the shuffle
-        kept = cut_lineage(kept.where(F.col("__place") <= F.col(limit)).drop("__place"))
-        lost = cut_lineage(claims.join(kept.select(key), key, "left_anti").select(key, (F.col("at") + 1).alias("at")))
-        if lost.isEmpty():
-            return kept
-        claims = kept.unionByName(options.join(lost, [key, "at"]).select(*kept.columns))
+        n = claims.count()
+        if log is not None:
+            log.append(n)
+        if not n:
+            break
+        pool = claims
+        if rounds:
+            pool = pool.unionByName(_latest(rounds, slot, claims.select(*slot).distinct()).drop("place"))
+        place = F.row_number().over(Window.partitionBy(*slot).orderBy("rank"))
+        won = pool.withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= F.col("limit"))  # the constant bound limits before the shuffle
+        won = cut_lineage(won)
+        full = lambda df: df.where("place = limit").select(*slot, F.col("rank").alias("cutoff"))
+        # no more are turned away than claim: a slot never ends a round with fewer winners
+        lost = pool.join(full(won), slot).where(F.col("rank") > F.col("cutoff")).select(key, "at")
+        lost = F.broadcast(lost) if n <= BROADCAST_ROWS else lost
+        rounds.append(won)
+        cutoffs = reduce(DataFrame.union, [full(w) for w in rounds]).groupBy(*slot).agg(F.min("cutoff").alias("cutoff"))
+        further = lists.join(lost, key).select(key, "rank", "at", *own, F.posexplode("options").alias("to", "o")).where(F.col("to") > F.col("at"))
+        further = further.select(key, "rank", "to", "o", *[c if c in own else F.col(f"o.{c}").alias(c) for c in slot]).join(cutoffs, slot, "left")
+        admitting = further.where(F.col("cutoff").isNull() | (F.col("rank") < F.col("cutoff")))
+        first = admitting.groupBy(key, "rank", *own).agg(F.min(F.struct("to", "o")).alias("first"))
+        claims = cut_lineage(first.select(key, "rank", F.col("first.to").alias("at"), *own, *[F.col(f"first.o.{c}").alias(c) for c in fields]), claims)
+        if len(rounds) > MERGE_EVERY:
+            merged = cut_lineage(_latest(rounds, slot), *rounds)
+            rounds = [merged]
+    if not rounds:  # nobody has an option
+        return claims.select(key, *own, *fields)
+    drop_cuts(claims, lists)
+    return _latest(rounds, slot).select(key, *own, *fields)

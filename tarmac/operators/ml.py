@@ -428,6 +428,7 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
     adjacent cluster label; the rest is noise (-1).
     """
     from tarmac.session import cut_lineage
+    from tarmac.sources.ingest import dense_index
 
     cont = [c for c in features if c not in binary]
     z = standard_scale(df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), features)
@@ -449,10 +450,9 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
               .groupBy("pid").agg(F.min("ql").alias("bl")))
     labels = pts.select("pid", "v", "key").join(lab, "pid", "left").join(border, "pid", "left").select(
         "v", "key", F.coalesce("label", "bl").alias("lbl"))
-    # dense cluster ids in label order; the label table has one row per cluster (bounded by the cluster count)
-    ids = labels.where(F.col("lbl").isNotNull()).select("lbl").distinct()
-
-    ids = ids.withColumn("DBSCAN_Cluster", (F.row_number().over(Window.orderBy("lbl")) - 1).cast("int"))
+    # dense cluster ids in label order, by range partitions and the counts before them
+    ids = dense_index(labels.where(F.col("lbl").isNotNull()).select("lbl").distinct(), ["lbl"], "DBSCAN_Cluster")
+    ids = ids.select("lbl", F.col("DBSCAN_Cluster").cast("int").alias("DBSCAN_Cluster"))
     out = z.join(labels, ["v", "key"], "left").join(ids, "lbl", "left")
     return out.select(key, F.coalesce("DBSCAN_Cluster", F.lit(-1)).alias("DBSCAN_Cluster"),
                       F.col("DBSCAN_Cluster").isNull().alias("DBSCAN_Anomaly"))

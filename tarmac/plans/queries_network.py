@@ -103,6 +103,13 @@ def g08(spark, sf):
     return _cascade(spark, sf)[2]
 
 
+@register("g08w_cascade_by_windows", sql=with_views("SELECT Flight_ID, delay FROM d5", *EDGE_CTES, *cascade_ctes()), floats=("delay",))
+def g08w(spark, sf):
+    """The same cascade from maxima over windows: no pair of the passenger and runway rules is made."""
+    f = flights(spark, sf)
+    return G.window_cascade(f, f.select("Flight_ID", F.col("Delay_Minutes").alias("delay")), max_iter=5)
+
+
 @register("g09_cascade_impact", sql=with_views("""SELECT sum(d.delay) AS total_propagated_delay, count_if(d.delay > 0) AS affected_flights_count,
   count_if(d.delay > 0 AND d.delay <= 15) AS minor, count_if(d.delay > 15 AND d.delay <= 30) AS moderate, count_if(d.delay > 30) AS severe,
   sum(CASE WHEN d.delay > 0 THEN f.Capacity * d.delay END) / 60 AS estimated_passenger_delay_hours,
@@ -121,7 +128,7 @@ LEFT JOIN (SELECT src, count(*) AS n FROM net GROUP BY src) o ON f.Flight_ID = o
 LEFT JOIN (SELECT dst, count(*) AS n FROM net GROUP BY dst) i ON f.Flight_ID = i.dst""", *EDGE_CTES), ints=("out_degree", "in_degree"))
 def g10(spark, sf):
     f = flights(spark, sf)
-    return G.degrees(G.build_network(f), f)
+    return G.window_degrees(f)
 
 
 @register("g11_pagerank")
