@@ -30,5 +30,5 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
-    assert len([n for n in entry.queries() if n.startswith("op") and "_" in n]) == 10
+    assert len([n for n in entry.queries() if n.startswith("op") and "_" in n]) == 13
     assert {r["offset"] >= 0 for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()} == {True}
