@@ -530,42 +530,68 @@ def _kv(section: str, key: str, value: Column) -> Column:
 
 # A37
 def kpi_context(flights: DataFrame) -> DataFrame:
-    """Context bundle as (section, key, value) rows: summary, busiest/best/worst hour,
-    3 busiest and 3 lowest-delay hours, mean delay of every airline and runway, runway use, high-risk count."""
+    """Context bundle as (section, key, value) rows: summary (counts, airlines, runways, delay totals, first and last day as
+    yyyymmdd), busiest/best/worst hour, 3 busiest and 3 lowest-delay hours, mean delay and flights of every airline and
+    runway, best and worst airline, busiest and most efficient runway, high-risk count.  Ties go to the smaller name or hour;
+    an empty table has no hours, airlines and runways."""
     d = F.col("Delay_Minutes")
-    summary = flights.agg(F.array(
+    day = lambda x: F.date_format(x, "yyyyMMdd")
+    rows = lambda agg: agg.select(F.explode("kv").alias("r")).select("r.*")
+    summary = rows(flights.agg(F.array(
         _kv("summary", "total_flights", _cnt()), _kv("summary", "avg_delay", F.avg(d)),
         _kv("summary", "delay_rate_pct", F.count_if(d > 15) / _cnt() * 100), _kv("summary", "high_risk_flights", F.count_if(d > 60)),
-    ).alias("kv")).select(F.explode("kv").alias("r")).select("r.*")
+        _kv("summary", "total_delay_minutes", F.sum(d)), _kv("summary", "delayed_flights", F.count_if(d > 0)),
+        _kv("summary", "first_day", day(F.min("Scheduled_Time"))), _kv("summary", "last_day", day(F.max("Scheduled_Time"))),
+    ).alias("kv")))
     h = flights.groupBy("Hour").agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("a"))
-    one = h.agg(F.array(
-        _kv("hours", "busiest_hour", F.max_by("Hour", F.struct("n", -F.col("Hour")))),
+    one = rows(h.agg(F.array(
+        _kv("hours", "busiest_hour", F.max_by("Hour", F.struct("n", -F.col("Hour")))), _kv("hours", "busiest_hour_flights", F.max("n")),
         _kv("hours", "best_hour", F.min_by("Hour", F.struct("a", "Hour"))),
         _kv("hours", "worst_hour", F.max_by("Hour", F.struct("a", -F.col("Hour")))),
-    ).alias("kv")).select(F.explode("kv").alias("r")).select("r.*")
+    ).alias("kv")))
     # <= 24 hourly rows: ordering them globally is bounded
     busy = h.orderBy(F.desc("n"), "Hour").limit(3).select(F.lit("peak_hours").alias("section"), F.col("Hour").cast("string").alias("key"),
                                                          F.col("n").cast("double").alias("value"))
     calm = h.orderBy(F.asc("a"), "Hour").limit(3).select(F.lit("low_delay_hours").alias("section"), F.col("Hour").cast("string").alias("key"),
                                                         F.col("a").alias("value"))
-    air = flights.groupBy("Airline").agg(F.avg("Delay_Minutes").alias("a")).select(
-        F.lit("airline_ranking").alias("section"), F.col("Airline").alias("key"), F.col("a").alias("value"))
-    rw = flights.groupBy("Runway").agg(_cnt().alias("n")).select(F.lit("runway_use").alias("section"), F.col("Runway").alias("key"),
-                                                                 F.col("n").cast("double").alias("value"))
-    return summary.unionByName(one).unionByName(busy).unionByName(calm).unionByName(air).unionByName(rw)
+    out = summary.unionByName(one).unionByName(busy).unionByName(calm)
+    pair = lambda section, key, value: F.struct(F.lit(section).alias("section"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    for col, delay, use, names in (("Airline", "airline_ranking", "airline_flights", ("best_airline", "worst_airline")),
+                                   ("Runway", "runway_delay", "runway_use", ("most_efficient_runway", "busiest_runway"))):
+        g = flights.groupBy(col).agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("a"))
+        out = out.unionByName(rows(g.select(F.array(pair(delay, col, "a"), pair(use, col, "n")).alias("kv"))))
+        # two rows out of a partial aggregate, however many names there are
+        last = F.struct(-F.col("a"), col) if col == "Airline" else F.struct(-F.col("n"), col)
+        picks = g.agg(F.count_if(F.col(col).isNotNull()).alias("names"), F.min(F.struct("a", col)).alias("lo"),
+                      F.min_by(F.struct(F.col(col).alias("key"), F.col("a" if col == "Airline" else "n").cast("double").alias("value")), last).alias("hi"))
+        out = out.unionByName(rows(picks.where("names > 0").select(F.array(
+            F.struct(F.lit(names[0]).alias("section"), F.col(f"lo.{col}").alias("key"), F.col("lo.a").alias("value")),
+            F.struct(F.lit(names[1]).alias("section"), F.col("hi.key").alias("key"), F.col("hi.value").alias("value"))).alias("kv"))))
+    return out
 
 
 # A38
 def data_summary(flights: DataFrame) -> DataFrame:
+    """One row of headline figures: rates, date range, five busiest airlines as name:flights, worst and best hour and airline
+    by mean delay, flights per runway, mean delay of the last three days.  Ties go to the smaller hour or name."""
     d = F.col("Delay_Minutes")
     base = flights.agg(
         _cnt().alias("total_flights"), F.count_if(d > 0).alias("delayed_flights"), (F.count_if(d > 0) / _cnt() * 100).alias("delayed_pct"),
         F.avg(d).alias("avg_delay"), F.max(d).alias("max_delay"), (F.count_if(d <= 15) / _cnt() * 100).alias("on_time_rate"),
-        (F.count_if(d > 60) / _cnt() * 100).alias("severe_delay_rate"), F.count_if(d > 120).alias("over_2h"))
+        (F.count_if(d > 60) / _cnt() * 100).alias("severe_delay_rate"), F.count_if(d > 120).alias("over_2h"),
+        F.min("Date").cast("string").alias("first_date"), F.max("Date").cast("string").alias("last_date"))
     rw = flights.groupBy("Runway").agg(_cnt().alias("n")).agg(F.avg("n").alias("runway_mean_flights"), F.max("n").alias("runway_max_flights"))
-    hr = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("a")).agg(F.max("a").alias("peak_hour_max_delay"))
+    hr = flights.groupBy("Hour").agg(F.avg("Delay_Minutes").alias("a")).agg(
+        F.max("a").alias("peak_hour_max_delay"), F.min_by("Hour", F.struct(-F.col("a"), "Hour")).alias("worst_hour"),
+        F.min_by("Hour", F.struct("a", "Hour")).alias("best_hour"), F.min("a").alias("best_hour_delay"))
+    per = flights.groupBy("Airline").agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("a"))
+    air = per.agg(F.min_by("Airline", F.struct(-F.col("a"), "Airline")).alias("worst_airline"), F.max("a").alias("worst_airline_delay"),
+                  F.min_by("Airline", F.struct("a", "Airline")).alias("best_airline"), F.min("a").alias("best_airline_delay"))
+    top = per.orderBy(F.desc("n"), "Airline").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "Airline"))).alias("t")).select(
+        F.array_join(F.transform("t", lambda x: F.concat(x["Airline"], F.lit(":"), (-x["m"]).cast("string"))), ", ").alias("top_airlines"))
     trend = flights.groupBy("Date").agg(F.avg("Delay_Minutes").alias("m")).orderBy(F.desc("Date")).limit(3).agg(F.avg("m").alias("recent_trend"))
-    return base.crossJoin(rw).crossJoin(hr).crossJoin(trend)
+    # every side is one row
+    return base.crossJoin(rw).crossJoin(hr).crossJoin(air).crossJoin(top).crossJoin(trend)
 
 
 def top_delayed_routes(flights: DataFrame, k: int = 5) -> DataFrame:
@@ -603,6 +629,42 @@ def basic_recommendations(flights: DataFrame) -> DataFrame:
     return out.unionByName(none)
 
 
+# A50 (rules of the application)
+PERFORMANCE_ACTIONS = [
+    (20.0, "high", ["implement immediate delay reduction measures", "increase buffer time between flights", "review ground operations efficiency"]),
+    (10.0, "medium", ["optimize current schedule", "analyze peak hour distribution", "improve turnaround time management"]),
+    (None, "maintenance", ["continue current best practices", "focus on preventing delay increases", "share best practices across operations"]),
+]
+
+
+def performance_recommendations(flights: DataFrame) -> DataFrame:
+    """(priority, rule, detail): three actions by mean delay (> 20, > 10, else), runways to balance when the sample deviation of
+    flights per runway exceeds 30 % of their mean, the peak hour to thin out when it has over 1.5 times the mean hour, then the
+    busiest and the best hour, best and worst airline.  Ties go to the smaller hour or name; an empty table has no rows."""
+    base = flights.agg(F.avg("Delay_Minutes").alias("delay"), _cnt().alias("total"))
+    rw = flights.groupBy("Runway").agg(_cnt().alias("n")).agg(F.stddev_samp("n").alias("rs"), F.avg("n").alias("rm"))
+    hr = flights.groupBy("Hour").agg(_cnt().alias("n"), F.avg("Delay_Minutes").alias("a")).agg(
+        F.max("n").alias("hx"), F.avg("n").alias("hm"), F.min_by("Hour", F.struct(-F.col("n"), "Hour")).cast("string").alias("busiest"),
+        F.min_by("Hour", F.struct("a", "Hour")).cast("string").alias("calmest"))
+    air = flights.groupBy("Airline").agg(F.avg("Delay_Minutes").alias("a")).agg(
+        F.min_by("Airline", F.struct("a", "Airline")).alias("best"), F.min_by("Airline", F.struct(-F.col("a"), "Airline")).alias("worst"))
+    one = base.where("total > 0").crossJoin(rw).crossJoin(hr).crossJoin(air)  # every side is one row
+
+    def row(priority, rule, detail, when):
+        return F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(rule).alias("rule"), detail.alias("detail")))
+
+    rules, above = [], F.lit(False)
+    for limit, level, actions in PERFORMANCE_ACTIONS:
+        hit = ~above & (F.col("delay") > limit if limit is not None else F.col("delay").isNotNull())
+        rules += [row(1, f"{level}: {a}", F.format_string("%.1f", "delay"), hit) for a in actions]
+        above = above | (F.col("delay") > limit) if limit is not None else above
+    rules += [row(2, "balance runway utilization", F.format_string("%.1f", "rs"), F.col("rs") > F.col("rm") * 0.3),
+              row(3, "move flights out of the peak hour", F.col("busiest"), F.col("hx") > F.col("hm") * 1.5),
+              row(4, "peak congestion hour", F.col("busiest"), F.lit(True)), row(4, "best hour for critical flights", F.col("calmest"), F.lit(True)),
+              row(5, "share best practices of", F.col("best"), F.lit(True)), row(5, "support operations of", F.col("worst"), F.lit(True))]
+    return one.select(F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("r")).select("r.*")
+
+
 def congestion_summary(flights: DataFrame) -> DataFrame:
     """A06 headline figures: super-peak share and delay, mean congestion and efficiency, congested-route share."""
     sp = F.col("Peak_Category") == "super_peak"

@@ -170,6 +170,37 @@ def silhouette(df: DataFrame, features: str = "features", pred: str = "cluster")
     return ClusteringEvaluator(featuresCol=features, predictionCol=pred, distanceMeasure="squaredEuclidean").evaluate(df)
 
 
+SILHOUETTE_BLOCK = 256
+
+
+def exact_silhouette(df: DataFrame, features: list[str], pred: str) -> DataFrame:
+    """Mean Euclidean silhouette as one row; a point alone in its cluster counts 0, one cluster alone gives null.
+
+    All pair distances are needed, so points are dealt into blocks of at most
+    ``SILHOUETTE_BLOCK`` by their number; every point meets every block as one
+    array and sends on one sum and count per cluster, never a pair.
+    """
+    from tarmac.sources.ingest import dense_index
+
+    points = dense_index(df.select(F.col(pred).alias("own"), F.array(*[F.col(c).cast("double") for c in features]).alias("v")), None, "pid")
+    points = points.withColumn("block", F.floor(F.col("pid") / F.lit(SILHOUETTE_BLOCK)))
+    per = points.groupBy("block", F.col("own").alias("other")).agg(F.collect_list("v").alias("vs"))
+    last = points.agg(F.max("block").alias("last"))  # one row
+    asked = points.drop("block").crossJoin(F.broadcast(last)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+
+    def total(v, vs):
+        gap = lambda x: F.sqrt(F.aggregate(F.zip_with(v, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d))
+        return F.aggregate(vs, F.lit(0.0), lambda t, x: t + gap(x))
+
+    sums = asked.join(per, "block").select("pid", "own", "other", total(F.col("v"), F.col("vs")).alias("s"), F.size("vs").alias("n"))
+    means = sums.groupBy("pid", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    same = F.col("own").eqNullSafe(F.col("other"))
+    per_point = means.groupBy("pid").agg(F.max(F.when(same, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"),
+                                         F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    score = F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return per_point.agg(F.avg(score).alias("silhouette"))
+
+
 def flight_clusters(df: DataFrame, k: int = 3) -> DataFrame:
     """K-means on standardised delay, hour and seats; a cluster's label by its mean delay."""
     names = ["Delay_Minutes", "Hour", "Capacity"]

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 AS_OF = _dt.date(2024, 1, 15)
 H = "SELECT Hour, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay FROM flights GROUP BY Hour"
+A = "SELECT Airline, count(*) AS n, avg(Delay_Minutes) AS a FROM flights GROUP BY Airline"
 
 
 def q(name, sql, floats=(), ints=(), bench=False, extra_ctes=()):
@@ -428,7 +429,18 @@ UNION ALL SELECT 'hours', 'worst_hour', CAST((SELECT Hour FROM ({H}) x ORDER BY
 UNION ALL SELECT * FROM (SELECT 'peak_hours', CAST(Hour AS VARCHAR), CAST(Flight_Count AS DOUBLE) FROM ({H}) x ORDER BY Flight_Count DESC, Hour LIMIT 3)
 UNION ALL SELECT * FROM (SELECT 'low_delay_hours', CAST(Hour AS VARCHAR), Avg_Delay FROM ({H}) x ORDER BY Avg_Delay ASC, Hour LIMIT 3)
 UNION ALL SELECT 'airline_ranking', Airline, avg(Delay_Minutes) FROM flights GROUP BY Airline
-UNION ALL SELECT 'runway_use', Runway, CAST(count(*) AS DOUBLE) FROM flights GROUP BY Runway""", ("value",))
+UNION ALL SELECT 'runway_use', Runway, CAST(count(*) AS DOUBLE) FROM flights GROUP BY Runway
+UNION ALL SELECT 'summary', 'total_delay_minutes', CAST(sum(Delay_Minutes) AS DOUBLE) FROM flights
+UNION ALL SELECT 'summary', 'delayed_flights', CAST(count_if(Delay_Minutes > 0) AS DOUBLE) FROM flights
+UNION ALL SELECT 'summary', 'first_day', CAST(strftime(min(Scheduled_Time), '%Y%m%d') AS DOUBLE) FROM flights
+UNION ALL SELECT 'summary', 'last_day', CAST(strftime(max(Scheduled_Time), '%Y%m%d') AS DOUBLE) FROM flights
+UNION ALL SELECT 'hours', 'busiest_hour_flights', CAST(max(Flight_Count) AS DOUBLE) FROM ({H}) x
+UNION ALL SELECT 'airline_flights', Airline, CAST(count(*) AS DOUBLE) FROM flights GROUP BY Airline
+UNION ALL SELECT 'runway_delay', Runway, avg(Delay_Minutes) FROM flights GROUP BY Runway
+UNION ALL SELECT * FROM (SELECT 'best_airline', Airline, avg(Delay_Minutes) AS a FROM flights GROUP BY Airline ORDER BY a, Airline LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'worst_airline', Airline, avg(Delay_Minutes) AS a FROM flights GROUP BY Airline ORDER BY a DESC, Airline LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'most_efficient_runway', Runway, avg(Delay_Minutes) AS a FROM flights GROUP BY Runway ORDER BY a, Runway LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'busiest_runway', Runway, CAST(count(*) AS DOUBLE) AS n FROM flights GROUP BY Runway ORDER BY n DESC, Runway LIMIT 1)""", ("value",))
 def a37(spark, sf):
     return kpi.kpi_context(flights(spark, sf))
 
@@ -440,9 +452,15 @@ def a37(spark, sf):
   (SELECT avg(n) FROM (SELECT count(*) AS n FROM flights GROUP BY Runway)) AS runway_mean_flights,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM flights GROUP BY Runway)) AS runway_max_flights,
   (SELECT max(Avg_Delay) FROM ({H}) x) AS peak_hour_max_delay,
-  (SELECT avg(m) FROM (SELECT Date, avg(Delay_Minutes) AS m FROM flights GROUP BY Date ORDER BY Date DESC LIMIT 3)) AS recent_trend
-FROM flights""", ("delayed_pct", "avg_delay", "max_delay", "on_time_rate", "severe_delay_rate", "runway_mean_flights", "peak_hour_max_delay",
-                  "recent_trend"), ("total_flights", "delayed_flights", "over_2h", "runway_max_flights"))
+  (SELECT avg(m) FROM (SELECT Date, avg(Delay_Minutes) AS m FROM flights GROUP BY Date ORDER BY Date DESC LIMIT 3)) AS recent_trend,
+  CAST(min(Date) AS VARCHAR) AS first_date, CAST(max(Date) AS VARCHAR) AS last_date,
+  (SELECT Hour FROM ({H}) x ORDER BY Avg_Delay DESC, Hour LIMIT 1) AS worst_hour, (SELECT Hour FROM ({H}) x ORDER BY Avg_Delay, Hour LIMIT 1) AS best_hour,
+  (SELECT min(Avg_Delay) FROM ({H}) x) AS best_hour_delay,
+  (SELECT Airline FROM ({A}) x ORDER BY a DESC, Airline LIMIT 1) AS worst_airline, (SELECT max(a) FROM ({A}) x) AS worst_airline_delay,
+  (SELECT Airline FROM ({A}) x ORDER BY a, Airline LIMIT 1) AS best_airline, (SELECT min(a) FROM ({A}) x) AS best_airline_delay,
+  (SELECT string_agg(Airline || ':' || n, ', ' ORDER BY n DESC, Airline) FROM (SELECT * FROM ({A}) x ORDER BY n DESC, Airline LIMIT 5)) AS top_airlines
+FROM flights""", ("best_hour_delay", "worst_airline_delay", "best_airline_delay", "delayed_pct", "avg_delay", "max_delay", "on_time_rate", "severe_delay_rate", "runway_mean_flights", "peak_hour_max_delay",
+                  "recent_trend"), ("total_flights", "delayed_flights", "over_2h", "runway_max_flights", "worst_hour", "best_hour"))
 def a38(spark, sf):
     return kpi.data_summary(flights(spark, sf))
 
@@ -478,6 +496,24 @@ def a50(spark, sf):
     return kpi.basic_recommendations(flights(spark, sf))
 
 
+DELAY_ACTIONS_SQL = "\nUNION ALL ".join(
+    f"SELECT 1 AS priority, '{level}: {a}' AS rule, printf('%.1f', avg(Delay_Minutes)) AS detail FROM flights HAVING avg(Delay_Minutes) {when}"
+    for when, (_, level, actions) in zip(("> 20", "> 10 AND avg(Delay_Minutes) <= 20", "<= 10"), kpi.PERFORMANCE_ACTIONS) for a in actions)
+
+
+@q("a50c_performance_recommendations", f"""{DELAY_ACTIONS_SQL}
+UNION ALL SELECT 2, 'balance runway utilization', printf('%.1f', stddev_samp(n)) FROM (SELECT count(*) AS n FROM flights GROUP BY Runway) r
+  HAVING stddev_samp(n) > avg(n) * 0.3
+UNION ALL SELECT * FROM (SELECT 3, 'move flights out of the peak hour', CAST(Hour AS VARCHAR) FROM ({H}) x
+  WHERE (SELECT max(Flight_Count) > avg(Flight_Count) * 1.5 FROM ({H}) y) ORDER BY Flight_Count DESC, Hour LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 4, 'peak congestion hour', CAST(Hour AS VARCHAR) FROM ({H}) x ORDER BY Flight_Count DESC, Hour LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 4, 'best hour for critical flights', CAST(Hour AS VARCHAR) FROM ({H}) x ORDER BY Avg_Delay, Hour LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 5, 'share best practices of', Airline FROM ({A}) x ORDER BY a, Airline LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 5, 'support operations of', Airline FROM ({A}) x ORDER BY a DESC, Airline LIMIT 1)""", (), ("priority",))
+def a50c(spark, sf):
+    return kpi.performance_recommendations(flights(spark, sf))
+
+
 @q("a06b_congestion_summary", """SELECT count_if(Peak_Category = 'super_peak') AS Super_Peak_Flights,
   count_if(Peak_Category = 'super_peak') / count(*) * 100 AS Super_Peak_Pct, avg(Congestion_Factor) AS Avg_Congestion,
   avg(CASE WHEN Peak_Category = 'super_peak' THEN Delay_Minutes END) AS Super_Peak_Avg_Delay, avg(Runway_Efficiency) AS Avg_Runway_Efficiency,

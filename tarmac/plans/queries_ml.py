@@ -331,3 +331,130 @@ def f05(spark, sf):
 def a53b(spark, sf):
     """Mean model confidence by hour of the ML risk table."""
     return M.ml_risk(_rf_predictions(spark, sf)[2]).groupBy("Hour").agg(F.avg("Model_Confidence").alias("Model_Confidence"))
+
+
+# The rules after a model, over predictions and tiers that SQL can express -------------------------------------------
+#: Mean delay of the flight's hour and runway stands in for the model's prediction.
+RISK_SQL = ["pr AS (SELECT *, avg(Delay_Minutes) OVER (PARTITION BY Hour, Runway) AS prediction FROM flights)", """g AS (SELECT Date, Hour,
+  avg(greatest(prediction, 0)) AS Predicted_Avg_Delay, stddev_samp(greatest(prediction, 0)) AS Predicted_Delay_Std,
+  max(greatest(prediction, 0)) AS Max_Predicted_Delay, avg(Delay_Minutes) AS Actual_Avg_Delay, count(*) AS Flight_Count,
+  avg(greatest(prediction, 0) * 0.7 + abs(Delay_Minutes - greatest(prediction, 0)) * 0.3) AS Avg_Risk_Score,
+  avg(abs(Delay_Minutes - greatest(prediction, 0))) AS Avg_Prediction_Error FROM pr GROUP BY Date, Hour)""",
+            """k AS (SELECT *, Predicted_Avg_Delay * 0.4 + Predicted_Delay_Std * 0.2 + Avg_Risk_Score * 0.3
+  + Flight_Count / max(Flight_Count) OVER () * 10 AS Delay_Risk FROM g)""",
+            "qs AS (SELECT quantile_cont(Delay_Risk, [0.33, 0.66, 0.85]) AS q FROM k)",
+            """mr AS (SELECT k.*, CASE WHEN Delay_Risk <= 0 THEN NULL WHEN Delay_Risk <= q[1] THEN 'Low' WHEN Delay_Risk <= q[2] THEN 'Medium'
+  WHEN Delay_Risk <= q[3] THEN 'High' WHEN Delay_Risk > q[3] THEN 'Critical' END AS Risk_Level,
+  least(100.0, greatest(0.0, 100 - Avg_Prediction_Error / greatest(Predicted_Avg_Delay, 1.0) * 100)) AS Model_Confidence FROM k, qs)"""]
+RISK_FLOATS = ("Predicted_Avg_Delay", "Predicted_Delay_Std", "Max_Predicted_Delay", "Actual_Avg_Delay", "Avg_Risk_Score", "Avg_Prediction_Error",
+               "Delay_Risk", "Model_Confidence")
+
+
+def _hour_means(spark, sf):
+    """Flights with the mean delay of their hour and runway as prediction; the small table of means is joined back."""
+    f = flights(spark, sf)
+    means = f.groupBy(F.col("Hour").alias("__h"), F.col("Runway").alias("__r")).agg(F.avg("Delay_Minutes").alias("prediction"))
+    f = f.join(means, F.col("Hour").eqNullSafe(F.col("__h")) & F.col("Runway").eqNullSafe(F.col("__r"))).drop("__h", "__r")
+    return f.withColumn("Predicted_Delay", F.greatest(F.col("prediction"), F.lit(0.0)))
+
+
+@register("m12b_risk_heatmap_of_means", sql=with_views("""SELECT *, CASE WHEN Delay_Risk > 0 AND Delay_Risk <= 0.2 THEN 'Low'
+  WHEN Delay_Risk > 0.2 AND Delay_Risk <= 0.4 THEN 'Medium' WHEN Delay_Risk > 0.4 AND Delay_Risk <= 0.6 THEN 'High'
+  WHEN Delay_Risk > 0.6 AND Delay_Risk <= 1 THEN 'Critical' END AS Risk_Level FROM (SELECT Date, Hour,
+  avg(CAST(prediction > 15 AS INT)) AS Delay_Risk, avg(prediction) AS Predicted_Delay, count(*) AS Flight_Count FROM pr GROUP BY Date, Hour) x""", RISK_SQL[0]),
+          floats=("Delay_Risk", "Predicted_Delay"), ints=("Hour", "Flight_Count"))
+def m12b(spark, sf):
+    """Risk heat map over the mean delay of hour and runway as prediction."""
+    return M.risk_heatmap(_hour_means(spark, sf))
+
+
+@register("m13b_risk_table_of_means", sql=with_views("SELECT * FROM mr", *RISK_SQL), floats=RISK_FLOATS, ints=("Hour", "Flight_Count"))
+def m13b(spark, sf):
+    """Risk table over the mean delay of hour and runway as prediction."""
+    return M.ml_risk(_hour_means(spark, sf))
+
+
+@register("a53c_risk_distribution_of_means", sql=with_views("SELECT Risk_Level, count(*) AS count FROM mr GROUP BY Risk_Level", *RISK_SQL), ints=("count",))
+def a53c(spark, sf):
+    """Risk levels counted over the mean delay of hour and runway as prediction."""
+    return M.ml_risk(_hour_means(spark, sf)).groupBy("Risk_Level").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("f05b_high_risk_slots", sql=with_views("SELECT * FROM mr WHERE Risk_Level IN ('High', 'Critical') AND Model_Confidence >= 20", *RISK_SQL),
+          floats=RISK_FLOATS, ints=("Hour", "Flight_Count"))
+def f05b(spark, sf):
+    """Risk filter: high and critical slots of confidence 20 or more, over the mean delay of hour and runway as prediction."""
+    from tarmac.operators.filters import filter_risk
+
+    return filter_risk(M.ml_risk(_hour_means(spark, sf)), ["High", "Critical"], 20.0, conf_col="Model_Confidence")
+
+
+#: Quartiles of the congestion score stand in for the k-means tiers.
+TIER_SQL = ["""hd AS (SELECT Hour, Day_of_Week, count(*) AS Flight_Count, avg(Delay_Minutes) AS Avg_Delay,
+  count(*) * 0.4 + avg(Delay_Minutes) * 0.3 + count(*) / count(DISTINCT Runway) * 0.3 AS Congestion_Score FROM flights GROUP BY Hour, Day_of_Week)""",
+            "tq AS (SELECT quantile_cont(Congestion_Score, [0.25, 0.5, 0.75]) AS q FROM hd)",
+            """ti AS (SELECT hd.*, CASE WHEN Congestion_Score > q[3] THEN 'Super Peak' WHEN Congestion_Score > q[2] THEN 'Peak'
+  WHEN Congestion_Score > q[1] THEN 'Moderate' ELSE 'Low Traffic' END AS Peak_Tier FROM hd, tq)"""]
+RECS_SQL = ["bh AS (SELECT Hour, avg(Flight_Count) AS f, avg(Avg_Delay) AS d, bool_or(Peak_Tier = 'Super Peak') AS s, bool_or(Peak_Tier = 'Low Traffic') AS l FROM ti GROUP BY Hour)",
+            """rc AS (SELECT Hour, 'redistribution' AS type, 'high' AS severity, 1 AS priority, CAST(floor(f * 0.2) AS BIGINT) AS flights_to_move,
+  d * 0.15 AS expected_reduction FROM bh WHERE s AND f > 25
+  UNION ALL SELECT Hour, 'capacity', 'medium', 2, NULL, d * 0.25 FROM bh WHERE s AND d > 15
+  UNION ALL SELECT Hour, 'utilization', 'low', 3, CAST(round(20 - f) AS BIGINT), NULL FROM bh WHERE l AND f < 10)"""]
+
+
+def _tiers(spark, sf):
+    """The hour x weekday table (at most 168 rows) with quartile tiers of the congestion score."""
+    h = kpi.hour_dow_stats(flights(spark, sf))
+    cut = h.agg(*[F.percentile("Congestion_Score", x).alias(n) for n, x in (("__a", 0.25), ("__b", 0.5), ("__c", 0.75))])
+    s = F.col("Congestion_Score")
+    tier = F.when(s > F.col("__c"), "Super Peak").when(s > F.col("__b"), "Peak").when(s > F.col("__a"), "Moderate").otherwise("Low Traffic")
+    return h.crossJoin(F.broadcast(cut)).withColumn("Peak_Tier", tier).drop("__a", "__b", "__c")
+
+
+@register("a50d_tier_recommendations", sql=with_views("SELECT * FROM rc", *TIER_SQL, *RECS_SQL), floats=("expected_reduction",),
+          ints=("Hour", "priority", "flights_to_move"))
+def a50d(spark, sf):
+    """Redistribution, capacity and utilisation recommendations from quartile tiers."""
+    return M.peak_recommendations(_tiers(spark, sf))
+
+
+@register("a54d_tier_recommendation_counts", sql=with_views("SELECT type, count(*) AS count FROM rc GROUP BY type", *TIER_SQL, *RECS_SQL), ints=("count",))
+def a54d(spark, sf):
+    """Recommendations per type, from quartile tiers."""
+    return M.recommendation_counts(M.peak_recommendations(_tiers(spark, sf)))
+
+
+@register("a51b_tier_opportunities", sql=with_views("""SELECT * EXCLUDE (excess, available), least(95.0, (potential_delay_reduction / current_avg_delay
+  + throughput_improvement_pct / 100) * 50) AS optimization_score FROM (SELECT *, potential_delay_reduction / current_avg_delay * 100 AS delay_improvement_pct,
+  redistribution_feasible / throughput * 100 AS throughput_improvement_pct FROM (SELECT *, least(coalesce(excess, 0), coalesce(available, 0)) AS redistribution_feasible
+  FROM (SELECT sum(Flight_Count) FILTER (Peak_Tier = 'Super Peak') * 0.2 AS excess, sum(20 - Flight_Count) FILTER (Peak_Tier = 'Low Traffic') AS available,
+  avg(Avg_Delay) AS current_avg_delay, avg(Avg_Delay) FILTER (Peak_Tier = 'Super Peak') * 0.25 AS potential_delay_reduction, sum(Flight_Count) AS throughput,
+  count(DISTINCT Hour) FILTER (Peak_Tier = 'Super Peak') AS peak_hours_count FROM ti) a) b) c""", *TIER_SQL),
+          floats=("current_avg_delay", "potential_delay_reduction", "redistribution_feasible", "delay_improvement_pct", "throughput_improvement_pct", "optimization_score"),
+          ints=("throughput", "peak_hours_count"))
+def a51b(spark, sf):
+    """Optimisation opportunities from quartile tiers."""
+    return M.optimisation_opportunities(_tiers(spark, sf))
+
+
+@register("a54c_tier_rollup", sql=with_views("""SELECT Hour, avg(Flight_Count) AS Flight_Count, avg(Avg_Delay) AS Avg_Delay,
+  (SELECT Peak_Tier FROM ti t WHERE t.Hour = ti.Hour GROUP BY Peak_Tier ORDER BY count(*) DESC, Peak_Tier LIMIT 1) AS Peak_Tier FROM ti GROUP BY Hour""", *TIER_SQL),
+          floats=("Flight_Count", "Avg_Delay"), ints=("Hour",))
+def a54c(spark, sf):
+    """Hour roll-up with the modal quartile tier."""
+    return M.hourly_rollup(_tiers(spark, sf))
+
+
+@register("m15b_exact_silhouette", sql=with_views("""SELECT avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM (
+  SELECT i, any_value(n) AS n, max(m) FILTER (own) AS a, min(m) FILTER (NOT own) AS b FROM (
+    SELECT x.Hour * 10 + x.Day_of_Week AS i, x.Peak_Tier = y.Peak_Tier AS own, any_value(x.n) AS n,
+      sum(sqrt((x.f - y.f) ** 2 + (x.d - y.d) ** 2 + (x.c - y.c) ** 2)) / (count(*) - CAST(x.Peak_Tier = y.Peak_Tier AS INT)) AS m
+    FROM sp x, sp y GROUP BY x.Hour, x.Day_of_Week, x.Peak_Tier, y.Peak_Tier) g GROUP BY i) s""", *TIER_SQL,
+    """sp AS (SELECT Hour, Day_of_Week, Peak_Tier, count(*) OVER (PARTITION BY Peak_Tier) AS n,
+  (Flight_Count - avg(Flight_Count) OVER ()) / stddev_pop(Flight_Count) OVER () AS f, (Avg_Delay - avg(Avg_Delay) OVER ()) / stddev_pop(Avg_Delay) OVER () AS d,
+  (Congestion_Score - avg(Congestion_Score) OVER ()) / stddev_pop(Congestion_Score) OVER () AS c FROM ti)"""), floats=("silhouette",))
+def m15b(spark, sf):
+    """Exact Euclidean silhouette of the hour x weekday table under quartile tiers."""
+    cols = ["Flight_Count", "Avg_Delay", "Congestion_Score"]
+    z = M.standard_scale(_tiers(spark, sf), cols)
+    return M.exact_silhouette(z, [f"{c}_z" for c in cols], "Peak_Tier")
