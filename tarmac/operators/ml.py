@@ -10,6 +10,7 @@ the small forest shipped to the tasks.
 from __future__ import annotations
 
 import json
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -365,9 +366,9 @@ ACTIONS = {  # FIXED VALUES (must equal the reference's texts)
 }
 
 
-def anomaly_type(df: DataFrame, flag: str = "Combined_Anomaly") -> DataFrame:
-    """Type of every flight; the 95 % limits are over all flights."""
-    busy, large = (F.lit(exact_quantile(df, c, 0.95)) for c in ("Runway_Utilization", "Capacity"))
+def anomaly_type(df: DataFrame, flag: str = "Combined_Anomaly", limits: tuple[float, float] | None = None) -> DataFrame:
+    """Type of every flight; the 95 % limits of runway use and seats are over all flights, unless they are given."""
+    busy, large = map(F.lit, limits or [exact_quantile(df, c, 0.95) for c in ("Runway_Utilization", "Capacity")])
     t = (F.when(~F.col(flag), "Normal")
          .when(F.col("Delay_Minutes") > 60, "Severe Delay")
          .when(F.col("High_Congestion") == 1, "Congestion Anomaly")
@@ -378,10 +379,11 @@ def anomaly_type(df: DataFrame, flag: str = "Combined_Anomaly") -> DataFrame:
     return df.withColumn("Anomaly_Type", t)
 
 
-def alerts(typed: DataFrame, q: float = 0.8, flag: str = "Combined_Anomaly") -> DataFrame:
-    """Flagged flights whose confidence exceeds the q-quantile of all flights, with severity and action, best first."""
+def alerts(typed: DataFrame, q: float = 0.8, flag: str = "Combined_Anomaly", limit: float | None = None) -> DataFrame:
+    """Flagged flights whose confidence exceeds ``limit`` (the q-quantile of all flights, unless it is given), with severity
+    and action, best first."""
     c, d = F.col("Anomaly_Confidence"), F.col("Delay_Minutes")
-    a = typed.where(F.col(flag) & (c > F.lit(exact_quantile(typed, "Anomaly_Confidence", q))))
+    a = typed.where(F.col(flag) & (c > F.lit(exact_quantile(typed, "Anomaly_Confidence", q) if limit is None else limit)))
     severity = (F.when((c > 1.5) | (d > 60) | (F.col("Anomaly_Type") == "Severe Delay"), "Critical")
                 .when((c > 1.0) | (d > 30), "High").when((c > 0.5) | (d > 15), "Medium").otherwise("Low"))
     action = dims.lookup(F.col("Anomaly_Type"), ACTIONS, "Monitor and investigate")
@@ -431,20 +433,38 @@ def feature_importance_corr(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 # J09 / M17 ----------------------------------------------------------------------
-def eps_neighbours(points: DataFrame, eps: float, grid: tuple[int, int] = (0, 1)) -> DataFrame:
+def spread_grid(points: DataFrame, eps: float, dims: int, most: int = 4) -> tuple[int, ...]:
+    """Positions of the continuous columns to block on: the columns with the most cells of width eps come first, and as many
+    of them as make copies to neighbouring cells plus candidate pairs least (figures of one aggregate a choice)."""
+    if not dims:
+        return ()
+    cell = lambda i: F.floor(F.col("v")[i] / eps)
+    spread = points.agg(*[F.approx_count_distinct(cell(i)) for i in range(dims)]).first()
+    order = sorted(range(dims), key=lambda i: (-spread[i], i))
+    best, cost = (), None
+    for k in range(1, min(dims, most) + 1):
+        per = points.groupBy("key", *[cell(i).alias(f"__{i}") for i in order[:k]]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        n, pairs = per.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()
+        c = 3**k * n + 3 * pairs
+        if cost is None or c < cost:
+            best, cost = tuple(order[:k]), c
+    return best
+
+
+def eps_neighbours(points: DataFrame, eps: float, grid: tuple[int, ...] = (0, 1)) -> DataFrame:
     """All (a, b) pairs (a != b allowed equal-position duplicates collapsed upstream) with ||v_a - v_b|| <= eps.
 
     ``points``: (pid, key, v array<double>, w).  Exact blocking: rows with a
     different ``key`` (the tuple of binary features) are > eps apart; inside a
-    key, candidates come from the 3 x 3 neighbouring grid cells of width eps
-    on two continuous dimensions, then the full distance is checked.
+    key, candidates come from the neighbouring grid cells of width eps
+    on the continuous dimensions of ``grid``, then the full distance is checked.
     """
-    i, j = grid
-    p = points.withColumn("gx", F.floor(F.col("v")[i] / eps).cast("long")).withColumn("gy", F.floor(F.col("v")[j] / eps).cast("long"))
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    q = p.select(F.col("pid").alias("qid"), "key", F.col("v").alias("qv"), F.col("w").alias("qw"), F.explode(offs).alias("o"),
-                 "gx", "gy").select("qid", "key", "qv", "qw", (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"))
-    cand = p.join(q, ["key", "gx", "gy"])
+    cells = F.array(*[F.floor(F.col("v")[i] / eps).cast("long") for i in grid]) if grid else F.array().cast("array<bigint>")
+    p = points.withColumn("cell", cells)
+    steps = [F.array(*[F.lit(x).cast("long") for x in o]) if o else F.array().cast("array<bigint>") for o in product((-1, 0, 1), repeat=len(grid))]
+    q = p.select(F.col("pid").alias("qid"), "key", F.col("v").alias("qv"), F.col("w").alias("qw"), "cell", F.explode(F.array(*steps)).alias("o"))
+    q = q.select("qid", "key", "qv", "qw", F.zip_with("cell", "o", lambda a, b: a + b).alias("cell"))
+    cand = p.join(q, ["key", "cell"])
     d2 = F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
     return cand.where(d2 <= eps * eps).select("pid", "qid", "qw")
 
@@ -467,7 +487,7 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
                  F.concat_ws("|", *[F.col(c).cast("long").cast("string") for c in binary]).alias("key"))
     pts = z.groupBy("v", "key").agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("pid"))
     pts = cut_lineage(pts)
-    nb = cut_lineage(eps_neighbours(pts, eps, (0, 1)))
+    nb = cut_lineage(eps_neighbours(pts, eps, spread_grid(pts, eps, len(cont))))
     core = nb.groupBy("pid").agg(F.sum("qw").alias("n")).where(F.col("n") >= min_samples).select("pid")
     core = cut_lineage(core)
     cc = nb.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "qid")

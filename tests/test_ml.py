@@ -100,3 +100,61 @@ def test_detector_queries_flag_planted_flights_that_are_on_time(spark, monkeypat
     assert set(importance) == set(cols) and len(cols) > len(M.ANOMALY_NUMERIC)
     x, y = (np.array([float(r[c] or 0) for r in full.values()]) for c in ("Capacity_Utilization", "Anomaly_Confidence"))
     assert abs(importance["Capacity_Utilization"] - abs(np.corrcoef(x, y)[0, 1])) < 1e-9
+
+
+def test_exact_silhouette_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 2)) + np.repeat([[0, 0], [3, 0], [0, 4]], 200, 0)
+    own = np.repeat([0, 1, 2], 200)
+    x, own = np.vstack([x, [[9, 9]]]), np.append(own, 3)  # a cluster of one
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, own)], "x double, y double, c int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    means = np.stack([d[:, own == c].sum(1) / (own == c).sum() for c in range(4)], 1)
+    a = np.array([d[i, own == own[i]].sum() / max(1, (own == own[i]).sum() - 1) for i in range(len(x))])
+    means[np.arange(len(x)), own] = np.inf
+    b = means.min(1)
+    want = np.where(own == 3, 0.0, (b - a) / np.maximum(a, b)).mean()
+    assert abs(M.exact_silhouette(df, ["x", "y"], "c").first()[0] - want) < 1e-9
+    assert M.exact_silhouette(df.where("c = 0"), ["x", "y"], "c").first()[0] is None
+
+
+def test_neighbours_are_exact_for_every_grid(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 3))
+    pts = spark.createDataFrame([(f"P{i}", "k" if i % 5 else "l", [float(v) for v in p], 1) for i, p in enumerate(x)],
+                                "pid string, key string, v array<double>, w int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    group = np.arange(300) % 5 == 0
+    want = {(f"P{i}", f"P{j}") for i, j in np.argwhere((d <= 0.5) & (group[:, None] == group[None]))}
+    for grid in ((), (2,), (0, 2), M.spread_grid(pts, 0.5, 3)):
+        assert {(r.pid, r.qid) for r in M.eps_neighbours(pts, 0.5, grid).collect()} == want
+
+
+def test_grouped_quantiles(spark, monkeypatch):
+    import pandas as pd
+
+    from tarmac.operators import quantiles as Q
+
+    rng = np.random.default_rng(2)
+    t = pd.concat([pd.DataFrame({"g": "big", "v": rng.integers(0, 3000, 60_000) / 7.0}), pd.DataFrame({"g": "tied", "v": np.repeat([1.0, 5.0], [9000, 3000])}),
+                   pd.DataFrame({"g": "few", "v": [3.0, 1.0, 2.0]}), pd.DataFrame({"g": [None] * 4, "v": [4.0, 8.0, 1.0, np.nan]})])
+    df = spark.createDataFrame([(g, None if v != v else float(v)) for g, v in t.itertuples(index=False)], "g string, v double")
+    got = {(r.g, r.q): r.value for r in Q.grouped_quantiles(df, ["g"], "v", [0.33, 0.66, 0.8, 0.85]).collect()}
+    want = {(None if g != g or g is None else g, q): x.quantile(q) for g, x in t.groupby("g", dropna=False)["v"] for q in (0.33, 0.66, 0.8, 0.85)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert Q.grouped_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_performance_recommendations_by_mean_delay(spark):
+    import datetime as dt
+
+    from tarmac.operators import kpi
+
+    def rules(delay):
+        rows = [(f"F{i}", f"A{i % 2}", f"R{i % 2}", 8 if i else 9, float(delay + i), dt.date(2024, 1, 1)) for i in range(8)]
+        f = spark.createDataFrame(rows, "Flight_ID string, Airline string, Runway string, Hour int, Delay_Minutes double, Date date")
+        return [r.rule for r in kpi.performance_recommendations(f).orderBy("priority").collect()], kpi.performance_recommendations(f.limit(0)).count()
+
+    for delay, level in ((30, "high"), (10, "medium"), (0, "maintenance")):
+        got, empty = rules(delay)
+        assert empty == 0 and [x.split(":")[0] for x in got[:3]] == [level] * 3 and "move flights out of the peak hour" in got
