@@ -14,7 +14,9 @@ and leaves at most one fractional document; these residuals go up a tree of
 fan-in ``FAN_IN`` until one is left per source, which a fair draw settles.  So a
 source's words differ from its target by less than one document.
 
-Draws are seeded by ids, so reruns agree.  Edge cases: null text: size 0; empty
+Draws are seeded by ids, so reruns agree.  Rows whose doc_id is null or repeated
+are dealt by (doc_id, row number), so that no node holds all of them and equal
+ids have draws of their own.  Edge cases: null text: size 0; empty
 texts are copied by an independent draw at their source's rate and take no
 words; a null source is a source of its own, last in order; null doc_ids and rows
 repeated whole are ordinary rows; an empty table gives an empty result.
@@ -91,7 +93,7 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[np
     return np.array(p), held
 
 
-ROW = "row_id long, doc_id long, size long, source_size long, target double, rank long, node long, whole long, p double, h long"
+ROW = "row_id long, doc_id long, salt long, size long, source_size long, target double, rank long, node long, whole long, p double, h long"
 
 
 def _round_nodes(rows: DataFrame, level: int) -> DataFrame:
@@ -111,16 +113,19 @@ def mix(rows: DataFrame) -> DataFrame:
     """rows (row_id, doc_id, source, size) with source_size, target and copies."""
     rows = keep(rows)
     targets = source_targets(rows)
+    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    salt = F.when(F.col("__id").isNotNull() | F.col("doc_id").isNull(), F.col("row_id") + 1).otherwise(F.lit(0))
+    rows = keep(rows.join(many, F.col("doc_id") == F.col("__id"), "left").withColumn("salt", salt.cast("long")).drop("__id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(SHARE))
-    seat = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.ceil(F.col("source_rows") / F.lit(NODE_ROWS)))
+    seat = F.pmod(F.xxhash64("doc_id", "salt", F.lit(11)), F.ceil(F.col("source_rows") / F.lit(NODE_ROWS)))
     full = rows.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
     full = full.withColumn("rate", F.least(rate, F.lit(CAP))).select(
-        "row_id", "doc_id", "size", "source_size", "target", "rank", seat.cast("long").alias("node"),
+        "row_id", "doc_id", "salt", "size", "source_size", "target", "rank", seat.cast("long").alias("node"),
         F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
-        F.xxhash64("doc_id").alias("h"),
+        F.xxhash64("doc_id", "salt").alias("h"),
     )
     # texts without words move no mass: an independent draw
-    draw = (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("p")).cast("double")
+    draw = (F.pmod(F.xxhash64("doc_id", "salt", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("p")).cast("double")
     done = [full.where("size = 0").withColumn("p", draw), full.where("size > 0 AND p = 0")]
     open_rows, level = full.where("size > 0 AND p > 0"), 0
     while True:
@@ -129,7 +134,7 @@ def mix(rows: DataFrame) -> DataFrame:
         left = rounded.where("p > 0 AND p < 1")
         last = left.agg(F.max("node")).first()[0]
         if not last:  # one residual a source at most
-            settle = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("p")).cast("double")
+            settle = (F.pmod(F.xxhash64("doc_id", "salt", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("p")).cast("double")
             done.append(left.withColumn("p", settle))
             break
         open_rows, level = left.withColumn("node", F.floor(F.col("node") / F.lit(FAN_IN)).cast("long")), level + 1

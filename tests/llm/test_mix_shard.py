@@ -69,6 +69,22 @@ def test_residuals_climb_the_tree(spark, write_docs, monkeypatch):
     check_mix(rows, [r.asDict() for r in M.op3_pivotal_mixing(spark, write_docs(rows)).collect()])
 
 
+def test_repeated_ids_are_dealt_over_nodes(spark, write_docs, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(M, "NODE_ROWS", 40)
+    largest, rounds = [], M._round_nodes
+    monkeypatch.setattr(M, "_round_nodes", lambda rows, level: largest.append(rows.groupBy("rank", "node").count().agg({"count": "max"}).first()[0]) or rounds(rows, level))
+    # sources hot (5), s0 (2), s1 (1): hot's target is capped, so s0 and s1 hold the fractions
+    rows = [*((None, "w x " * (1 + i % 5), "s0") for i in range(400)), *((7, "w " * (1 + i % 3), "s1") for i in range(400)),
+            *((7, None, "s1") for _ in range(200)), *((100 + i, "w", "hot") for i in range(50))]
+    out = [r.asDict() for r in M.op3_pivotal_mixing(spark, write_docs(rows)).collect()]
+    check_mix(rows, out)
+    assert largest[0] <= 90
+    mixed = M.mix(table(spark, write_docs(rows), "documents").selectExpr("monotonically_increasing_id() AS row_id", "doc_id", "source", "size(split(coalesce(text, ''), 'w')) - 1L AS size"))
+    copies = Counter(r["copies"] for r in mixed.where("size = 0").collect())
+    assert len(copies) == 2
+
+
 def test_pivot_keeps_the_mass_and_the_expectations():
     size, p = np.array([3.0, 5.0, 2.0, 7.0, 1.0, 4.0]), np.array([0.2, 0.7, 0.5, 0.35, 0.9, 0.6])
     total, runs = np.zeros(6), 4000
