@@ -9,8 +9,8 @@ programming over segments chooses boundaries and kinds jointly; a chosen segment
 is added if its marginal probability is at least ``CONFIDENCE`` and it overlaps no
 base span.
 
-The field is trained by likelihood (AdaGrad) in one task on at most ``ISLANDS``
-token islands, first in hash order of the id, of texts whose base spans are the
+The field is trained by likelihood (AdaGrad) in one task on at most ``PER_KIND``
+token islands with a base span of each kind and ``PLAIN`` with none, first in hash order of the id, of texts whose base spans are the
 labels, and on rewritten copies of them: phones without plus or country code,
 cards and addresses with other separators, spelt-out at-signs, and the same with
 broken check digits or numbers as counterexamples.
@@ -24,18 +24,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from heapq import nsmallest
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 20
-ISLANDS = 800
+PER_KIND, PLAIN, PER_ROW = 120, 320, 3
 EPOCHS = 6
 RATE, L2 = 0.3, 1e-4
 CONFIDENCE = 0.9
@@ -272,20 +273,32 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray) -> l
 
 
 def training_islands(docs: DataFrame) -> DataFrame:
-    """tie, island (text): at most ``ISLANDS`` islands of base spans, first in hash order."""
+    """tie, island (text): in hash order the first ``PER_KIND`` islands that hold a base span of each kind and the first
+    ``PLAIN`` that hold none, at most ``PER_ROW`` of each from one row, so that a rare kind is learnt however common
+    numbers are."""
 
     def run(batches):
         for b in batches:
-            ties, texts = [], []
+            out = []
             for tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by_kind = {}
                 for n, tokens in enumerate(islands(text or "")):
                     if tokens and tokens[-1][1] - tokens[0][0] < 600:
-                        ties.append(crc32(f"{tie}:{n}".encode()))
-                        texts.append(text[tokens[0][0]:tokens[-1][1]])
-            yield pa.RecordBatch.from_arrays([pa.array(ties, pa.int64()), pa.array(texts, pa.string())], ["tie", "island"])
-
-    found = docs.select(F.xxhash64("doc_id", F.lit(23)), "text").mapInArrow(run, "tie long, island string")
-    return found.orderBy("tie", "island").limit(ISLANDS)
+                        island = text[tokens[0][0]:tokens[-1][1]]
+                        for kind in {k for k, *_ in base_spans(island)} or {len(KINDS)}:
+                            by_kind.setdefault(kind, []).append((crc32(f"{tie}:{n}".encode()), island, kind))
+                for found in by_kind.values():
+                    out += nsmallest(PER_ROW, found)
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()))], ["tie", "island", "kind"])
+
+    found = docs.select(F.xxhash64("doc_id", F.lit(23)), "text").mapInArrow(run, "tie long, island string, kind long")
+    most = F.when(F.col("kind") < len(KINDS), F.lit(PER_KIND)).otherwise(F.lit(PLAIN))
+    # first within a slice of the hashes, then within the kind: a task sees a bounded number of rows from every other
+    for group in (["kind", F.pmod("tie", F.lit(64))], ["kind"]):
+        found = found.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy("tie", "island"))).where(
+            (F.col("__n") <= max(PER_KIND, PLAIN)) & (F.col("__n") <= most)).drop("__n")
+    return found.select("tie", "island").distinct()
 
 
 def fit(docs: DataFrame) -> np.ndarray:

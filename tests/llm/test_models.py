@@ -215,6 +215,16 @@ def test_field_leaves_clean_text_alone(field):
         assert not Q.added_spans(t, Q.base_spans(t), field), t
 
 
+def test_rare_kinds_are_sampled(spark, write_docs):
+    prepare(spark)
+    rows = [(i, f"build {i} of {i * 7} in row {i % 13} " * 3, "log") for i in range(1500)] + [(2000 + i, f"mail a{i}@example.org now", "web") for i in range(6)]
+    rows.append((3000, " ".join(f"{i} " + "word " * 60 for i in range(400)), "log"))
+    got = Q.training_islands(table(spark, write_docs(rows), "documents").select("doc_id", "text")).collect()
+    spans = [Q.base_spans(r["island"]) for r in got]
+    assert sum(any(k == 0 for k, *_ in s) for s in spans) == 6
+    assert sum(not s for s in spans) == Q.PLAIN and len(got) == Q.PLAIN + 6
+
+
 def test_best_segments_agree_with_enumeration():
     rng = np.random.default_rng(1)
     for _ in range(50):
