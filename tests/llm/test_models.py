@@ -56,17 +56,76 @@ def test_lm_without_training_rows(spark, write_docs):
     assert math.isfinite(out[0]["score"])
 
 
-def test_class_factor_learns_context_and_sums_to_one():
+def local_layout(texts, tokens=None):
+    """Layout of all texts, counted here."""
+    counts = Counter(w for t in texts for w in t.lower().split())
+    n = sum(counts.values()) + len(texts)
+    head = sorted(counts, key=lambda w: (-counts[w], w))
+    layout = L.Layout(tokens or n, head, [len(texts), *(counts[w] for w in head)])
+    near = L.Neighbours(layout)
+    near.learn(texts)
+    layout.classify(near.sums[:, :L.NEIGHBOURS], near.sums[:, L.NEIGHBOURS])
+    return layout
+
+
+def test_both_factors_learn_context_and_sum_to_one():
+    """After "red" comes one of 30 words, after "blue" one of 30 others; all 60 have the same words on both sides."""
     rng = np.random.default_rng(0)
-    texts = [b" ".join(rng.choice([b"la", b"le", b"un"] if k % 2 else [b"the", b"of", b"and"], 60)) for k in range(400)]
-    trainer = L.Trainer(L.make_layout(texts[:100]))
-    _, _, classes, rows, _ = L.parse(texts[300:], trainer.layout)
-    before = L.log_probability(trainer.weights, trainer.bias, rows, classes).sum()
+    names = [[b"%s%d" % (k, i) for i in range(30)] for k in (b"ra", b"bo")]
+    often = [b"w%d" % i for i in range(L.SINGLES - 2)]
+    texts = []
+    for _ in range(400):
+        colour = rng.integers(2, size=20)
+        texts.append(b" ".join(x for c in colour for x in (rng.choice(often), (b"red", b"blue")[c], names[c][rng.integers(30)])))
+    trainer = L.Trainer(local_layout(texts))
+    layout, p = trainer.layout, L.Parsed(texts[300:], trainer.layout)
+
+    def now():
+        return L.choice(layout, trainer.outer.weights, trainer.inner.weights, layout.class_bias, p)
+
+    at = np.flatnonzero((p.classes >= L.OPEN) & (p.members > 0))
+    assert len(at) > 500
+    before = now().sum()
     for i in range(0, 300, 10):
         trainer.learn(texts[i:i + 10])
-    each = [np.exp(L.log_probability(trainer.weights, trainer.bias, rows, np.full(len(rows), c))) for c in range(L.CLASSES)]
+    each = [np.exp(L.log_probability(trainer.outer.weights, layout.class_bias, p.rows, np.full(len(p.rows), c))) for c in range(L.CLASSES)]
     assert np.allclose(sum(each), 1, atol=1e-4)
-    assert L.log_probability(trainer.weights, trainer.bias, rows, classes).sum() > 0.8 * before
+    each = [np.exp(L.log_probability(trainer.inner.weights, layout.member_bias[p.classes[at]], p.inner[at], np.full(len(at), m))) for m in range(L.MEMBERS)]
+    assert np.allclose(sum(each), 1, atol=1e-4)
+    assert now().sum() > 0.9 * before
+
+
+def test_members_of_one_class_are_told_apart_by_context():
+    rng = np.random.default_rng(1)
+    often = [b"w%d" % i for i in range(L.SINGLES)]
+    texts = [b" ".join(x for _ in range(30) for x in ((often[0], b"ra") if rng.random() < 0.5 else (often[1], b"bo"))) + b" " + b" ".join(often * 5) for _ in range(300)]
+    layout = local_layout(texts)
+    two = [layout.ids[b"ra"], layout.ids[b"bo"]]
+    layout.symbol_class[two], layout.symbol_member[two] = L.OPEN, [1, 2]  # one class, whatever the clustering said
+    layout.member_bias[L.OPEN, :3] = np.log([0.02, 0.49, 0.49])
+    trainer = L.Trainer(layout)
+    for i in range(0, 300, 10):
+        trainer.learn(texts[i:i + 10])
+    p = L.Parsed(texts[:20], layout)
+    at = np.flatnonzero(np.isin(p.number, two))
+    got = L.log_probability(trainer.inner.weights, layout.member_bias[p.classes[at]], p.inner[at], p.members[at])
+    assert np.exp(got).mean() > 0.9
+
+
+def test_model_sizes_follow_the_corpus():
+    assert L.sizes(0)[0] == 256 < L.sizes(4_000_000)[0] < L.sizes(10 ** 9)[0] < L.sizes(10 ** 13)[0] == 131072
+    assert all(L.sizes(n)[1] == 4 * L.sizes(n)[0] for n in (0, 10 ** 6, 10 ** 12))
+
+
+def test_lm_hot_and_rare_words(spark, write_docs, monkeypatch):
+    """A word outside a short word list is a third of all tokens; counts stay exact and one row a document comes back."""
+    prepare(spark)
+    monkeypatch.setattr(L, "sizes", lambda n: (256, 1024, 4))
+    monkeypatch.setattr(L, "FLUSH_WORDS", 50)
+    rows = [(i, " ".join(["a b c d e hot"] * 40 + [f"rare{i}", f"pair{i // 2}"]), "s") for i in range(60)]
+    out = L.op1_lm_scoring(spark, write_docs(rows)).collect()
+    check_base([(i, t) for i, t, _ in rows], out)
+    assert len(out) == 60 and all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
 
 
 def test_toxicity_on_held_out_rows(spark):
