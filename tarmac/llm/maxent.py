@@ -55,6 +55,7 @@ RATE = 0.1
 FAN_IN = 64
 BLOCK_ROWS = 1024
 FLUSH_WORDS = 1 << 17
+HOT_HITS = 32
 BACK = 4
 OPEN = SINGLES + 1
 
@@ -163,6 +164,30 @@ def hashed(value: np.ndarray, k: int, n: int) -> np.ndarray:
     return ((((value + 1) * 2654435761 + (k + 1) * 40503 * 65537) >> 13) % n).astype(np.uint16 if n < 1 << 16 else np.uint32)
 
 
+def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, and for each the sum of the lines of ``g`` that hit it.
+
+    Rows go by falling hits: those above ``HOT_HITS`` are summed one by one, of the
+    others the first hits of all are added at once, then the second ones, and so on.
+    """
+    flat = rows.ravel(order="F")
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    order %= len(g)
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    hits = np.diff(np.append(first, len(flat)))
+    by_hits = np.argsort(-hits, kind="stable")
+    first, hits = first[by_hits], hits[by_hits]
+    sums = np.zeros((len(first), g.shape[1]), np.float32)
+    hot = int((hits > HOT_HITS).sum())
+    for i in range(hot):
+        sums[i] = g[order[first[i]:first[i] + hits[i]]].sum(axis=0)
+    for j in range(min(HOT_HITS, int(hits[0]))):
+        upto = int(np.searchsorted(-hits, -j))  # rows of more than j hits
+        sums[hot:upto] += g.take(order[first[hot:upto] + j], axis=0)
+    return flat[first], sums
+
+
 class Factor:
     """A softmax whose scores are sums of hashed weight rows, trained by AdaGrad."""
 
@@ -174,12 +199,7 @@ class Factor:
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(g)), target] -= 1
         g *= np.float32(1 / np.sqrt(len(g)))
-        flat = rows.ravel(order="F")
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        at, order = flat[first], order % len(g)
-        sums = np.stack([np.add.reduceat(x[order], first) for x in np.ascontiguousarray(g.T)], axis=1)
+        at, sums = row_sums(rows, g)
         square = self.square.take(at, axis=0)
         square += sums * sums
         self.square[at] = square

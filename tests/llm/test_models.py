@@ -112,6 +112,19 @@ def test_members_of_one_class_are_told_apart_by_context():
     assert np.exp(got).mean() > 0.9
 
 
+def test_row_sums_add_every_hit():
+    rng = np.random.default_rng(2)
+    for n, k, spread in ((1, 6, 5), (300, 6, 3), (300, 3, 4000), (2000, 2, 40)):
+        rows, g = rng.integers(spread, size=(n, k)).astype(np.uint16), rng.standard_normal((n, 7)).astype(np.float32)
+        want = np.zeros((spread, 7))
+        for j in range(k):
+            np.add.at(want, rows[:, j], g)
+        at, sums = L.row_sums(rows, g)
+        got = np.zeros((spread, 7))
+        got[at] = sums
+        assert len(set(at)) == len(at) == len(np.unique(rows)) and np.allclose(got, want, atol=1e-3)
+
+
 def test_model_sizes_follow_the_corpus():
     assert L.sizes(0)[0] == 256 < L.sizes(4_000_000)[0] < L.sizes(10 ** 9)[0] < L.sizes(10 ** 13)[0] == 131072
     assert all(L.sizes(n)[1] == 4 * L.sizes(n)[0] for n in (0, 10 ** 6, 10 ** 12))
