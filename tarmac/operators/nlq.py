@@ -336,15 +336,13 @@ def intent_sql(spark, view: str, entity: str, time_code: str | None = None, dela
 
 # N08
 def suggest(partials: DataFrame, col: str = "text", k: int = 5) -> DataFrame:
-    """For every partial query, the first k templates containing it or any of its words."""
-    spark = partials.sparkSession
-    t = spark.createDataFrame([(i, s) for i, s in enumerate(TEMPLATES)], "template_id int, template string")
-    p = partials.withColumn("__p", F.lower(F.col(col))).withColumn("__w", F.split(F.trim(F.col("__p")), r"\s+"))
-    # the template table is fixed (10 rows): broadcast
-    x = p.crossJoin(F.broadcast(t))
-    tl = F.lower(F.col("template"))
-    hit = (F.instr(tl, F.col("__p")) > 0) | F.exists("__w", lambda w: (w != "") & (F.instr(tl, w) > 0))
-    x = x.where(hit)
-    keycols = [c for c in partials.columns]
-    w = Window.partitionBy(*keycols).orderBy("template_id")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keycols, "template_id", "template", "rank")
+    """For every row of partial queries, the first k templates containing it or any of its words (equal rows each get theirs)."""
+    templates = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(s).alias("template")) for i, s in enumerate(TEMPLATES)])
+    p, w = F.lower(F.col(col)), F.split(F.trim(F.lower(F.col(col))), r"\s+")
+
+    def hit(t):
+        low = F.lower(t["template"])
+        return (F.instr(low, p) > 0) | F.exists(w, lambda x: (x != "") & (F.instr(low, x) > 0))
+
+    found = partials.select(*partials.columns, F.posexplode(F.slice(F.filter(templates, hit), 1, k)).alias("__at", "__hit"))
+    return found.select(*partials.columns, "__hit.template_id", "__hit.template", (F.col("__at") + 1).alias("rank"))

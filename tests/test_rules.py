@@ -72,3 +72,16 @@ def test_intent_metrics_by_brute_force(spark):
         x = x[x > 0] if entity == "delays" else x
         assert n == len(x), (time, gt, entity)
         assert (mean is None) == (len(x) == 0) and (mean is None or abs(mean - x.mean()) < 1e-6)
+
+
+def test_suggestions_of_equal_rows_stay_apart(spark):
+    rows = [(1, "delay"), (1, "delay"), (2, None), (3, "zzqx"), (4, ""), (5, "Show RUNWAY zzqx")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = sorted((r.id, r.rank, r.template_id) for r in N.suggest(df, k=3).collect())
+    want = []
+    for i, text in rows:
+        if text is not None:
+            hits = [j for j, s in enumerate(N.TEMPLATES) if text.lower() in s.lower() or any(w in s.lower() for w in text.lower().split())]
+            want += [(i, at + 1, j) for at, j in enumerate(hits[:3])]
+    assert got == sorted(want)
+    assert "Exchange" not in N.suggest(df)._jdf.queryExecution().executedPlan().toString()
