@@ -13,14 +13,18 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.session import cut_lineage, drop_cuts
+
 FEW = 50_000
 
 
 def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     """The q-quantile of the non-null values of ``col``; None if there are none."""
-    inside = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    # the column is read several times: its values are stored once, so ``df`` is computed once
+    inside = stored = cut_lineage(df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull()))
     n = inside.count()
     if not n:
+        drop_cuts(stored)
         return None
     position = q * (n - 1)
     ranks, below, left = (floor(position), ceil(position)), 0, n
@@ -39,6 +43,7 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
         at += r["count"]
         if ranks[1] in found:
             break
+    drop_cuts(stored)
     return found[ranks[0]] + (found[ranks[1]] - found[ranks[0]]) * (position - ranks[0])
 
 

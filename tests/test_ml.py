@@ -196,3 +196,18 @@ def test_dbscan_over_blocks_hands_on_no_pairs(spark, monkeypatch):
     got = {r.Flight_ID: r.DBSCAN_Cluster for r in M.dbscan(df, ["x", "y", "c", "f"], ["f"], eps=eps, min_samples=4).collect()}
     assert [got[f"P{i:03d}"] for i in range(len(x))] == [dense[s] for s in want]
     assert len(dense) > 5 and max(written) < 6 * len(x) < near.sum()
+
+
+def test_exact_quantile_computes_its_frame_once(spark):
+    from tarmac.operators.quantiles import exact_quantile
+
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(it):
+        made.add(1)
+        yield from it
+
+    v = np.random.default_rng(1).permutation(120_000) / 7.0
+    df = spark.range(120_000, numPartitions=2).mapInPandas(rows, "id long").selectExpr("(id * 7919 % 120000) / 7.0D AS v")
+    assert abs(exact_quantile(df, "v", 0.8) - np.quantile(v, 0.8)) < 1e-9 and made.value == 2
+    assert exact_quantile(df.limit(0), "v", 0.8) is None
