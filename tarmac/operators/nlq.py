@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarmac import dims
 from tarmac.operators.filters import time_window_predicate
+from tarmac.session import cut_lineage
 
 # FIXED VALUES (must equal the reference's constants) -------------------------
 INTENT_PATTERNS = {
@@ -130,22 +131,42 @@ def _any(q: Column, words) -> Column:
     return out
 
 
+SHOW_WORDS = ["what", "which", "who", "where", "when"]
+HOW_WORDS = ["how to", "can you", "should i"]
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, also where ``use`` reads it inside a lambda of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def found_words(q: Column, words) -> Column:
+    """Which of the words ``q`` contains; each is searched for once a row, however many rules ask for it."""
+    return _let(q, lambda text: F.filter(_words(dict.fromkeys(words)), lambda w: text.contains(w)))
+
+
 # N01
-def action_col(q: Column) -> Column:
-    out = F.when(_any(q, ["what", "which", "who", "where", "when"]), "show").when(_any(q, ["how to", "can you", "should i"]), "optimize").otherwise("show")
+def action_col(found: Column) -> Column:
+    out = F.when(F.arrays_overlap(found, _words(SHOW_WORDS)), "show").when(F.arrays_overlap(found, _words(HOW_WORDS)), "optimize").otherwise("show")
     for intent, pats in reversed(list(INTENT_PATTERNS.items())):
-        out = F.when(_any(q, pats), intent).otherwise(out)
+        out = F.when(F.arrays_overlap(found, _words(pats)), intent).otherwise(out)
     return out
 
 
 # N02
-def entity_col(q: Column) -> Column:
-    scores = [sum((q.contains(p).cast("int") for p in pats), F.lit(0)) for pats in ENTITY_PATTERNS.values()]
-    best = F.greatest(*scores)
-    out = F.lit("flights")
-    for name, s in reversed(list(zip(ENTITY_PATTERNS, scores))):
-        out = F.when((s == best) & (s > 0), name).otherwise(out)
-    return out
+def entity_col(found: Column) -> Column:
+    """The entity with the most words found, the first of equals."""
+    scores = F.array(*[F.size(F.filter(_words(pats), lambda w: F.array_contains(found, w))) for pats in ENTITY_PATTERNS.values()])
+
+    def first_best(s):
+        at = F.array_position(s, F.array_max(s)).cast("int")
+        return F.when(F.array_max(s) > 0, F.element_at(_words(ENTITY_PATTERNS), at)).otherwise(F.lit("flights"))
+
+    return _let(scores, first_best)
 
 
 # N03
@@ -155,9 +176,9 @@ def time_code_col(q: Column) -> Column:
     out = F.when(F.regexp_extract(q, pat, 0) != "",
                  F.concat(F.lit("specific_time_('"), F.regexp_extract(q, pat, 1), F.lit("', '"), F.regexp_extract(q, pat, 2), F.lit("')"))) \
         .when(q.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}"), "specific_date")
-    for phrase, code in reversed(list(TIME_PATTERNS.items())):
-        out = F.when(q.contains(phrase), code).otherwise(out)
-    return out
+    said = F.array(*[F.struct(F.lit(phrase).alias("phrase"), F.lit(code).alias("code")) for phrase, code in TIME_PATTERNS.items()])
+    first = _let(q, lambda text: F.get(F.filter(said, lambda x: text.contains(x["phrase"])), F.lit(0))["code"])
+    return F.coalesce(first, out)
 
 
 def filters_col(q: Column, raw: Column) -> Column:
@@ -186,23 +207,21 @@ def modifiers_col(q: Column) -> Column:
     return F.array_compact(F.array(*[F.when(q.rlike(p), F.lit(m)) for m, p in MODIFIER_PATTERNS.items()]))
 
 
-def confidence_col(q: Column, action: Column, entity: Column) -> Column:
-    a = F.lit(False)
-    for intent, pats in INTENT_PATTERNS.items():
-        a = a | ((action == intent) & _any(q, pats))
-    e = F.lit(False)
-    for ent, pats in ENTITY_PATTERNS.items():
-        e = e | ((entity == ent) & _any(q, pats))
-    c = F.lit(0.5) + F.when(a, 0.2).otherwise(0.0) + F.when(e, 0.2).otherwise(0.0) + F.when(q.contains("?"), 0.1).otherwise(0.0)
+def confidence_col(found: Column, entity: Column) -> Column:
+    # an intent's or entity's name is only given by words of its own list, so any word of any list tells
+    a = F.arrays_overlap(found, _words(w for pats in INTENT_PATTERNS.values() for w in pats))
+    c = F.lit(0.5) + F.when(a, 0.2).otherwise(0.0) + F.when(entity != "flights", 0.2).otherwise(0.0) + F.when(F.array_contains(found, "?"), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), c)
 
 
 def tag_questions(df: DataFrame, col: str = "text") -> DataFrame:
     """N01-N04 on every row of a question table."""
+    words = [w for lists in (INTENT_PATTERNS, ENTITY_PATTERNS) for pats in lists.values() for w in pats]
+    out = df.withColumn("__found", found_words(F.lower(F.col(col)), [*words, *SHOW_WORDS, *HOW_WORDS, "?"]))
+    out = out.withColumns({"action": action_col(F.col("__found")), "entity": entity_col(F.col("__found"))})
     q = F.lower(F.col(col))
-    out = df.withColumn("__q", q).withColumn("action", action_col(F.col("__q"))).withColumn("entity", entity_col(F.col("__q")))
-    out = out.withColumn("filters", filters_col(F.col("__q"), F.col(col))).withColumn("modifiers", modifiers_col(F.col("__q")))
-    return out.withColumn("confidence", confidence_col(F.col("__q"), F.col("action"), F.col("entity"))).drop("__q")
+    out = out.withColumns({"filters": filters_col(q, F.col(col)), "modifiers": modifiers_col(q)})
+    return out.withColumn("confidence", confidence_col(F.col("__found"), F.col("entity"))).drop("__found")
 
 
 # N05
@@ -237,6 +256,7 @@ def intent_metrics(flights: DataFrame, tagged: DataFrame, as_of: _dt.date) -> Da
     every threshold's count and total.
     """
     combos = tagged.select(F.col("filters.time").alias("time"), F.col("filters.delay_threshold").alias("delay_gt"), "entity").distinct()
+    combos = cut_lineage(combos)  # read twice below, and the texts are long
     codes = sorted(set(TIME_PATTERNS.values()))
     known = F.col("time").isin(codes)
     combos = combos.withColumn("code", F.when(known, F.col("time")).otherwise(F.lit("all"))).withColumn(
@@ -337,12 +357,14 @@ def intent_sql(spark, view: str, entity: str, time_code: str | None = None, dela
 # N08
 def suggest(partials: DataFrame, col: str = "text", k: int = 5) -> DataFrame:
     """For every row of partial queries, the first k templates containing it or any of its words (equal rows each get theirs)."""
-    templates = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(s).alias("template")) for i, s in enumerate(TEMPLATES)])
-    p, w = F.lower(F.col(col)), F.split(F.trim(F.lower(F.col(col))), r"\s+")
+    templates = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(s).alias("template"), F.lit(s.lower()).alias("low")) for i, s in enumerate(TEMPLATES)])
+    p = F.lower(F.col(col))
+    joined = F.lit("\n".join(TEMPLATES).lower())  # a word holds no line end, so it lies in this text if it lies in a template
+    words = F.filter(F.array_distinct(F.split(F.trim(p), r"\s+")), lambda x: (x != "") & (F.instr(joined, x) > 0))
 
-    def hit(t):
-        low = F.lower(t["template"])
-        return (F.instr(low, p) > 0) | F.exists(w, lambda x: (x != "") & (F.instr(low, x) > 0))
+    def hits(x):
+        hit = lambda t: (F.instr(t["low"], x["p"]) > 0) | F.exists(x["words"], lambda w: F.instr(t["low"], w) > 0)
+        return F.slice(F.filter(templates, hit), 1, k)
 
-    found = partials.select(*partials.columns, F.posexplode(F.slice(F.filter(templates, hit), 1, k)).alias("__at", "__hit"))
+    found = partials.select(*partials.columns, F.posexplode(_let(F.struct(p.alias("p"), words.alias("words")), hits)).alias("__at", "__hit"))
     return found.select(*partials.columns, "__hit.template_id", "__hit.template", (F.col("__at") + 1).alias("rank"))

@@ -85,3 +85,27 @@ def test_suggestions_of_equal_rows_stay_apart(spark):
             want += [(i, at + 1, j) for at, j in enumerate(hits[:3])]
     assert got == sorted(want)
     assert "Exchange" not in N.suggest(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_by_a_plain_loop_and_one_search_a_word(spark):
+    """Every word is searched for by one expression over a list, however many rules read it (n01 had about 900 searches)."""
+    rng = np.random.default_rng(3)
+    words = sorted({w for lists in (N.INTENT_PATTERNS, N.ENTITY_PATTERNS) for pats in lists.values() for w in pats} | {"how to", "who", "zzz", "busy", "?", "TODAY"})
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 6, 200)] + [None, "", "how to x", "zzz"]
+    t = N.tag_questions(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    for r in t.collect():
+        q = (r.text or "").lower()
+        intents = [i for i, pats in N.INTENT_PATTERNS.items() if any(p in q for p in pats)]
+        shown = "show" if any(w in q for w in ("what", "which", "who", "where", "when")) or not any(w in q for w in ("how to", "can you", "should i")) else "optimize"
+        scores = {e: sum(p in q for p in pats) for e, pats in N.ENTITY_PATTERNS.items()}
+        best = max(scores.values())
+        assert r.action == (intents[0] if intents else shown), r.text
+        assert r.entity == (next(e for e, s in scores.items() if s == best) if best else "flights"), r.text
+        assert abs(r.confidence - min(1.0, 0.5 + 0.2 * bool(intents) + 0.2 * (best > 0) + 0.1 * ("?" in q))) < 1e-9
+        assert r.filters.time == next((c for p, c in N.TIME_PATTERNS.items() if p in q), None)
+    assert t.select("action", "entity", "confidence")._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") <= 20
+
+
+def test_suggestions_split_a_text_once(spark):
+    plan = N.suggest(spark.createDataFrame([(1, "delay")], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(split(" in plan and plan.count("split(") == 1 and "lower(lambda" not in plan
