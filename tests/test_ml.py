@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarmac.operators import ml as M
 
@@ -211,3 +212,34 @@ def test_exact_quantile_computes_its_frame_once(spark):
     df = spark.range(120_000, numPartitions=2).mapInPandas(rows, "id long").selectExpr("(id * 7919 % 120000) / 7.0D AS v")
     assert abs(exact_quantile(df, "v", 0.8) - np.quantile(v, 0.8)) < 1e-9 and made.value == 2
     assert exact_quantile(df.limit(0), "v", 0.8) is None
+
+
+def test_models_train_and_predict_on_every_core(spark, monkeypatch):
+    """One file is one task of a scan: training rows of a large table and all rows to predict are dealt; none is lost."""
+    n = 25_000
+    f = spark.range(n, numPartitions=1).select(F.concat(F.lit("FL"), "id").alias("Flight_ID"), F.timestamp_seconds("id").alias("Scheduled_Time"),
+                                               (F.col("id") % 50).cast("double").alias("Delay_Minutes"),
+                                               *[(F.col("id") % 7).cast("double").alias(c) for c in M.NUMERIC_FEATURES],
+                                               *[(F.col("id") % 3).cast("string").alias(c) for c in M.CATEGORICAL])
+    seen = []
+    monkeypatch.setattr(M, "_fit_delay", lambda df, kind, label: seen.append((df.rdd.getNumPartitions(), df.select("Flight_ID").distinct().count())))
+    M.train_delay(f)
+    M.train_delay(f.limit(9_000))
+    assert seen == [(3, n), (1, 9_000)]
+    assert [M.train_tasks(x) for x in (0, 10_000, 10_001, 80_000, 3_200_000, 4_800_000)] == [1, 1, 2, 8, 32, 48]
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("Delay_Minutes") - 1)
+
+    p = M.predict_delay(Model(), f)
+    assert p.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert p.agg(F.count(F.lit(1)), F.min("Predicted_Delay")).first()[:] == (n, 0.0)
+
+
+def test_risk_table_predicts_once(spark):
+    pred = spark.range(2_000).select(F.to_date(F.lit("2024-01-01")).alias("Date"), (F.col("id") % 24).alias("Hour"), (F.col("id") % 31).cast("double").alias("Delay_Minutes"),
+                                     (F.col("id") % 29).cast("double").alias("Predicted_Delay"))
+    risk = M.ml_risk(pred)
+    assert "Range" not in risk._jdf.queryExecution().optimizedPlan().toString()
+    assert risk.agg(F.sum("Flight_Count")).first()[0] == 2_000
