@@ -8,13 +8,20 @@ full slot.  Cutoffs only get better, so a claimant turned away goes straight to
 first further option whose cutoff still admits it; its option list is one array,
 looked up by key, and the rows of a round are narrow.  Rounds go on until nobody is turned away.  No group is ever held
 by one Python task.
+
+``tiled_assignment`` is the same for slots along a line (hours, quarters): the line
+is cut into tiles, and one pass over a tile's claimants by rank, streamed, settles every
+claim inside it.  Only claimants whose next option lies in another tile go to the next
+round, whose tiles are shifted by half a tile; it looks again only at the tiles they claim.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.session import cut_lineage, drop_cuts
@@ -77,3 +84,100 @@ def stable_assignment(claimants: DataFrame, key: str, slot: list[str], most: int
         return claims.select(key, *own, *fields)
     drop_cuts(claims, lists)
     return _latest(rounds, slot).select(key, *own, *fields)
+
+
+def _settle(lanes: int, tile: int, shift: int, own: list[str]):
+    """One pass over tiles sorted by rank: a claimant takes its first option with room or leaves at the first one in another tile.
+
+    Holds the seats taken in the tile at hand, never its claimants.  Equal rows that follow each other claim the same
+    slot; those that find no room there have no claim of their own."""
+
+    def run(batches):
+        place, taken, before, first = None, {}, None, False
+        for b in batches:
+            keep, ats, lines, wins = [], [], [], []
+            ends, codes = b["codes"].offsets.to_pylist(), b["codes"].values.to_pylist()
+            # both arrays stem from one list, but a slice of a batch may start elsewhere
+            at_limit, limits = b["limits"].offsets[0].as_py(), b["limits"].values.to_pylist()
+            drift = at_limit - ends[0]
+            places = zip(*(b[c].to_pylist() for c in [*own, "tile"]))
+            for i, (here, at, same) in enumerate(zip(places, b["at"].to_pylist(), b["same"].to_pylist())):
+                if here != place:
+                    place, taken, before = here, {}, None
+                twin, before = same == before, same
+                if twin and not first:
+                    continue
+                low, high, first = ends[i] + at, ends[i + 1], False
+                for j in range(low, low + 1 if twin else high):
+                    code = codes[j]
+                    line = code // lanes
+                    won = False
+                    if (line + shift) // tile == here[-1]:
+                        n = taken.get(code, 0)
+                        if n >= limits[j + drift]:
+                            continue
+                        taken[code] = n + 1
+                        won, first = True, j == low
+                    keep.append(i)
+                    ats.append(j - ends[i])
+                    lines.append(line)
+                    wins.append(won)
+                    break
+            rest = b.drop_columns(["codes", "limits", "tile", "same", "at"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(ats, pa.int32()), pa.array(lines, pa.int64()), pa.array(wins, pa.bool_())],
+                                             [*rest.schema.names, "at", "line", "won"])
+
+    return run
+
+
+def tiled_assignment(claimants: DataFrame, key: str, own: list[str], build, lanes: int, tile: int, log: list[int] | None = None) -> DataFrame:
+    """``stable_assignment`` for slots (``own`` columns, lane, line): ``key``, ``own`` and the fields of the option each ends with.
+
+    ``claimants``: one row per ``key`` with ``rank``, the ``own`` columns that all its options share and ``options``, a
+    narrow struct from which ``build`` makes the array of options in order of preference: structs with ``lane`` (below
+    ``lanes``), ``line`` (a number along the line), ``limit`` and any further fields.  The array is built where it is read and
+    neither stored nor shuffled.  ``tile``: how much of the line is settled at once, best twice what a claimant's options span.
+    A claimant without ``key`` or ``own`` tries its first option only.  ``log`` receives the number of tiles of every further round.
+    """
+    # narrow rows are dealt before each becomes a list, so that few files or small shuffles still use every core
+    parts = int(claimants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = cut_lineage(claimants.select(key, "rank", *own, "options").repartition(parts, key))
+    lists = stored.withColumnRenamed("options", "of")
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [key, *own]])
+    number = lambda shift: F.floor((F.col("line") + shift) / tile).alias("tile")
+    carried = [key, "rank", *own, "of"]
+    schema = lists.select(*carried, F.lit(0).alias("at"), F.lit(0).cast("long").alias("line"), F.lit(True).alias("won")).schema
+
+    def settled(rows: DataFrame, shift: int) -> DataFrame:
+        dealt = rows.select(*carried, "at", number(shift)).repartition(parts, *own, "tile").sortWithinPartitions(*own, "tile", "rank")
+        made = dealt.select("*", build(F.col("of")).alias("list")).select("*", F.when(known, F.col("list")).otherwise(F.slice("list", 1, 1)).alias("open"))
+        codes = F.transform("open", lambda o: (o["line"] * lanes + o["lane"]).cast("long")).alias("codes")
+        made = made.select(*carried, "at", "tile", F.xxhash64(key, "rank", "of", "at").alias("same"), codes, F.transform("open", lambda o: o["limit"]).alias("limits"))
+        return made.mapInArrow(_settle(lanes, tile, shift, own), schema)
+
+    first = lists.select("*", F.try_element_at(build(F.col("of")), F.lit(1)).alias("o")).where("o IS NOT NULL")
+    rows = first.select(*carried, F.lit(0).alias("at"), F.col("o.line").alias("line"))
+    winners, old, claims = [], [], None
+    for n in count():
+        shift, after = (n % 2 * (tile // 2), (n + 1) % 2 * (tile // 2))
+        out = cut_lineage(settled(rows, shift))
+        claims = cut_lineage(out.where("NOT won").drop("won"), claims, stored)
+        winners.append(out.where("won").drop("won"))
+        touched = cut_lineage(claims.select(*own, number(after)).distinct())  # places x tiles at most
+        looked = touched.count()
+        if log is not None:
+            log.append(looked)
+        if not looked:
+            break
+        near = lambda df, how: df.withColumn("tile", number(after)).join(touched, [*own, "tile"], how).select(*carried, "at", "line")
+        rows = reduce(DataFrame.unionByName, [near(w, "left_semi") for w in winners], claims.select(*carried, "at", "line"))
+        winners = [near(w, "left_anti") for w in winners]
+        old += [out, touched]
+        if len(winners) > MERGE_EVERY:
+            kept = cut_lineage(reduce(DataFrame.unionByName, winners))
+            rows = cut_lineage(rows, claims)
+            drop_cuts(*old)
+            winners, old, claims = [kept], [kept, rows], None
+    drop_cuts(claims, touched)
+    got = reduce(DataFrame.unionByName, [w.select(key, *own, "of", "at") for w in winners])
+    return got.select(key, *own, F.element_at(build(F.col("of")), F.col("at") + 1).alias("o")).select(key, *own, "o.*")
