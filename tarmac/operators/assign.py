@@ -112,7 +112,7 @@ def _settle(lanes: int, tile: int, shift: int, own: list[str]):
                     code = codes[j]
                     line = code // lanes
                     won = False
-                    if (line + shift) // tile == here[-1]:
+                    if here[-1] is None or (line + shift) // tile == here[-1]:
                         n = taken.get(code, 0)
                         if n >= limits[j + drift]:
                             continue
@@ -120,7 +120,7 @@ def _settle(lanes: int, tile: int, shift: int, own: list[str]):
                         won, first = True, j == low
                     keep.append(i)
                     ats.append(j - ends[i])
-                    lines.append(line)
+                    lines.append(None if here[-1] is None else line)
                     wins.append(won)
                     break
             rest = b.drop_columns(["codes", "limits", "tile", "same", "at"]).take(pa.array(keep, pa.int64()))
@@ -137,7 +137,7 @@ def tiled_assignment(claimants: DataFrame, key: str, own: list[str], build, lane
     narrow struct from which ``build`` makes the array of options in order of preference: structs with ``lane`` (below
     ``lanes``), ``line`` (a number along the line), ``limit`` and any further fields.  The array is built where it is read and
     neither stored nor shuffled.  ``tile``: how much of the line is settled at once, best twice what a claimant's options span.
-    A claimant without ``key`` or ``own`` tries its first option only.  ``log`` receives the number of tiles of every further round.
+    A claimant without ``key`` or ``own``, or whose line is unknown, tries its first option only.  ``log`` receives the number of tiles of every further round.
     """
     # narrow rows are dealt before each becomes a list, so that few files or small shuffles still use every core
     parts = int(claimants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,12 +146,12 @@ def tiled_assignment(claimants: DataFrame, key: str, own: list[str], build, lane
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in [key, *own]])
     number = lambda shift: F.floor((F.col("line") + shift) / tile).alias("tile")
     carried = [key, "rank", *own, "of"]
-    schema = lists.select(*carried, F.lit(0).alias("at"), F.lit(0).cast("long").alias("line"), F.lit(True).alias("won")).schema
+    schema = lists.select(*carried, F.lit(0).alias("at"), F.lit(None).cast("long").alias("line"), F.lit(True).alias("won")).schema
 
     def settled(rows: DataFrame, shift: int) -> DataFrame:
         dealt = rows.select(*carried, "at", number(shift)).repartition(parts, *own, "tile").sortWithinPartitions(*own, "tile", "rank")
-        made = dealt.select("*", build(F.col("of")).alias("list")).select("*", F.when(known, F.col("list")).otherwise(F.slice("list", 1, 1)).alias("open"))
-        codes = F.transform("open", lambda o: (o["line"] * lanes + o["lane"]).cast("long")).alias("codes")
+        made = dealt.select("*", build(F.col("of")).alias("list")).select("*", F.when(known & F.get("list", F.lit(0))["line"].isNotNull(), F.col("list")).otherwise(F.slice("list", 1, 1)).alias("open"))
+        codes = F.transform("open", lambda o: (F.coalesce(o["line"], F.lit(0)) * lanes + o["lane"]).cast("long")).alias("codes")
         made = made.select(*carried, "at", "tile", F.xxhash64(key, "rank", "of", "at").alias("same"), codes, F.transform("open", lambda o: o["limit"]).alias("limits"))
         return made.mapInArrow(_settle(lanes, tile, shift, own), schema)
 
