@@ -53,6 +53,7 @@ NEIGHBOURS = 200
 BATCH = 8192
 RATE = 0.1
 FAN_IN = 64
+TASK_TOKENS = 1 << 22
 BLOCK_ROWS = 1024
 FLUSH_WORDS = 1 << 17
 HOT_HITS = 32
@@ -290,6 +291,12 @@ def part_type(kind: str) -> str:
     return "<f8" if kind == "sums" else "<f4"
 
 
+def learners(docs: DataFrame, tokens: int) -> DataFrame:
+    """``docs`` in one task for every ``TASK_TOKENS`` training tokens, at least one a core, and never more than there were: each
+    stores a whole model, so their number must not follow the files."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS)))
+
+
 def gather(docs: DataFrame, learner, shared) -> tuple[dict, float]:
     """What ``learner`` (Trainer or Neighbours) learns from all rows of ``docs`` (text): its parts summed over tasks block by
     block in a tree, and the tokens."""
@@ -392,7 +399,7 @@ def make_layout(training: DataFrame, counts: DataFrame) -> tuple[Layout, int, in
     n = total["n"] or 0
     head = counts.where(~ends).orderBy(F.desc("c"), "word").limit(sizes(n)[2]).collect()  # bounded by the model's size
     layout = Layout(n, [bytes(r["word"]) for r in head], [total["ends"] or 0, *(r["c"] for r in head)])
-    found, _ = gather(training, Neighbours, spark.sparkContext.broadcast(layout))
+    found, _ = gather(learners(training, n), Neighbours, spark.sparkContext.broadcast(layout))
     sums = found.get("sums", np.zeros(layout.symbols * (NEIGHBOURS + 1))).reshape(layout.symbols, NEIGHBOURS + 1)
     layout.classify(sums[:, :NEIGHBOURS], sums[:, NEIGHBOURS])
     single = (layout.counts == 1) & ((layout.symbol_member[layout.symbol] > 0) | (np.arange(len(layout.counts)) < OPEN))
@@ -410,7 +417,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     training = rows.where("train").select("text")
     counts = word_counts(training)
     layout, n, distinct, unknown = make_layout(training, counts)
-    fit, tokens = gather(training, Trainer, spark.sparkContext.broadcast(layout))
+    fit, tokens = gather(learners(training, n), Trainer, spark.sparkContext.broadcast(layout))
     average = lambda k, width: (fit.get(k, np.zeros(layout.rows * width, np.float32)) / np.float32(tokens or 1)).reshape(-1, width)
     model = spark.sparkContext.broadcast((layout, average("weights", CLASSES), average("inner", MEMBERS), layout.class_bias, unknown))
 

@@ -48,6 +48,22 @@ def test_lm_edges(spark, write_docs, edge_rows):
     assert L.op1_lm_scoring(spark, write_docs([])).count() == 0
 
 
+def test_lm_stores_a_model_a_core_and_not_a_file(spark, monkeypatch):
+    """Many small partitions: the parts that tasks store do not grow with them, and the sums stay whole."""
+    prepare(spark)
+    kept, keep = [], L.keep
+    docs = keep(table(spark, SF, "documents").limit(300).repartition(40))
+    monkeypatch.setattr(L, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task a file
+    try:
+        check_base(rows, L.lm_scores(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    parts = [df for df in kept if "node" in df.columns]
+    assert len(parts) >= 2 and all(df.select("node").distinct().count() <= spark.sparkContext.defaultParallelism for df in parts)
+
+
 def test_lm_without_training_rows(spark, write_docs):
     prepare(spark)
     held = next(i for i in range(1000) if crc32(str(i).encode()) % 10 == 0)
