@@ -511,6 +511,8 @@ DBSCAN_BLOCK = 4096
 DBSCAN_WIDE = 4
 #: Distances held at once by a task.
 DBSCAN_HELD = 2_000_000
+#: Points of a leaf of a block's tree: leaves wholly beyond or wholly within eps of each other are settled by their boxes.
+DBSCAN_LEAF = 64
 
 
 def spread_order(points: DataFrame, eps: float, dims: int, most: int = 4) -> list[int]:
@@ -542,33 +544,72 @@ def eps_blocks(points: DataFrame, eps: float, order: list[int]) -> DataFrame:
     return p.drop("__c", "__deep")
 
 
-def _near(x: np.ndarray, eps: float):
-    """(rows, candidates, mask) in pieces: which candidates lie within eps of which rows, every row in one piece.
+class _Leaves:
+    """Rows of ``x`` dealt into leaves of at most ``DBSCAN_LEAF`` with the box of each: halves along the widest column, cut at a gap.
 
-    Rows run along the column of the largest range, candidates are the stretch
-    within eps of the piece on it.
+    ``order`` lists the rows leaf by leaf, leaf i is ``order[start[i]:stop[i]]``.
     """
-    n = len(x)
-    if not n or not x.shape[1]:
-        yield np.arange(n), np.arange(n), np.ones((n, n), dtype=bool)
-        return
-    along = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
-    order = np.argsort(x[:, along], kind="stable")
-    y = x[order]
-    line, reach, at = y[:, along], eps * (1 + 1e-9), 0
-    while at < n:
-        lo = int(np.searchsorted(line, line[at] - reach, "left"))
-        to = min(n, at + 512)
-        while True:
-            hi = max(to, int(np.searchsorted(line, line[to - 1] + reach, "right")))
-            if to - at == 1 or (to - at) * (hi - lo) <= DBSCAN_HELD:
-                break
-            to = at + (to - at + 1) // 2
-        d2 = np.zeros((to - at, hi - lo))
-        for k in range(x.shape[1]):
-            d2 += (y[at:to, k, None] - y[None, lo:hi, k]) ** 2
-        yield order[at:to], order[lo:hi], d2 <= eps * eps
-        at = to
+
+    def __init__(self, x: np.ndarray):
+        order, stops, todo = np.arange(len(x)), [], [(0, len(x))] if len(x) else []
+        while todo:
+            lo, hi = todo.pop()
+            n = hi - lo
+            if n > DBSCAN_LEAF and x.shape[1]:
+                rows = order[lo:hi]
+                y = x[rows]
+                line = y[:, int(np.argmax(y.max(axis=0) - y.min(axis=0)))]
+                by = np.argsort(line, kind="stable")
+                line = line[by]
+                near = slice(n // 4, n - n // 4)
+                cut = n // 4 + int(np.argmax(line[near] - line[near.start - 1:near.stop - 1]))
+                order[lo:hi] = rows[by]
+                todo += [(lo + cut, hi), (lo, lo + cut)]
+            else:
+                stops.append(hi)
+        self.order, self.x, self.stop = order, x[order], np.array(stops, dtype=int)
+        self.start = np.append(0, self.stop[:-1]).astype(int) if stops else self.stop
+        self.low, self.high = (f.reduceat(self.x, self.start, axis=0) if stops else self.x for f in (np.minimum, np.maximum))
+
+    def around(self, low: np.ndarray, high: np.ndarray, eps: float, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves from ``least`` on: those whose every point lies within eps of every point of the box, and the others within eps
+        of it, the nearest first."""
+        a, b = self.low[least:], self.high[least:]
+        gap = (np.maximum(np.maximum(a - high, low - b), 0.0) ** 2).sum(axis=1)
+        far = (np.maximum(high - a, b - low) ** 2).sum(axis=1)
+        whole = far <= eps * eps * (1 - 1e-9)
+        some = np.where(~whole & (gap <= eps * eps * (1 + 1e-9)))[0]
+        return np.where(whole)[0] + least, some[np.argsort(gap[some], kind="stable")] + least
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        """Places in ``order`` of the points of the leaves."""
+        n = self.stop[leaves] - self.start[leaves]
+        return np.arange(n.sum()) + np.repeat(self.start[leaves] - np.cumsum(n) + n, n)
+
+    def pieces(self, leaves: np.ndarray, against: int):
+        """The points of the leaves in pieces that grow, as far as ``DBSCAN_HELD`` distances to ``against`` points allow."""
+        at, take = 0, 8
+        most = max(1, DBSCAN_HELD // (max(1, against) * DBSCAN_LEAF))
+        while at < len(leaves):
+            yield self.rows(leaves[at:at + min(take, most)])
+            at, take = at + min(take, most), take * 2
+
+    def reached(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, eps: float) -> np.ndarray:
+        """Which of the points lie within eps of the box."""
+        y = self.x[rows]
+        return (np.maximum(np.maximum(y - high, low - y), 0.0) ** 2).sum(axis=1) <= eps * eps * (1 + 1e-9)
+
+
+def _close(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    d2 = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        d2 += (a[:, k, None] - b[None, :, k]) ** 2
+    return d2 <= eps * eps
+
+
+def _varied(x: np.ndarray) -> np.ndarray:
+    """The columns that tell points apart; a constant one adds nothing to a distance."""
+    return x[:, (x != x[:1]).any(axis=0)]
 
 
 def _vectors(t) -> np.ndarray:
@@ -576,57 +617,104 @@ def _vectors(t) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
 
-def _count_near(eps: float):
+def _count_near(eps: float, enough: int):
+    """The neighbours of a block's own points, counted until there are enough."""
     def run(t):
         import pyarrow as pa
 
         x, w, own = _vectors(t), t.column("w").to_numpy(), t.column("own").to_numpy()
-        n = np.zeros(len(x), dtype=np.int64)
-        for rows, to, mask in _near(x, eps):
-            n[rows] = mask @ w[to]
-        return pa.table({"pid": t.column("pid").filter(pa.array(own)), "n": n[own]})
+        real = np.where(~np.isnan(x).any(axis=1))[0]  # a point without a place is near none
+        tree = _Leaves(_varied(x[real]))
+        w, asks, n = w[real][tree.order], own[real][tree.order], np.zeros(len(real), dtype=np.int64)
+        for i in range(len(tree.start)):
+            todo = np.arange(tree.start[i], tree.stop[i])
+            todo = todo[asks[todo]]
+            if not len(todo):
+                continue
+            low, high = tree.x[todo].min(axis=0), tree.x[todo].max(axis=0)
+            whole, some = tree.around(low, high, eps)
+            n[todo] = w[tree.rows(whole)].sum()
+            for at in tree.pieces(some, len(todo)):
+                todo = todo[n[todo] < enough]
+                if not len(todo):
+                    break
+                at = at[tree.reached(at, low, high, eps)]
+                n[todo] += np.where(_close(tree.x[todo], tree.x[at], eps), w[at], 0).sum(axis=1)
+        out = np.zeros(len(x), dtype=np.int64)
+        out[real[tree.order]] = n
+        return pa.table({"pid": t.column("pid").filter(pa.array(own)), "n": out[own]})
 
     return run
 
 
+def _joined(tree: _Leaves, name: np.ndarray, eps: float) -> np.ndarray:
+    """The cluster of every point of a tree: the least of the numbers ``name`` of the points that chains of steps within eps reach.
+
+    Leaves whose points are all within eps of each other join without a
+    distance; points that are in one cluster already are not compared.
+    """
+    parent = np.arange(len(name))
+
+    def roots(i):
+        r = parent[i]
+        while True:
+            up = parent[r]
+            if (up == r).all():
+                parent[i] = r
+                return r
+            r = up
+
+    def join(some):
+        some = np.unique(roots(some))
+        parent[some] = some[0]
+
+    for i in range(len(tree.start)):
+        own, low, high = np.arange(tree.start[i], tree.stop[i]), tree.low[i], tree.high[i]
+        whole, some = tree.around(low, high, eps, i)
+        if len(whole):
+            join(np.append(name[own], name[tree.rows(whole)]))
+        for at in tree.pieces(some, len(own)):
+            mine, theirs = roots(name[own]), roots(name[at])
+            if (mine == mine[0]).all():
+                at, theirs = at[theirs != mine[0]], theirs[theirs != mine[0]]
+            keep = tree.reached(at, low, high, eps)
+            at, theirs = at[keep], theirs[keep]
+            if not len(at):
+                continue
+            mask = _close(tree.x[own], tree.x[at], eps)
+            for r in np.unique(mine):
+                met = theirs[mask[mine == r].any(axis=0)]
+                if len(met):
+                    join(np.append(met, r))
+    return roots(np.arange(len(name)))
+
+
 def _link_near(eps: float):
     """The clusters inside a block: (pid, root) for its core points, and for its own other points every root within eps."""
     def run(t):
         import pyarrow as pa
-
-        x, own, core = _vectors(t), t.column("own").to_numpy(), t.column("core").to_numpy()
-        pid = np.array(t.column("pid").to_pylist(), dtype=object)
-        at = np.where(core)[0]
-        at = at[np.argsort(pid[at], kind="stable")]
-        parent, spot = np.arange(len(at)), np.full(len(x), -1)  # core points in the order of their ids: a root is the least
-        spot[at] = np.arange(len(at))
-
-        def find(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        border = []
-        for rows, to, mask in _near(x, eps):
-            r, c = spot[rows], spot[to]
-            i, j = np.nonzero(mask[r >= 0][:, c >= 0])
-            while len(at) and (parent[parent] != parent).any():
-                parent = parent[parent]
-            links = np.unique(np.column_stack([parent[r[r >= 0][i]], parent[c[c >= 0][j]]]), axis=0)
-            for a, b in links[links[:, 0] < links[:, 1]].tolist():
-                a, b = find(a), find(b)
-                parent[max(a, b)] = min(a, b)
-            asks = (r < 0) & own[rows]
-            i, j = np.nonzero(mask[asks][:, c >= 0])
-            border.append(np.unique(np.column_stack([rows[asks][i], parent[c[c >= 0][j]]]), axis=0))
-        while len(at) and (parent[parent] != parent).any():
-            parent = parent[parent]
-        names = pid[at]
-        found = np.concatenate(border) if border else np.zeros((0, 2), dtype=int)
-        found = np.unique(np.column_stack([found[:, 0], parent[found[:, 1]]]), axis=0) if len(found) else found
-        return pa.table({"pid": pa.array([*names, *pid[found[:, 0]]], pa.string()), "root": pa.array([*names[parent], *names[found[:, 1]]], pa.string()),
-                         "core": pa.array([True] * len(names) + [False] * len(found), pa.bool_())})
+        import pyarrow.compute as pc
+
+        x, own, core, pid = _vectors(t), t.column("own").to_numpy(), t.column("core").to_numpy(), t.column("pid").combine_chunks()
+        real = ~np.isnan(x).any(axis=1)
+        x = _varied(x) if real.all() else x
+        at = np.where(core & real)[0]
+        at = at[pc.sort_indices(pid.take(pa.array(at))).to_numpy()]  # core points in the order of their ids: a root is the least
+        tree = _Leaves(x[at])
+        root, border = _joined(tree, tree.order, eps), [np.zeros((0, 2), dtype=int)]
+        rest = np.where(~core & own & real)[0]
+        asks = _Leaves(x[rest])
+        for i in range(len(asks.start)):
+            ask, low, high = np.arange(asks.start[i], asks.stop[i]), asks.low[i], asks.high[i]
+            whole, some = tree.around(low, high, eps)
+            for there in tree.pieces(np.append(whole, some), len(ask)):
+                there = there[tree.reached(there, low, high, eps)]
+                j, k = np.nonzero(_close(asks.x[ask], tree.x[there], eps))
+                border.append(np.unique(np.column_stack([rest[asks.order[ask[j]]], root[tree.order[there[k]]]]), axis=0))
+        found = np.unique(np.concatenate(border), axis=0)
+        named = lambda rows: pid.take(pa.array(rows.astype(np.int64)))
+        return pa.table({"pid": pa.concat_arrays([named(at), named(found[:, 0])]), "root": pa.concat_arrays([named(at[root]), named(at[found[:, 1]])]),
+                         "core": pa.array(np.arange(len(at) + len(found)) < len(at))})
 
     return run
 
@@ -653,7 +741,8 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
     z = cut_lineage(z)
     pts = cut_lineage(z.groupBy("v", "key").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("pid")))
     order = spread_order(pts, eps, len(cont))
-    n = eps_blocks(pts, eps, order).select("key", "block", "pid", "w", "own", "v").groupBy("key", "block").applyInArrow(_count_near(eps), "pid string, n long")
+    n = eps_blocks(pts, eps, order).select("key", "block", "pid", "w", "own", "v").groupBy("key", "block").applyInArrow(
+        _count_near(eps, min_samples), "pid string, n long")
     core = cut_lineage(n.groupBy("pid").agg(F.sum("n").alias("n")).where((F.col("n") >= min_samples) & F.col("pid").isNotNull()).select("pid"))
     known = pts.join(core.withColumn("core", F.lit(True)), "pid", "left").withColumn("core", F.coalesce("core", F.lit(False)))
     links = eps_blocks(known, eps, order).select("key", "block", "pid", "own", "core", "v").groupBy("key", "block").applyInArrow(

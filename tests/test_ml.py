@@ -243,3 +243,37 @@ def test_risk_table_predicts_once(spark):
     risk = M.ml_risk(pred)
     assert "Range" not in risk._jdf.queryExecution().optimizedPlan().toString()
     assert risk.agg(F.sum("Flight_Count")).first()[0] == 2_000
+
+
+def test_block_search_joins_what_chains_join_and_compares_few(spark, monkeypatch):
+    """Cores and clusters of one dense block are those of brute force, with few of its distances taken."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, eps = 3_000, 0.5
+    x = np.vstack([rng.normal(0, 0.05, (1_500, 4)), rng.normal(0.9, 0.3, (1_400, 4)), rng.uniform(-3, 3, (100, 4))])
+    x[:, 3] = np.round(x[:, 3], 1)
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= 5
+    names = np.array([f"P{i:04d}" for i in rng.permutation(n)])
+    t = pa.table({"pid": names, "w": np.ones(n, dtype=np.int64), "own": np.arange(n) % 10 > 0, "core": core, "v": [list(map(float, r)) for r in x]})
+    taken, close = [], M._close
+    monkeypatch.setattr(M, "_close", lambda a, b, eps: taken.append(len(a) * len(b)) or close(a, b, eps))
+    own = t.column("own").to_numpy()
+    got = M._count_near(eps, 5)(t)
+    assert (np.minimum(got.column("n").to_numpy(), 5) == np.minimum(near.sum(1), 5)[own]).all() and got.column("pid").to_pylist() == list(names[own])
+    links = [tuple(r.values()) for r in M._link_near(eps)(t).to_pylist()]
+    assert sum(taken) < n * n / 4
+
+    label, order = {}, [i for i in np.argsort(names) if core[i]]
+    for s in order:
+        todo = [] if s in label else [s]
+        while todo:
+            i = todo.pop()
+            if label.setdefault(i, s) == s:
+                todo += [j for j in np.where(near[i] & core)[0] if j not in label and not label.update({j: s})]
+    want = {(names[i], names[label[i]], True) for i in order}
+    want |= {(names[i], names[label[j]], False) for i in np.where(~core & own)[0] for j in np.where(near[i] & core)[0]}
+    assert len(links) == len(want) and set(links) == want and len(set(label.values())) > 1
+    empty = t.slice(0, 0)
+    assert M._count_near(eps, 5)(empty).num_rows == 0 and M._link_near(eps)(empty).num_rows == 0
