@@ -328,6 +328,33 @@ def _build_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
     return {"feat": feat, "thr": thr, "left": left, "right": right, "size": size}
 
 
+def _paths(tree: dict) -> dict:
+    """A tree for lookups: leaves lead to themselves, ``path`` is a node's depth plus the average path of the unbuilt subtree below."""
+    feat, left, right = (np.asarray(tree[k], dtype=np.int64) for k in ("feat", "left", "right"))
+    leaf, depth = feat < 0, np.zeros(len(feat))
+    for node in np.where(~leaf)[0]:  # a node comes before its children
+        depth[[left[node], right[node]]] = depth[node] + 1
+    own = np.arange(len(feat))
+    after = np.column_stack([np.where(leaf, own, right), np.where(leaf, own, left)]).ravel()
+    return {"feat": np.where(leaf, 0, feat), "thr": np.where(leaf, -np.inf, np.asarray(tree["thr"], dtype=float)), "after": after,
+            "path": depth + np.array([_c_norm(int(n)) for n in tree["size"]]), "deep": int(depth.max())}
+
+
+def _path_sums(forest: list[dict], x: np.ndarray) -> np.ndarray:
+    """The path length of every row of ``x``, summed over the trees."""
+    n = len(x)
+    at, flat, total = np.arange(n), np.ascontiguousarray(x.T).ravel(), np.zeros(n)
+    for t in forest:
+        node, column = np.zeros(n, dtype=np.int64), t["feat"] * n
+        for _ in range(t["deep"]):
+            less = flat.take(column.take(node) + at) < t["thr"].take(node)
+            node *= 2
+            node += less
+            node = t["after"].take(node)
+        total += t["path"].take(node)
+    return total
+
+
 def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID", n_trees: int = 100, max_samples: int = 256,
                      contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Isolation forest: returns key, anomaly_score (higher = more normal, like score_samples),
@@ -335,14 +362,15 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
     from tarmac.session import cut_lineage
 
     # the feature rows are read three times (count, tree samples, scoring): materialise them once
-    df = cut_lineage(df.select(key, *[F.col(c).cast("double").alias(c) for c in features]))
+    stored = getattr(df, "_cut_path", None) is not None
+    df = df.select(key, *[F.col(c).cast("double").alias(c) for c in features])
+    df = df if stored else cut_lineage(df)
     n = df.count()
     psi = int(min(max_samples, n))
     # each tree draws its own rows: over-drawn by hash of (row, tree), then the first psi in hash order
     chance = min(1.0, (psi + 8 * psi ** 0.5 + 16) / max(n, 1))
     draw = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < F.lit(chance))
-    sample = df.withColumn("tree", F.explode(trees)).withColumn("__u", draw(F.col("tree")))
+    sample = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("__u", draw(F.col("tree"))).where(F.col("__u") < F.lit(chance))
     sample = sample.withColumn("__n", F.row_number().over(Window.partitionBy("tree").orderBy("__u", key))).where(F.col("__n") <= psi).drop("__n")
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
     cols = list(features)
@@ -358,34 +386,19 @@ def isolation_forest(df: DataFrame, features: list[str], key: str = "Flight_ID",
     forest_df = sample.groupBy("tree").applyInPandas(grow, "tree int, model string")
     # the forest is n_trees x (<= 2 * psi) nodes: bounded by the parameters, not by the data
     forest = [json.loads(r["model"]) for r in forest_df.orderBy("tree").collect()]
-    forest = [{k: np.asarray(v) for k, v in t.items()} for t in forest]
-    for t in forest:  # average path length of the unbuilt subtree below each node, looked up per leaf
-        t["c_leaf"] = np.array([_c_norm(int(sz)) for sz in t["size"]])
+    forest = [_paths(t) for t in forest]
     cn = _c_norm(psi)
 
     def score(it):
         for pdf in it:
             x = np.nan_to_num(pdf[cols].to_numpy(dtype=float))
-            depth_sum = np.zeros(len(x))
-            for t in forest:
-                node = np.zeros(len(x), dtype=int)
-                depth = np.zeros(len(x))
-                for _ in range(max_depth + 1):
-                    f = t["feat"][node]
-                    internal = f >= 0
-                    if not internal.any():
-                        break
-                    xv = x[np.arange(len(x)), np.where(internal, f, 0)]
-                    go_left = xv < t["thr"][node]
-                    nxt = np.where(go_left, t["left"][node], t["right"][node])
-                    node = np.where(internal, nxt, node)
-                    depth = depth + internal
-                depth_sum += depth + t["c_leaf"][node]
+            depth_sum = _path_sums(forest, x)
             s = 2.0 ** (-(depth_sum / len(forest)) / cn) if cn > 0 else np.full(len(x), 0.5)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "anomaly_score": -s})
 
     scored = df.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(
         score, T.StructType([T.StructField(key, T.StringType()), T.StructField("anomaly_score", T.DoubleType())]))
+    scored = cut_lineage(scored)  # read twice: for the offset and as the result
     off = scored.agg(F.percentile_approx("anomaly_score", contamination, 100000).alias("__off"))
     out = scored.crossJoin(F.broadcast(off)).withColumn("decision", F.col("anomaly_score") - F.col("__off")).drop("__off")
     return out.withColumn("is_anomaly", F.col("decision") < 0)

@@ -111,12 +111,6 @@ def _features(spark, sf):
     return M.anomaly_features(f).withColumns(M.name_flags(f))
 
 
-def _iforest(spark, sf):
-    feat = _features(spark, sf)
-    cols = M.anomaly_columns(feat)
-    return feat.join(M.isolation_forest(feat, cols, contamination=0.1), "Flight_ID"), cols
-
-
 FEATURES_SQL = """ft AS (SELECT *, month(Scheduled_Time) AS Month, dayofyear(Scheduled_Time) AS Day_of_Year, CAST(Delay_Minutes > 0 AS BIGINT) AS Is_Delayed,
   Capacity / max(Capacity) OVER () AS Capacity_Utilization, CAST(Hour IN (7,8,9,18,19,20) AS BIGINT) AS Is_Peak_Hour_I,
   CAST(Day_of_Week IN (5,6) AS BIGINT) AS Is_Weekend, CAST(Congestion_Factor > 1.5 AS BIGINT) AS High_Congestion,
@@ -205,30 +199,41 @@ def a52(spark, sf):
 BINARY = ["Is_Delayed", "Is_Peak_Hour_I", "Is_Weekend", "High_Congestion"]
 
 
-def _db(spark, sf):
+def _db(feat, cols):
+    return M.dbscan(feat, cols, BINARY + [c for c in cols if c not in M.ANOMALY_NUMERIC])
+
+
+#: What the rules after the detectors read besides the detectors' own columns.
+REPORTED = ["Flight_ID", "Airline", "Scheduled_Time", "Runway", "Aircraft_Type", "Capacity"]
+
+
+def _stored_features(spark, sf):
+    """The features, stored once for both detectors, and the columns that they read."""
     feat = _features(spark, sf)
     cols = M.anomaly_columns(feat)
-    return feat, M.dbscan(feat, cols, BINARY + [c for c in cols if c not in M.ANOMALY_NUMERIC])
+    return cut_lineage(feat.select(*REPORTED, *cols)), cols
 
 
 @register("m17_dbscan")
 def m17(spark, sf):
     """DBSCAN (eps .5, min 5) on standardised anomaly features; exact grid-blocked neighbour join."""
-    return _db(spark, sf)[1]
+    feat = _features(spark, sf)
+    return _db(feat, M.anomaly_columns(feat))
 
 
 @register("m20_ensemble")
 def m20(spark, sf):
     """Isolation forest OR DBSCAN noise, with the summary counts."""
-    d, _ = _iforest(spark, sf)
-    _, db = _db(spark, sf)
-    return M.ensemble_summary(M.ensemble(d.select("Flight_ID", "anomaly_score", "decision", "is_anomaly"), db))
+    feat, cols = _stored_features(spark, sf)
+    d = feat.select("Flight_ID").join(M.isolation_forest(feat, cols, contamination=0.1), "Flight_ID")
+    return M.ensemble_summary(M.ensemble(d, _db(feat, cols)))
 
 
 def _detected(spark, sf):
     """Every flight with the combined flag of both detectors, stored once, and the columns that they read."""
-    d, cols = _iforest(spark, sf)
-    return cut_lineage(M.ensemble(d, _db(spark, sf)[1])), cols
+    feat, cols = _stored_features(spark, sf)
+    d = feat.join(M.isolation_forest(feat, cols, contamination=0.1), "Flight_ID")
+    return cut_lineage(M.ensemble(d, _db(feat, cols)), feat), cols
 
 
 @register("m21d_detected_anomaly_type")

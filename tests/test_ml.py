@@ -277,3 +277,31 @@ def test_block_search_joins_what_chains_join_and_compares_few(spark, monkeypatch
     assert len(links) == len(want) and set(links) == want and len(set(label.values())) > 1
     empty = t.slice(0, 0)
     assert M._count_near(eps, 5)(empty).num_rows == 0 and M._link_near(eps)(empty).num_rows == 0
+
+
+def test_forest_lookups_follow_the_trees():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5))
+    x[:, 3:] = x[:, 3:] > 0
+    trees = [M._build_tree(x[rng.integers(0, 400, 64)], np.random.default_rng(i), 6) for i in range(5)]
+
+    def walk(t, row):
+        node, depth = 0, 0
+        while t["feat"][node] >= 0:
+            node, depth = t["left" if row[t["feat"][node]] < t["thr"][node] else "right"][node], depth + 1
+        return depth + M._c_norm(t["size"][node])
+
+    assert np.allclose(M._path_sums([M._paths(t) for t in trees], x), [sum(walk(t, row) for t in trees) for row in x], rtol=0, atol=1e-12)
+    single = M._paths(M._build_tree(x[:1], rng, 6))
+    assert (M._path_sums([single], x) == 0).all()
+
+
+def test_detectors_share_one_stored_set_of_features(spark, monkeypatch):
+    from paths import SF
+    from tarmac.plans import queries_ml as Q
+
+    made, features = [], M.anomaly_features
+    monkeypatch.setattr(M, "anomaly_features", lambda df: made.append(1) or features(df))
+    d, cols = Q._detected(spark, SF)
+    assert len(made) == 1 and {*Q.REPORTED, *cols, "decision", "is_anomaly", "DBSCAN_Anomaly", "Combined_Anomaly", "Anomaly_Confidence"} <= set(d.columns)
+    assert d.count() == Q.flights(spark, SF).count()
