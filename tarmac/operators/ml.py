@@ -29,7 +29,7 @@ from tarmac.operators import joins as J
 from tarmac.operators.components import components
 from tarmac.operators.quantiles import exact_quantile
 from tarmac.operators.windows import rolling_delay
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, wide_rows
 
 NUMERIC_FEATURES = [
     "Hour", "Day_of_Week", "Month", "Is_Weekend", "Is_Morning_Peak", "Is_Evening_Peak", "Is_Night",
@@ -751,7 +751,8 @@ def dbscan(df: DataFrame, features: list[str], binary: list[str], key: str = "Fl
     # the binary columns are equal inside a key, so distances are over the continuous ones
     z = z.select(F.col(key).cast("string").alias("id"), F.col(key), F.array(*[F.col(f"{c}_z") for c in cont]).cast("array<double>").alias("v"),
                  F.concat_ws("|", *[F.col(c).cast("long").cast("string") for c in binary]).alias("key"))
-    z = cut_lineage(z)
+    with wide_rows(df.sparkSession):
+        z = cut_lineage(z)
     pts = cut_lineage(z.groupBy("v", "key").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("pid")))
     order = spread_order(pts, eps, len(cont))
     n = eps_blocks(pts, eps, order).select("key", "block", "pid", "w", "own", "v").groupBy("key", "block").applyInArrow(

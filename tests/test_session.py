@@ -44,3 +44,13 @@ def test_cut_keeps_rows_types_and_empty_tables(spark):
     assert cut_lineage(df.where("i = 1")).count() == 0
     drop_cuts(cut, df, None)
     drop_cuts(cut)
+
+
+def test_settings_of_a_block_end_with_it(spark):
+    from tarmac import session as S
+
+    keys = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+    with S.wide_rows(spark), S.partitions_for(spark, 1_000_000):
+        assert [spark.conf.get(k) for k in keys] == ["8000", "20"]
+    assert [spark.conf.get(k) for k in keys] == before
